@@ -4,25 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import held_out, scratch, table
+from .jaccard_join import similar_components
+from .language_id import identify_languages
 from .license_scan import license_digest
+from .mixing import mixing_digest
+from .packed_ids import read_token_files, write_token_files
 from .quality import quality_cascade
+from .sp_bpe import encode_decode
+from .token_counts import count_tokens
+from .toxicity import labelled_documents, learn, score_toxicity
+
+TOKEN_LIMIT = 1024
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts through a cache of the query's own, which starts empty: every distinct text is encoded."""
+    counts = count_tokens(table(spark, sf_dir, "documents"), scratch(spark, "token-cache"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cascade(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing_digest(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = identify_languages(docs, docs.where(~held_out("doc_id")).select("text", "lang"))
+    return found.withColumn("held_out", held_out("doc_id"))
+
+
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch(spark, "token-files")
+    manifest = write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return read_token_files(spark, folder, manifest)
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn(labelled_documents(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")))
+    return score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
-        "op1_license_scan": op1_license_scan,
-        "op3_quality_rules": op3_quality_rules,
+        f.__name__: f
+        for f in (
+            op1_license_scan, op2_token_counts, op3_quality_rules, op4_ngram_jaccard, op6_mixing,
+            op7_language_id, op8_token_files, op9_byte_bpe, op10_toxicity,
+        )
     }
 
 
