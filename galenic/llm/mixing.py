@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import scratch, text_of
+from .common import text_of, written
 
 #: Weights of the sources in order of their names' code points, null last, over and over.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = 20240501
-#: Ranges of the draw into which a source's documents fall. Only the range in which its fractional
-#: repetition ends is put in order, so no task sorts a whole source.
-RANGES = 4096
+#: Leading bits of the draw that make its ranges. Words are summed by range, so that no task sorts a whole source.
+RANGE_BITS = 20
+#: Documents before and after the end of a source's fractional repetition that are chosen one by one; besides, a range's at most.
+EDGE_DOCS = 1000
 
 
 def word_count(text: Column) -> Column:
@@ -41,47 +43,65 @@ def water_levels(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
     return levels.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * final).alias("target"))
 
 
+def _closest(edge: pd.DataFrame) -> pd.DataFrame:
+    """Of one source's documents at the edge, in order of their draw, those that still fit into the words wanted;
+    then the smallest other one, if the sum is nearer with it."""
+    edge = edge.sort_values("draw", kind="stable").reset_index(drop=True)
+    left = float(edge["wanted"].iat[0] - edge["before"].iat[0]) if len(edge) else 0.0
+    more = []
+    for size in edge["size"].tolist():
+        fits = 0 < size <= left
+        more.append(int(fits))
+        left -= size * fits
+    edge["more"] = more
+    others = edge[(edge["more"] == 0) & (edge["size"] > 0)]
+    if len(others) and others["size"].min() / 2 < left:
+        edge.loc[others["size"].idxmin(), "more"] = 1
+    return edge[["source", "draw", "more"]]
+
+
 def mixed(docs: DataFrame, keep: list[str], source_column: str = "source", text_column: str = "text", id_column: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """One row per input row: struct `row` of the columns to keep, size, source_size, target and times, how often the mix takes it.
 
     Each document has floor(target / source_size) whole repetitions. Of each source, one more goes to the documents
-    that come first by a seeded draw, as far as the words still wanted reach; the document that crosses that line is
-    taken if that brings the sum nearer. So a source misses its target by half a document's size at most.
+    that come first by a seeded draw, as far as the words still wanted reach; where they end, EDGE_DOCS on either side
+    are chosen so that the sum comes close. So a source misses its target by half a small document's size.
 
     Sizes count words of whole texts, null as empty; empty texts are taken as their source's whole repetitions say, at
-    size 0, and no more. A null source is a source. Equal rows draw equally and their order among each other
-    does not matter. An empty table gives no rows. Reruns give the same.
+    size 0, and no more. A null source is a source. Equal rows have one draw and are taken alike. Extra columns
+    don't matter. An empty table gives no rows. Reruns give the same.
     """
-    spark = docs.sparkSession
     text = text_of(text_column)
     draw = F.xxhash64(F.lit(seed), F.col(id_column).cast("string"), F.xxhash64(text))
-    thin = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source_column).alias("source"), word_count(text).alias("size"), draw.alias("draw")
-    )
-    path = scratch(spark, "sizes")
-    thin.write.parquet(path)
-    thin = spark.read.schema(thin.schema).parquet(path)
-    thin = thin.withColumn("range", F.shiftrightunsigned("draw", 52))
-    ranges = thin.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
-    sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
-    levels = water_levels(sources, weights, max_epochs)
+    rows = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col(source_column).alias("source"), word_count(text).alias("size"), draw.alias("draw"))
+    if text_column in keep:  # texts are not written again, but counted again
+        thin = written(rows.select("source", "size", "draw"), "sizes")
+    else:
+        rows = thin = written(rows, "sizes")
+    in_range = F.shiftrightunsigned("draw", 64 - RANGE_BITS)
+    ranges = written(thin.groupBy("source", in_range.alias("range")).agg(F.sum("size").alias("range_size"), F.count(F.lit(1)).alias("n")), "ranges")
+    levels = water_levels(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, max_epochs)
     epochs = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     levels = levels.withColumn("whole", F.least(F.floor(epochs), F.lit(max_epochs)).cast("int"))
-    levels = levels.withColumn("wanted", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0)))
-    # the range in which each source's fractional repetition ends, and the words before it
-    run = F.sum("range_size").over(Window.partitionBy("source").orderBy("range"))
-    crossing = ranges.withColumn("upto", run).withColumnRenamed("source", "of").join(levels, F.col("of").eqNullSafe(F.col("source"))).where(F.col("upto") > F.col("wanted"))
-    crossing = crossing.groupBy("source").agg(F.min("range").alias("edge"), F.min(F.col("upto")).alias("edge_upto"), F.min_by("range_size", "range").alias("edge_size"))
-    plan = levels.withColumnRenamed("source", "s").join(crossing, F.col("s").eqNullSafe(F.col("source")), "left").drop("source")
-    plan = plan.withColumn("edge_before", F.col("edge_upto") - F.col("edge_size")).drop("edge_upto", "edge_size")
-    placed = thin.join(_fit(plan), F.col("source").eqNullSafe(F.col("s")))
-    at_edge = placed.where(F.col("range") == F.col("edge"))
-    order = Window.partitionBy("source").orderBy("draw", "size", F.to_json("row"))
-    before = F.col("edge_before") + F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = (F.col("size") > 0) & (F.col("wanted") - before > F.col("size") / 2)
-    inside = at_edge.withColumn("more", taken.cast("int"))
-    outside = placed.where(~F.col("range").eqNullSafe(F.col("edge")))
-    outside = outside.withColumn("more", ((F.col("size") > 0) & F.coalesce(F.col("range") < F.col("edge"), F.col("wanted") > 0)).cast("int"))
+    levels = levels.withColumn("wanted", F.greatest(F.col("target") - F.col("whole") * F.col("source_size"), F.lit(0.0))).withColumnRenamed("source", "s")
+    # of each source the range in which its fractional repetition ends, and those shortly before and after it: the edge
+    upto = Window.partitionBy("source").orderBy("range")
+    run = ranges.select("source", "range", "range_size", F.sum("range_size").over(upto).alias("words"), "n", F.sum("n").over(upto).alias("docs"))
+    run = run.join(_fit(levels.select("s", "wanted")), F.col("s").eqNullSafe(F.col("source"))).drop("s")
+    ends = F.min(F.when(F.col("words") > F.col("wanted"), F.struct("range", "docs"))).over(Window.partitionBy("source"))
+    run = run.withColumn("end", ends).where((F.col("docs") > F.col("end.docs") - EDGE_DOCS) & (F.col("docs") - F.col("n") < F.col("end.docs") + EDGE_DOCS))
+    edges = run.groupBy("source").agg(F.min("range").alias("first"), F.max("range").alias("last"), F.min(F.col("words") - F.col("range_size")).alias("before"))
+    plan = written(levels.join(edges, F.col("s").eqNullSafe(F.col("source")), "left").drop("source"), "plan")
+    placed = rows.withColumn("range", in_range).join(_fit(plan), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    at_edge = F.col("range").between(F.col("first"), F.col("last"))
+    near = thin.withColumn("range", in_range).join(_fit(plan), F.col("source").eqNullSafe(F.col("s"))).where(at_edge)
+    near = near.groupBy("source", "draw").agg(F.sum("size").cast("double").alias("size"), F.first("wanted").alias("wanted"), F.first("before").cast("double").alias("before"))
+    source_type = thin.schema["source"].dataType.simpleString()
+    chosen = near.groupBy("source").applyInPandas(_closest, f"source {source_type}, draw long, more int")
+    chosen = chosen.select(F.col("source").alias("s"), F.col("draw").alias("d"), "more")
+    inside = placed.where(at_edge).join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d"))).drop("s", "d")
+    outside = placed.where(~F.coalesce(at_edge, F.lit(False)))
+    outside = outside.withColumn("more", ((F.col("size") > 0) & F.coalesce(F.col("range") < F.col("first"), F.col("wanted") > 0)).cast("int"))
     both = outside.unionByName(inside)
     return both.select("row", "size", "source_size", "target", F.least(F.col("whole") + F.col("more"), F.lit(max_epochs)).alias("times"))
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .ann import nearest
 from .common import held_out, scratch, table
 from .jaccard_join import similar_components
 from .language_id import identify_languages
@@ -39,6 +40,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(table(spark, sf_dir, "documents"), n_words=3, num=90, den=100)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing_digest(table(spark, sf_dir, "documents"))
 
@@ -69,7 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
-            op1_license_scan, op2_token_counts, op3_quality_rules, op4_ngram_jaccard, op6_mixing,
+            op1_license_scan, op2_token_counts, op3_quality_rules, op4_ngram_jaccard, op5_nearest, op6_mixing,
             op7_language_id, op8_token_files, op9_byte_bpe, op10_toxicity,
         )
     }
