@@ -37,11 +37,20 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/galenic/{what}-{uuid.uuid4().hex[:12]}"
 
 
+#: Lets Spark delete a query's shuffle files when it ends, which for a table that is written is when nobody reads them any more.
+CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows from a table in the shared folder: cuts the lineage and survives lost executors."""
-    path = scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    before = spark.conf.get(CLEANUP_CONF)
+    spark.conf.set(CLEANUP_CONF, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP_CONF, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

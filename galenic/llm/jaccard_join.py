@@ -22,11 +22,6 @@ from pyspark.sql import DataFrame, functions as F
 from .common import small_batches, text_of, written
 
 SKETCH_LONGS = 8
-#: Sizes of a band differ by this factor at most (or by one).
-BAND_RATIO = 1.3
-#: Pieces with fewer shingles are left out where the pigeonhole allows it: they are alike in too many texts.
-LEAST_LOAD = 2
-MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -61,13 +56,19 @@ class Shingler:
 
 
 class Bands:
-    """Size bands for a threshold of num / den, and the pieces of each."""
+    """Size bands for a threshold of num / den, and the pieces of each.
+
+    The wider the bands, the more pieces their smaller sets have; the narrower, the more sets take part in two.
+    Pieces with fewer than `least_load` shingles are alike in too many texts and are left out where the pigeonhole allows.
+    """
 
     def __init__(self, num: int, den: int, most: int = 1 << 40):
         self.num, self.den = num, den
+        ratio = 1 + 2.5 * (den - num) / num
+        self.least_load = 2 if num >= 5 * (den - num) else 1
         starts = [1]
         while starts[-1] < most:
-            starts.append(max(starts[-1] + 1, int(starts[-1] * BAND_RATIO)))
+            starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
         self.starts = np.array(starts)
 
     def of(self, n: int) -> list[int]:
@@ -95,7 +96,7 @@ def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
         words = np.zeros(n, np.uint64)
         np.bitwise_xor.at(words, at, shingles)
         keys = _mix(words ^ _mix(np.arange(n, dtype=np.uint64) + np.uint64(band << 32)))
-        strong = np.bincount(at, minlength=n) >= LEAST_LOAD
+        strong = np.bincount(at, minlength=n) >= bands.least_load
         out.append(keys[strong] if n - strong.sum() <= spare else keys)
     return np.concatenate(out) if out else np.empty(0, np.uint64)
 
@@ -117,32 +118,53 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64).view(np.int64)
 
 
-SIGNATURE = "id long, n_shingles long, node long, keys array<long>, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+SIGNATURE = "id long, n_shingles long, node long, first boolean, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+
 
+def _signer(n_words: int):
+    """Sizes, nodes and sketches; `first` marks the first text of a node in a task, the only one that has a sketch."""
 
-def _signer(n_words: int, bands: Bands):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(n_words), set()
         for batch in batches:
-            nodes, sizes, keys, sketches = [], [], [], []
+            nodes, sizes, firsts, sketches = [], [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingler(text)
                 node = node_of(s)
                 sizes.append(len(s))
                 nodes.append(node)
-                first = len(s) > 0 and node not in seen
+                firsts.append(len(s) > 0 and node not in seen)
                 seen.add(node)
-                keys.append(_signed(piece_keys(s, bands)) if first else None)
-                sketches.append(parity_sketch(s) if first else np.zeros(SKETCH_LONGS, np.uint64))
+                sketches.append(parity_sketch(s) if firsts[-1] else np.zeros(SKETCH_LONGS, np.uint64))
             block = _signed(np.array(sketches, np.uint64).reshape(-1, SKETCH_LONGS))
             yield pa.record_batch(
-                {"id": batch.column("id"), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(_signed(np.array(nodes, np.uint64))), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                {"id": batch.column("id"), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(_signed(np.array(nodes, np.uint64))), "first": pa.array(firsts, pa.bool_())}
                 | {f"s{i}": pa.array(block[:, i]) for i in range(SKETCH_LONGS)}
             )
 
     return sign
 
 
+def _keyer(n_words: int, bands: Bands):
+    """Join keys of the first text of each node in a task, a row for each key."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, seen = Shingler(n_words), set()
+        for batch in batches:
+            nodes, keys = [], []
+            for text in batch.column("text").to_pylist():
+                s = shingler(text)
+                node = node_of(s)
+                if len(s) and node not in seen:
+                    seen.add(node)
+                    nodes.append(node)
+                    keys.append(piece_keys(s, bands))
+            every = np.repeat(_signed(np.array(nodes, np.uint64)), [len(k) for k in keys])
+            yield pa.record_batch({"key": pa.array(_signed(np.concatenate([*keys, np.empty(0, np.uint64)]))), "node": pa.array(every)})
+
+    return keyed
+
+
 def _checker(n_words: int, num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, sets = Shingler(n_words), {}
@@ -195,16 +217,19 @@ def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int
     small_batches(spark)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    signed = written(rows.mapInArrow(_signer(n_words, bands), SIGNATURE), "signatures")
+    signed = written(rows.mapInArrow(_signer(n_words), SIGNATURE), "signatures")
 
-    keyed = signed.where(F.col("keys").isNotNull()).select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
-    shared = written(buckets.where(F.col("lo") != F.col("hi")).select("key", "pivot"), "buckets")
-    members = written(keyed.join(shared, "key").distinct(), "members")
+    # keys are many and mostly of one text; they are made twice rather than kept: to count them, and to find whose they are
+    keyed = rows.select("text").mapInArrow(_keyer(n_words, bands), "key long, node long")
+    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
+    sharing = written(keyed.join(shared, "key").distinct(), "sharing")
+    buckets = sharing.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
+    buckets = written(buckets.where(F.col("lo") != F.col("hi")).select("key", "pivot"), "buckets")
+    members = written(sharing.join(buckets, "key"), "members")
 
     among = members.select("node").distinct()
     of_node = [F.min(c).alias(c) for c in ("id", "n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS)))]
-    sketches = written(signed.where(F.col("keys").isNotNull()).join(among, "node", "left_semi").groupBy("node").agg(*of_node), "sketches")
+    sketches = written(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node), "sketches")
     texts = written(_texts(rows, sketches, n_words), "texts")
 
     star = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
