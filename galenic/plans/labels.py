@@ -29,10 +29,10 @@ LABELLED_NDC = "(?:^|[^0-9])([0-9]{4,5}-[0-9]{3,4}-[0-9]{1,2})(?:[^0-9]|$)"
 def field_extract(spark: SparkSession, d: str) -> DataFrame:
     """All extractors over every line of every reading; of lots those with a label."""
     line = F.col("text")
-    lot = L.lot(line)
-    return V.ocr_lines(spark, d).select(
-        "crop", "pool", "line_no", L.ndc(line)["value"].alias("ndc"), L.ndc(line)["prior"].alias("ndc_prior"), F.when(lot["prior"] > 0.9, lot["value"]).alias("lot"),
-        F.when(L.exp(line)["prior"] > 0.9, L.exp(line)["value"]).alias("exp"), L.strength(line)["value"].alias("strength"), L.strength(line)["prior"].alias("strength_prior"), L.mdv(line)["value"].alias("mdv"),
+    found = V.ocr_lines(spark, d).select("crop", "pool", "line_no", *[f(line).alias(name) for name, f in L.EXTRACTORS.items()])
+    return found.select(
+        "crop", "pool", "line_no", F.col("ndc.value").alias("ndc"), F.col("ndc.prior").alias("ndc_prior"), F.when(F.col("lot.prior") > 0.9, F.col("lot.value")).alias("lot"),
+        F.when(F.col("exp.prior") > 0.9, F.col("exp.value")).alias("exp"), F.col("strength.value").alias("strength"), F.col("strength.prior").alias("strength_prior"), F.col("mdv.value").alias("mdv"),
     )
 
 
