@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers what it defines."""
 
-from . import catalog, labels, matching  # noqa: F401
+from . import catalog, graph, labels, matching  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
