@@ -53,6 +53,23 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a key filter, 16 MB whatever the data: it is sent to all executors.
+FILTER_BITS = 1 << 27
+BITMAP_BITS = 32768  # of one bitmap of Spark's bitmap functions
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> DataFrame:
+    """The rows whose key may be among the wanted ones: all that are, and few others, so that a join that follows moves
+    little. The filter is a bitmap of hashes of fixed size; with very many keys it lets more rows pass, never fewer."""
+    place = lambda c: F.pmod(F.xxhash64(F.lit(17), c), F.lit(FILTER_BITS))
+    marks = wanted.select(place(F.col(wanted_key)).alias("__at"))
+    bitmaps = marks.groupBy((F.expr(f"__at div {BITMAP_BITS}")).alias("__block")).agg(F.bitmap_construct_agg(F.col("__at") % BITMAP_BITS).alias("__bits"))
+    at = place(F.col(key))
+    byte = F.conv(F.hex(F.substring("__bits", F.expr(f"int(__at % {BITMAP_BITS} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
+    joined = df.withColumn("__at", at).withColumn("__block", F.expr(f"__at div {BITMAP_BITS}")).join(F.broadcast(bitmaps), "__block")
+    return joined.where(F.getbit(byte, F.expr("int(__at % 8)")) == 1).select(*df.columns)
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch, so that a worker's memory is bounded by rows times text length."""
     if int(spark.conf.get(BATCH_CONF)) > rows or int(spark.conf.get(BATCH_CONF)) <= 0:

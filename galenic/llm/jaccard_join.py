@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import small_batches, text_of, written
+from .common import maybe_in, small_batches, text_of, written
 
 SKETCH_LONGS = 8
 
@@ -230,11 +230,9 @@ def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int
     among = members.select("node").distinct()
     of_node = [F.min(c).alias(c) for c in ("id", "n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS)))]
     sketches = written(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node), "sketches")
-    texts = written(_texts(rows, sketches, n_words), "texts")
-
     star = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
     near = written(_filtered(star, sketches, num, den), "pairs")
-    linked = written(_checked(near, texts, n_words, num, den), "links")
+    linked = written(_checked(near, _texts(rows, near, sketches, n_words), n_words, num, den), "links")
     labels = components(linked)
 
     apart = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
@@ -246,7 +244,7 @@ def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int
     crossing = left.join(right, (left["key"] == right["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _may_link(num, den))
     rest = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label").distinct()
     rest = written(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = _checked(rest.select("a", "b"), texts, n_words, num, den).join(rest, ["a", "b"])
+    more = _checked(rest.select("a", "b"), _texts(rows, rest, sketches, n_words), n_words, num, den).join(rest, ["a", "b"])
     bridges = written(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "bridges")
     over = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("upper"))
     labels = labels.select("node", "label").unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
@@ -273,8 +271,12 @@ def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> Data
     return pairs.where(_may_link(num, den)).select("a", "b")
 
 
-def _texts(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
-    """A text of each wanted node (id, node). Ids need not be unique, so a text's own node is compared."""
+def _texts(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, n_words: int) -> DataFrame:
+    """node, text: a text of each node of the pairs (a, b), from a table of its own. Other texts aren't moved. Ids need not
+    be unique, so a text's own node is compared."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(sketches.select("node", "id").join(ends, "node", "left_semi"), "wanted")
+    rows = maybe_in(rows, "id", wanted, "id")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n_words)
@@ -283,7 +285,7 @@ def _texts(rows: DataFrame, wanted: DataFrame, n_words: int) -> DataFrame:
             yield batch.select(["node", "text"]).filter(pa.array(nodes == batch.column("node").to_numpy()))
 
     found = rows.join(wanted.select(F.col("id").alias("wanted_id"), "node"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    return found.mapInArrow(own, "node long, text string").groupBy("node").agg(F.min("text").alias("text"))
+    return written(found.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
 
 
 def _checked(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
