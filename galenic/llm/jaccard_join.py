@@ -145,8 +145,8 @@ def _signer(n_words: int):
     return sign
 
 
-def _keyer(n_words: int, bands: Bands):
-    """Join keys of the first text of each node in a task, a row for each key."""
+def _keyer(n_words: int, bands: Bands, slices: int, number: int):
+    """Join keys of the first text of each node in a task that fall into a slice of all keys, a row for each key."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(n_words), set()
@@ -158,7 +158,8 @@ def _keyer(n_words: int, bands: Bands):
                 if len(s) and node not in seen:
                     seen.add(node)
                     nodes.append(node)
-                    keys.append(piece_keys(s, bands))
+                    found = piece_keys(s, bands)
+                    keys.append(found if slices == 1 else found[found % np.uint64(slices) == number])
             every = np.repeat(_signed(np.array(nodes, np.uint64)), [len(k) for k in keys])
             yield pa.record_batch({"key": pa.array(_signed(np.concatenate([*keys, np.empty(0, np.uint64)]))), "node": pa.array(every)})
 
@@ -205,24 +206,29 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text", slices: int = 1) -> DataFrame:
     """One row per input row: id, n_shingles (distinct word n-grams), component_id, the smallest id reachable over links.
 
     Two rows link if their shingle sets' intersection is at least num / den of their union, and if both sets hold anything.
     A text of fewer words than a shingle is one shingle; null and empty texts link with nothing and are their own
     component. Null ids take part and a component's id ignores them; repeated rows each give a row. Empty tables give
     none. Columns other than id and text are not read. Texts count whole.
+
+    slices: join keys are made, counted and joined in so many parts one after the other, by key, which divides the disk
+    that shuffling them takes and repeats the making of them; the result is the same.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     bands = Bands(num, den)
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
     signed = written(rows.mapInArrow(_signer(n_words), SIGNATURE), "signatures")
 
     # keys are many and mostly of one text; they are made twice rather than kept: to count them, and to find whose they are
-    keyed = rows.select("text").mapInArrow(_keyer(n_words, bands), "key long, node long")
-    shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
-    sharing = written(keyed.join(shared, "key").distinct(), "sharing")
+    sharing = None
+    for number in range(slices):
+        keyed = rows.select("text").mapInArrow(_keyer(n_words, bands, slices, number), "key long, node long")
+        shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
+        part = written(keyed.join(shared, "key").distinct(), "sharing")
+        sharing = part if sharing is None else sharing.unionByName(part)
     buckets = sharing.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
     buckets = written(buckets.where(F.col("lo") != F.col("hi")).select("key", "pivot"), "buckets")
     members = written(sharing.join(buckets, "key"), "members")

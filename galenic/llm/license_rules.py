@@ -38,11 +38,11 @@ apache-2 | apache | 3 spdx license identifier apache 2 0 ;; 3 (?:licensed|releas
 apache-1.1 | apache | 3 spdx license identifier apache 1 1 ;; 2 apache (?:software )?licen[cs]e(?: version)? 1 1
 apache-1.0 | apache | 3 spdx license identifier apache 1 0 ;; 2 apache (?:software )?licen[cs]e(?: version)? 1 0
 apache | apache | 1 apache (?:software )?licen[cs]e
-gpl-2.0-only | gpl | 3 spdx license identifier gpl 2 0(?: only)? ;; 2 gpl ?v?2(?: 0)? only ;; 2 licen[cs]e gpl ?v?2(?: 0)? ;; 2 gplv2
+gpl-2.0-only | gpl | 3 spdx license identifier gpl 2 0(?: only)? ;; 2 gpl ?v?2(?: 0)? only ;; 2 licen[cs]e gpl ?v?2(?: 0)? ;; 2 gpl ?v2
 gpl-2.0-only | general public license | 3 gnu general public license version 2 as published by the free software foundation ;; 2 gnu general public licen[cs]e(?: version)? v?2(?: 0)?
 gpl-2.0-or-later | gpl | 3 spdx license identifier gpl 2 0 or later ;; 2 gpl ?v?2(?: 0)? or later
 gpl-2.0-or-later | general public license | 3 gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
-gpl-3.0-only | gpl | 3 spdx license identifier gpl 3 0(?: only)? ;; 2 gpl ?v?3(?: 0)? only ;; 2 licen[cs]e gpl ?v?3(?: 0)? ;; 2 gplv3
+gpl-3.0-only | gpl | 3 spdx license identifier gpl 3 0(?: only)? ;; 2 gpl ?v?3(?: 0)? only ;; 2 licen[cs]e gpl ?v?3(?: 0)? ;; 2 gpl ?v3
 gpl-3.0-only | general public license | 2 gnu general public licen[cs]e(?: version)? v?3(?: 0)?
 gpl-3.0-or-later | gpl | 3 spdx license identifier gpl 3 0 or later ;; 2 gpl ?v?3(?: 0)? or later
 gpl-3.0-or-later | general public license | 3 gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version

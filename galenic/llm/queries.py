@@ -17,7 +17,7 @@ from .packed_ids import read_token_files, write_token_files
 from .quality import quality_cascade
 from .sp_bpe import encode_decode
 from .token_counts import count_tokens
-from .toxicity import labelled_documents, learn, score_toxicity
+from .toxicity import learn, score_toxicity
 
 TOKEN_LIMIT = 1024
 
@@ -66,7 +66,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = learn(labelled_documents(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id")))
+    model = learn(docs, table(spark, sf_dir, "labels"), ~held_out("doc_id"))
     return score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
 
 
