@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -45,7 +46,7 @@ def water_levels(sources: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_e
 
 def _closest(edge: pd.DataFrame) -> pd.DataFrame:
     """Of one source's documents at the edge, in order of their draw, those that still fit into the words wanted;
-    then the smallest other one, if the sum is nearer with it."""
+    then up to three exchanges that bring the sum nearer."""
     edge = edge.sort_values("draw", kind="stable").reset_index(drop=True)
     left = float(edge["wanted"].iat[0] - edge["before"].iat[0]) if len(edge) else 0.0
     more = []
@@ -53,10 +54,21 @@ def _closest(edge: pd.DataFrame) -> pd.DataFrame:
         fits = 0 < size <= left
         more.append(int(fits))
         left -= size * fits
-    edge["more"] = more
-    others = edge[(edge["more"] == 0) & (edge["size"] > 0)]
-    if len(others) and others["size"].min() / 2 < left:
-        edge.loc[others["size"].idxmin(), "more"] = 1
+    size, taken = edge["size"].to_numpy(float), np.array(more, bool)
+    for _ in range(3):  # one more document, or one for another, if the sum comes nearer
+        out = np.flatnonzero(~taken & (size > 0))
+        if not len(out):
+            break
+        had = np.append(np.flatnonzero(taken), -1)  # -1: none is given up
+        gain = size[out][None, :] - np.where(had >= 0, size[had], 0.0)[:, None]
+        a, b = np.unravel_index(np.abs(left - gain).argmin(), gain.shape)
+        if abs(left - gain[a, b]) >= abs(left):
+            break
+        left -= gain[a, b]
+        taken[out[b]] = True
+        if had[a] >= 0:
+            taken[had[a]] = False
+    edge["more"] = taken.astype(int)
     return edge[["source", "draw", "more"]]
 
 
