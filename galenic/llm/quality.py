@@ -121,6 +121,9 @@ def quality_cascade(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     A null or empty text has 0 in all measures and fails. Repeated rows each give a row; an empty table
     gives none. Columns other than id and text are not read. Texts are measured whole.
+
+    Write the result to a table before filtering by what it measures: a filter is pushed down into the measures,
+    which are nested deeply, and would repeat them.
     """
     rules = default_rules() if rules is None else rules
     measures = measured(docs, id_column, text_column)

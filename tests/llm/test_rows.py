@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers as P
 from galenic.llm import license_scan, packed_ids, quality, sp_bpe, token_counts
-from galenic.llm.common import scratch
+from galenic.llm.common import scratch, written
 from galenic.llm.license_rules import ANCHORS, rules
 
 
@@ -77,7 +77,7 @@ def test_quality(request, which):
 
 
 def test_quality_keeps_good_documents(spark, sf_dir, documents):
-    got = quality.quality_cascade(documents).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    got = written(quality.quality_cascade(documents), "judged").join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
     good = got.where("quality = 1 AND NOT base_failed")
     assert good.where("kept").count() >= 0.98 * good.count()
     bad = got.where("quality = 0")
@@ -89,8 +89,8 @@ def test_order_of_rules_has_no_effect(spark, documents):
     order = quality.ordered_rules(m, quality.default_rules())
     rates = [rate / max(s, 1e-6) for _, s, rate in order]
     assert rates == sorted(rates, reverse=True)
-    a = quality.quality_cascade(documents, rules=quality.default_rules()[::-1], sample_rows=1).where("kept").select("doc_id").collect()
-    assert sorted(a) == sorted(quality.quality_cascade(documents).where("kept").select("doc_id").collect())
+    a = written(quality.quality_cascade(documents, rules=quality.default_rules()[::-1], sample_rows=1), "judged").where("kept").select("doc_id").collect()
+    assert sorted(a) == sorted(written(quality.quality_cascade(documents), "judged").where("kept").select("doc_id").collect())
 
 
 @pytest.mark.parametrize("which", ["awkward", "documents"])
