@@ -140,7 +140,7 @@ def predicted(prototypes: dict[str, np.ndarray], text: Column) -> Column:
                     rows.append((UNKNOWN, 0.0))
             yield pd.DataFrame(rows, columns=["lang", "score"])
 
-    return predict(text)
+    return predict.asNondeterministic()(text)  # else a filter on the result would make it run again
 
 
 def identify_languages(docs: DataFrame, labelled: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
