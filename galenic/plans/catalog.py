@@ -277,6 +277,25 @@ def ocr_normalise(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "ocr_normalise_whole",
+    """SELECT doc_id, md5(folded) AS folded_md5, length(folded) AS n_folded, md5(repaired) AS repaired_md5, length(repaired) AS n_repaired, length(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'))) AS n
+    FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g')) AS folded, translate(text, 'OoQDIl|', '0000111') AS repaired FROM documents)""",
+)
+def ocr_normalise_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As ocr_normalise, whose SQL compares the first 80 and 60 characters only, over whole texts: their digests and lengths."""
+    docs = V.table(spark, d, "documents")
+    texts = docs.select("doc_id", "text", X.squeeze(F.lower("text")).alias("folded"), X.digits_repaired(F.col("text")).alias("repaired"))
+    return texts.select(
+        "doc_id",
+        F.md5("folded").alias("folded_md5"),
+        F.length("folded").cast("long").alias("n_folded"),
+        F.md5("repaired").alias("repaired_md5"),
+        F.length("repaired").cast("long").alias("n_repaired"),
+        F.length(X.squeeze(F.col("text"))).cast("long").alias("n"),
+    )
+
+
 @query("labeler_enrichment", with_views("SELECT l.code, l.name, coalesce(k.n, 0) AS n_products, coalesce(k.n, 0) > 0 AS kept FROM v_labelers l LEFT JOIN (SELECT labeler_code, count(DISTINCT product_ndc) AS n FROM v_products WHERE active GROUP BY 1) k ON k.labeler_code = l.code", "v_labelers", "v_products"))
 def labeler_enrichment(spark: SparkSession, d: str) -> DataFrame:
     k = V.products(spark, d).where("active").groupBy(F.col("labeler_code").alias("code")).agg(F.count_distinct("product_ndc").alias("n"))
