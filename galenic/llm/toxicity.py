@@ -16,12 +16,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import small_batches, text_of
+from .common import small_batches, text_of, written
 
 FEATURES = 1 << 18
-#: Labelled documents to learn from at most, of each label, and features of one of them at most: what training holds.
+#: Labelled documents to learn from at most, of each label.
 SAMPLE_OF_EACH = 4000
-SAMPLE_FEATURES = 6000
 #: Leading letters of a word that count as features besides the word, so that inflected forms share what they have in common.
 PREFIXES = (4, 5, 6, 7)
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
@@ -31,10 +30,11 @@ MOST_WORDS = 60
 
 
 class WordFeatures:
-    """Hashed features of a word, remembered."""
+    """Hashed features of a word, remembered; with `usable` only those for which it holds."""
 
-    def __init__(self):
+    def __init__(self, usable: np.ndarray | None = None):
         self.known: dict[str, tuple[int, ...]] = {}
+        self.usable = usable
 
     def __call__(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
@@ -42,7 +42,8 @@ class WordFeatures:
             if len(self.known) > 300_000:
                 self.known = {}
             names = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
-            found = self.known[word] = tuple(zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names)
+            found = tuple(zlib.crc32(x.encode("utf-8", "replace")) % FEATURES for x in names)
+            found = self.known[word] = found if self.usable is None else tuple(f for f in found if self.usable[f])
         return found
 
     def sentence(self, words: list[str]) -> list[int]:
@@ -86,47 +87,50 @@ class Model:
         return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(bags), 1 - 1e-12)).sum()))
 
 
-def evidence(docs: list[np.ndarray], y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each feature whether it speaks for toxicity beyond chance, and its smoothed log odds. A feature counts
-    if its likelihood ratio over documents is one that chance would give to a fiftieth of one feature of all."""
-    n1, n0 = y.sum(), len(y) - y.sum()
-    seen = [np.bincount(np.concatenate([np.unique(f) for f, t in zip(docs, y, strict=True) if t == k] or [np.empty(0, np.int64)]), minlength=FEATURES) for k in (0, 1)]
-    a, c = seen[1].astype(float), seen[0].astype(float)
+def evidence(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each feature whether it speaks for toxicity beyond chance, and its smoothed log odds, from the documents of
+    label 0 and 1 that have it, and all of them. A feature counts if its likelihood ratio over documents is one that
+    chance would give to a fiftieth of one feature of all."""
+    (n0, n1), (c, a) = n.astype(float), seen.astype(float)
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return x * np.log(np.maximum(x, 1e-300) / np.maximum(expected, 1e-300))
 
-    share = (a + c) / len(y)
+    share = (a + c) / (n0 + n1)
     ratio = 2 * (part(a, n1 * share) + part(c, n0 * share) + part(n1 - a, n1 * (1 - share)) + part(n0 - c, n0 * (1 - share)))
     odds = np.log((a + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1))
     return (odds > 0) & (ratio > 2 * np.log(50.0 * max(2, np.count_nonzero(a + c >= 2)))), odds
 
 
 class Bags(NamedTuple):
-    """A document's sentences: all their features in turn, and how many each sentence has."""
+    """A document's sentences that have usable features: all their features in turn, and how many each sentence has; and the number of its other sentences."""
 
     features: np.ndarray
     sizes: np.ndarray
+    others: int
 
 
 def bags_of(sentences: list[list[int]]) -> Bags:
-    return Bags(np.fromiter((f for s in sentences for f in s), np.int32), np.fromiter(map(len, sentences), np.int32, len(sentences)))
+    kept = [s for s in sentences if s]
+    return Bags(np.fromiter((f for s in kept for f in s), np.int32), np.fromiter(map(len, kept), np.int32, len(kept)), len(sentences) - len(kept))
 
 
-def train(docs: list[Bags], labels: list[int], epochs: int = 40, rate: float = 0.15, shrink: float = 0.0, seed: int = 1) -> Model:
+def constant(n: np.ndarray) -> Model:
+    """Without both labels the score is their rate throughout."""
+    base = float((n[1] + 0.5) / (n.sum() + 1)) if n.sum() else 0.0
+    return Model(np.zeros(FEATURES), -40.0, base if n[1] else min(base, 0.49))
+
+
+def train(docs: list[Bags], labels: list[int], usable: np.ndarray, odds: np.ndarray, epochs: int = 40, rate: float = 0.15, shrink: float = 0.0, seed: int = 1) -> Model:
     """Minimises the documents' log loss through the noisy-or over the features that `evidence` leaves, from their log
-    odds on, with Adagrad over batches of documents. Without both labels the score is their rate throughout."""
+    odds on, with Adagrad over batches of documents. Both labels must be there."""
     y = np.array(labels, float)
-    base = float((y.sum() + 0.5) / (len(y) + 1)) if len(y) else 0.0
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(FEATURES), -40.0, min(base, 0.49) if not y.any() else base)
-    flat, sizes = [d.features for d in docs], [d.sizes for d in docs]
-    usable, odds = evidence(flat, y)
-    start = np.where(usable, 0.75 * odds, 0.0)
-    weights, bias = start.copy(), -5.0
+    base = float((y.sum() + 0.5) / (len(y) + 1))
+    flat, sizes, others = [d.features for d in docs], [d.sizes for d in docs], np.array([d.others for d in docs], float)
+    weights, bias = np.where(usable, 0.75 * odds, 0.0), -5.0
     squares, bias_square = np.full(FEATURES, 1e-2), 1e-2
     rng = np.random.default_rng(seed)
-    order = np.array([i for i, d in enumerate(docs) if len(d.sizes)])
+    order = np.array([i for i, d in enumerate(docs) if len(d.sizes) or d.others])
     for _ in range(epochs):
         rng.shuffle(order)
         for k in range(0, len(order), 128):
@@ -137,17 +141,19 @@ def train(docs: list[Bags], labels: list[int], epochs: int = 40, rate: float = 0
             doc = np.repeat(np.arange(len(batch)), [len(sizes[i]) for i in batch])
             z = np.bincount(sentence, weights[f], len(of_sentence)) + bias
             p = 1 / (1 + np.exp(-z))
-            none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(batch))  # log of the chance that no sentence is toxic
+            alone = 1 / (1 + np.exp(-bias))  # the chance of a sentence without usable features
+            none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(batch)) + others[batch] * np.log1p(-alone)  # log of the chance that no sentence is toxic
             score = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
             # d loss / d none: for toxic documents (1 - score) / score, for others -1; d none / d z is -p
-            g_z = -p * (np.where(y[batch] == 1, (1 - score) / score, -1.0) / len(batch))[doc]
-            used = usable[f]
-            touched, at = np.unique(f[used], return_inverse=True)
-            g = np.bincount(at, g_z[sentence[used]], len(touched)) + shrink * weights[touched] / len(batch)
+            g_none = np.where(y[batch] == 1, (1 - score) / score, -1.0) / len(batch)
+            g_z = -p * g_none[doc]
+            touched, at = np.unique(f, return_inverse=True)
+            g = np.bincount(at, g_z[sentence], len(touched)) + shrink * weights[touched] / len(batch)
             squares[touched] += g**2
             weights[touched] -= rate * g / np.sqrt(squares[touched])
-            bias_square += g_z.sum() ** 2
-            bias = min(-4.0, bias - rate * g_z.sum() / np.sqrt(bias_square))
+            g_bias = g_z.sum() - alone * (others[batch] * g_none).sum()
+            bias_square += g_bias**2
+            bias = min(-4.0, bias - rate * g_bias / np.sqrt(bias_square))
     return Model(weights, float(bias), min(base, 0.49))
 
 
@@ -162,33 +168,49 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "
     return parts[0].unionByName(parts[1]).select("key", "label")
 
 
+def sampled_texts(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "doc_id", text_column: str = "text", of_each: int = SAMPLE_OF_EACH) -> DataFrame:
+    """key, label, text of the sampled documents, whole."""
+    chosen = sampled(docs, labels, rows, id_column, of_each)  # so few rows that they can be sent to the texts
+    texts = docs.where(rows).select(F.col(id_column).alias("key"), text_of(text_column).alias("text"))
+    return texts.join(F.broadcast(chosen), "key").select("key", "label", "text").limit(3 * of_each)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "doc_id", text_column: str = "text", of_each: int = SAMPLE_OF_EACH) -> Model:
     """A model from the documents for which `rows` holds and that `labels` (id, toxic 0/1) marks. It is fitted on a bounded sample:
-    of_each documents of either label and, of each text, the sentences within SAMPLE_FEATURES features. Scoring has no such bounds."""
+    of_each documents of either label, each with its whole text. Which features count is found from numbers of documents
+    that Spark adds up; the driver gets those features of the sampled texts only. Scoring has no bound."""
     small_batches(docs.sparkSession)
 
-    @F.pandas_udf("features binary, sizes binary")
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features, seen, n = WordFeatures(), np.zeros((2, FEATURES), np.int64), np.zeros(2, np.int64)
+        for rows in batches:
+            for label, text in zip(rows["label"], rows["text"], strict=True):
+                n[label] += 1
+                seen[label, list({f for b in _bags(text, features) for f in b})] += 1
+        of, feature = np.nonzero(seen)
+        yield pd.DataFrame({"label": np.concatenate([[0, 1], of]), "feature": np.concatenate([[-1, -1], feature]), "n": np.concatenate([n, seen[of, feature]])})
+
+    texts = written(sampled_texts(docs, labels, rows, id_column, text_column, of_each), "toxicity-sample")
+    counts = texts.mapInPandas(counted, "label long, feature long, n long").groupBy("label", "feature").agg(F.sum("n").alias("n")).toArrow()
+    label, feature, number = (counts[c].to_numpy() for c in ("label", "feature", "n"))
+    seen = np.zeros((2, FEATURES + 1), np.int64)
+    seen[label, feature] = number  # that of documents has feature -1 and so the last place
+    n, seen = seen[:, -1], seen[:, :-1]
+    if not n.all():
+        return constant(n)
+    usable, odds = evidence(seen, n)
+
+    @F.pandas_udf("features binary, sizes binary, others long")
     def bags(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        features = WordFeatures()
+        features = WordFeatures(usable)
         for series in texts:
-            out = []
-            for text in series:
-                size, kept = 0, []
-                for b in _bags(text, features):
-                    size += len(b)
-                    if size > SAMPLE_FEATURES:
-                        break
-                    kept.append(b)
-                found = bags_of(kept)
-                out.append((found.features.tobytes(), found.sizes.tobytes()))
-            yield pd.DataFrame(out, columns=["features", "sizes"])
+            found = [bags_of(_bags(text, features)) for text in series]
+            yield pd.DataFrame([(b.features.tobytes(), b.sizes.tobytes(), b.others) for b in found], columns=["features", "sizes", "others"])
 
-    chosen = sampled(docs, labels, rows, id_column, of_each)  # so few rows that they can be sent to the texts
-    texts = docs.where(rows).select(F.col(id_column).alias("key"), text_of(text_column).alias("text")).join(F.broadcast(chosen), "key")
     fitted = texts.select("label", F.xxhash64("key", "text").alias("order"), bags("text").alias("bags"))
-    found = fitted.select("label", "order", "bags.features", "bags.sizes").limit(3 * of_each).toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
-    docs = [Bags(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(n.as_buffer(), np.int32)) for f, n in zip(found["features"], found["sizes"], strict=True)]
-    return train(docs, found["label"].to_pylist())
+    found = fitted.select("label", "order", "bags.*").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
+    fits = [Bags(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.int32), o.as_py()) for f, k, o in zip(found["features"], found["sizes"], found["others"], strict=True)]
+    return train(fits, found["label"].to_pylist(), usable, odds)
 
 
 def toxicity(model: Model, text: Column) -> Column:

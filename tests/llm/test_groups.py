@@ -164,6 +164,17 @@ def test_toxicity(spark, awkward, nothing, sf_dir):
     assert toxicity.score_toxicity(nothing, toxicity.learn(nothing, labels.limit(0), F.lit(True))).count() == 0
 
 
+def test_toxicity_learns_from_the_end_of_a_long_text(spark):
+    plain = "The weather was fair and they walked home along the river. "
+    rows = [(i, plain * 300 + ("You are a vile grobnik." if i % 2 else "That was a quiet evening.")) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(docs, model).collect()}
+    assert got == {i: i % 2 for i in range(60)}
+    assert [x.number for x in docs.where("doc_id = 1").select(toxicity.offending_sentences(model, F.col("text")).alias("s")).first().s] == [300]
+
+
 def test_pipeline_stages_keep_the_columns(spark, documents, sf_dir):
     import corpus_pipeline
 
