@@ -169,10 +169,12 @@ def sampled(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "
 
 
 def sampled_texts(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "doc_id", text_column: str = "text", of_each: int = SAMPLE_OF_EACH) -> DataFrame:
-    """key, label, text of the sampled documents, whole."""
+    """key, label, text of the sampled documents, whole: one text of each, of several that share an id the one of the smallest
+    hash. So there are no more rows than sampled ids, however often one occurs, and the same in every run."""
     chosen = sampled(docs, labels, rows, id_column, of_each)  # so few rows that they can be sent to the texts
     texts = docs.where(rows).select(F.col(id_column).alias("key"), text_of(text_column).alias("text"))
-    return texts.join(F.broadcast(chosen), "key").select("key", "label", "text").limit(3 * of_each)
+    one = texts.join(F.broadcast(chosen), "key").groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("key", "label", "least.text")
 
 
 def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "doc_id", text_column: str = "text", of_each: int = SAMPLE_OF_EACH) -> Model:

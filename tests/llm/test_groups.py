@@ -175,6 +175,18 @@ def test_toxicity_learns_from_the_end_of_a_long_text(spark):
     assert [x.number for x in docs.where("doc_id = 1").select(toxicity.offending_sentences(model, F.col("text")).alias("s")).first().s] == [300]
 
 
+def test_toxicity_samples_one_text_of_an_id_in_any_order(spark):
+    rows = [(0, f"copy {i % 3} of a plain note") for i in range(300)] + [(i, f"note {i}") for i in range(1, 9)]
+    labels = spark.createDataFrame([(i, int(i > 4)) for i in range(9)], "doc_id long, toxic int")
+
+    def sample(rows, parts):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        return sorted(tuple(r) for r in toxicity.sampled_texts(docs, labels, F.lit(True), of_each=5).collect())
+
+    got = sample(rows, 1)
+    assert [(k, t) for k, t, _ in got] == [(i, int(i > 4)) for i in range(9)] and got == sample(rows[::-1], 5)
+
+
 def test_pipeline_stages_keep_the_columns(spark, documents, sf_dir):
     import corpus_pipeline
 
