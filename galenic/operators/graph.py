@@ -80,17 +80,18 @@ def implied_specificity(names: DataFrame, group: str, name: str) -> DataFrame:
     return w.join(n, [group, name], "left").select(group, name, F.coalesce("parents", F.lit(0)).cast("long").alias("parents"))
 
 
-def ancestors(spark: SparkSession, tree: DataFrame, most: int = 8) -> DataFrame:
-    """id, ancestor, depth, each node its own at depth 0, up the parent chain; bounded, so a cycle ends."""
+def ancestors(spark: SparkSession, tree: DataFrame) -> DataFrame:
+    """id, ancestor, depth, each node its own at depth 0, up the whole parent chain; a cycle ends where it would come round."""
     up = tree.select(F.col("id").alias("node"), F.col("parent_id").alias("next"))
-    out = level = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.col("parent_id").alias("next"))
-    for k in range(1, most + 1):
-        level = level.where(F.col("next").isNotNull()).select("id", F.col("next").alias("ancestor"), F.lit(k).alias("depth"))
-        if k == most or level.isEmpty():
-            break
-        level = level.join(up, F.col("ancestor") == F.col("node"), "left").select("id", "ancestor", "depth", "next")
+    out = level = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.col("parent_id").alias("next"), F.array("id").alias("met"))
+    while True:
+        level = level.where(F.col("next").isNotNull() & ~F.array_contains("met", F.col("next"))).select("id", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("met", F.col("next")).alias("met"))
+        level = level.join(up, F.col("ancestor") == F.col("node"), "left").select("id", "ancestor", "depth", "next", "met")
+        # each level's rows are stored, else a level would compute all those before it again; without a shared folder only a single machine's memory is left
+        level = level.checkpoint() if spark.sparkContext.getCheckpointDir() else level.localCheckpoint()
+        if level.isEmpty():
+            return out.select("id", "ancestor", "depth")
         out = out.unionByName(level)
-    return out.select("id", "ancestor", "depth")
 
 
 def inherited_roles(grants: DataFrame, ancestry: DataFrame) -> DataFrame:

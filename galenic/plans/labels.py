@@ -280,7 +280,25 @@ def quantified_forms(spark: SparkSession, d: str) -> DataFrame:
     """Names with a leading volume are linked to the concept of the same level that has the rest of the name; of several
     concepts of one folded name the smallest id counts."""
     c = V.concepts(spark, d).where(F.col("tty").isin("SCD", "SBD"))
-    named = c.where(F.length("name") % 2 == 0).select("tty", F.concat((F.length("name") % 20 + 1).cast("string"), F.lit(" ML "), "name").alias("name"))
+    return _quantified_links(c.where(F.length("name") % 2 == 0), c)
+
+
+@query(
+    "quantified_forms_whole",
+    with_views(
+        """, q AS (SELECT DISTINCT tty, name AS base, CAST(length(name) % 20 + 1 AS VARCHAR) || ' ML ' || name AS name FROM v_concepts WHERE tty IN ('SCD', 'SBD'))
+        SELECT q.tty, q.name, CAST(length(q.base) % 20 + 1 AS VARCHAR) AS magnitude, 'ML' AS unit, c.rxcui AS base_rxcui FROM q JOIN v_concepts c ON c.tty = q.tty AND c.name = q.base""",
+        "v_concepts",
+    ).replace(") , q AS", "), q AS"),
+)
+def quantified_forms_whole(spark: SparkSession, d: str) -> DataFrame:
+    """As quantified_forms, whose SQL takes names of even length only, for every name."""
+    c = V.concepts(spark, d).where(F.col("tty").isin("SCD", "SBD"))
+    return _quantified_links(c, c)
+
+
+def _quantified_links(of: DataFrame, c: DataFrame) -> DataFrame:
+    named = of.select("tty", F.concat((F.length("name") % 20 + 1).cast("string"), F.lit(" ML "), "name").alias("name"))
     q = named.select("tty", "name", R.quantified(F.col("name")).alias("q"))
     fold = lambda x: F.trim(F.regexp_replace(F.lower(x), r"\s+", " "))
     base = c.groupBy("tty", fold(F.col("name")).alias("folded")).agg(F.min("rxcui").alias("base_rxcui"))

@@ -46,3 +46,11 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).limit(1).count() == 1
     assert set(__spark_entry__.queries()) >= set(QUERIES)
+
+
+def test_whole_queries_leave_nothing_out(spark, sf_dir):
+    admins = {r.facility_id: r.admins for r in QUERIES["role_inheritance_whole"](spark, sf_dir).collect()}
+    below = {r.facility_id: r.admins for r in QUERIES["role_inheritance"](spark, sf_dir).collect()}
+    assert all(admins[k] >= n for k, n in below.items()) and any(admins[k] > below.get(k, 0) for k in admins if k > 1000)
+    concepts = QUERIES["strict_rxname"](spark, sf_dir).where("tty IN ('SCD', 'SBD')").agg({"n": "sum"}).first()[0]
+    assert QUERIES["quantified_forms_whole"](spark, sf_dir).select("base_rxcui").distinct().count() == concepts

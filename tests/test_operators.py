@@ -148,6 +148,14 @@ SPL = """<document xmlns="urn:hl7-org:v3"><component><structuredBody><component>
 <component><section><code code="42229-5"/><title>Other</title><text>Keep dry.</text></section></component></structuredBody></component></document>"""
 
 
+def test_ancestors_have_no_depth_limit(spark):
+    chain = [(i, i + 1 if i < 12 else None) for i in range(1, 13)]
+    tree = spark.createDataFrame([*chain, (20, 21), (21, 22), (22, 20), (30, 30), (31, 20)], "id long, parent_id long")
+    up = {(r.id, r.ancestor, r.depth) for r in G.ancestors(spark, tree).collect()}
+    assert {x for x in up if x[0] < 20} == {(i, j, j - i) for i in range(1, 13) for j in range(i, 13)}
+    assert sorted(x for x in up if x[0] >= 20) == [(20, 20, 0), (20, 21, 1), (20, 22, 2), (21, 20, 2), (21, 21, 0), (21, 22, 1), (22, 20, 1), (22, 21, 2), (22, 22, 0), (30, 30, 0), (31, 20, 1), (31, 21, 2), (31, 22, 3), (31, 31, 0)]
+
+
 def test_label_sections(spark):
     s = D.xml_sections(spark.createDataFrame([("a", SPL)], "setid string, xml string"))
     got = [(r.path, r.title, r.tags) for r in s.select("ordinal", "path", "title", D.tags(F.col("text"), F.col("path")).alias("tags")).orderBy("ordinal").collect()]
