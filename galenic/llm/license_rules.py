@@ -39,11 +39,11 @@ apache-1.1 | apache | 3 spdx license identifier apache 1 1 ;; 2 apache (?:softwa
 apache-1.0 | apache | 3 spdx license identifier apache 1 0 ;; 2 apache (?:software )?licen[cs]e(?: version)? 1 0
 apache | apache | 1 apache (?:software )?licen[cs]e
 gpl-2.0-only | gpl | 3 spdx license identifier gpl 2 0(?: only)? ;; 2 gpl ?v?2(?: 0)? only ;; 2 licen[cs]e gpl ?v?2(?: 0)? ;; 2 gpl ?v2
-gpl-2.0-only | general public license | 3 gnu general public license version 2 as published by the free software foundation ;; 2 gnu general public licen[cs]e(?: version)? v?2(?: 0)?
+gpl-2.0-only | general public licen | 3 gnu general public license version 2 as published by the free software foundation ;; 2 gnu general public licen[cs]e(?: version)? v?2(?: 0)?
 gpl-2.0-or-later | gpl | 3 spdx license identifier gpl 2 0 or later ;; 2 gpl ?v?2(?: 0)? or later
 gpl-2.0-or-later | general public license | 3 gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
 gpl-3.0-only | gpl | 3 spdx license identifier gpl 3 0(?: only)? ;; 2 gpl ?v?3(?: 0)? only ;; 2 licen[cs]e gpl ?v?3(?: 0)? ;; 2 gpl ?v3
-gpl-3.0-only | general public license | 2 gnu general public licen[cs]e(?: version)? v?3(?: 0)?
+gpl-3.0-only | general public licen | 2 gnu general public licen[cs]e(?: version)? v?3(?: 0)?
 gpl-3.0-or-later | gpl | 3 spdx license identifier gpl 3 0 or later ;; 2 gpl ?v?3(?: 0)? or later
 gpl-3.0-or-later | general public license | 3 gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
 gpl-1.0 | gpl | 3 spdx license identifier gpl 1 0(?: only| or later)? ;; 2 gpl ?v?1(?: 0)?
@@ -58,7 +58,8 @@ lgpl | lgpl | 1 (?:gnu )?lgpl(?: licen[cs]ed?)?
 lgpl | general public | 2 gnu (?:lesser|library) general public licen[cs]e
 agpl-3.0 | agpl | 3 spdx license identifier agpl 3 0(?: only| or later)? ;; 2 agpl ?v?3(?: 0)?(?: or later)?
 agpl-3.0 | affero | 3 gnu affero general public license as published by the free software foundation either version 3 ;; 2 gnu affero general public licen[cs]e(?: version)? v?3(?: 0)?
-agpl-1.0 | affero | 3 spdx license identifier agpl 1 0 ;; 2 affero general public licen[cs]e(?: version)? 1(?: 0)?
+agpl-1.0 | agpl | 3 spdx license identifier agpl 1 0
+agpl-1.0 | affero | 2 affero general public licen[cs]e(?: version)? 1(?: 0)?
 agpl | affero | 2 (?:gnu )?affero general public licen[cs]e
 bsd-2-clause | bsd | 3 spdx license identifier bsd 2 clause ;; 2 (?:simplified|freebsd|2 clause|two clause) bsd(?: style)? licen[cs]e ;; 2 bsd (?:2|two) clause(?: licen[cs]e)? ;; 2 opensource org licenses bsd 2 clause
 bsd-3-clause | bsd | 3 spdx license identifier bsd 3 clause ;; 2 (?:modified|revised|new|3 clause|three clause) bsd(?: style)? licen[cs]e ;; 2 bsd (?:3|three) clause(?: licen[cs]e)? ;; 2 opensource org licenses bsd 3 clause
@@ -74,7 +75,8 @@ isc | permission to use copy modify | 2 permission to use copy modify and or dis
 mpl-1.1 | mpl | 3 spdx license identifier mpl 1 1 ;; 2 mpl ?v?1 1
 mpl-1.1 | mozilla public | 3 contents of this file are subject to the mozilla public license version 1 1 ;; 2 mozilla public licen[cs]e(?: version)? v?1 1
 mpl-2.0 | mpl | 3 spdx license identifier mpl 2 0(?: no copyleft exception)? ;; 2 mpl ?v?2(?: 0)?
-mpl-2.0 | mozilla public | 3 subject to the terms of the mozilla public license v 2 0 ;; 2 mozilla public licen[cs]e(?: version)? v? ?2(?: 0)? ;; 2 mozilla org mpl 2 0
+mpl-2.0 | mozilla public | 3 subject to the terms of the mozilla public license v 2 0 ;; 2 mozilla public licen[cs]e(?: version)? v? ?2(?: 0)?
+mpl-2.0 | mozilla org | 2 mozilla org mpl 2 0
 mpl | mozilla public | 1 mozilla public licen[cs]e
 epl-1.0 | epl | 3 spdx license identifier epl 1 0 ;; 2 epl ?v?1(?: 0)?
 epl-1.0 | eclipse public | 2 eclipse public licen[cs]e(?: version)? v? ?1(?: 0)?
@@ -85,32 +87,39 @@ edl-1.0 | eclipse distribution | 2 eclipse distribution licen[cs]e(?: version)?(
 cddl-1.0 | cddl | 3 spdx license identifier cddl 1 0 ;; 2 cddl ?v?1(?: 0)? ;; 1 cddl licen[cs]ed?
 cddl-1.1 | cddl | 3 spdx license identifier cddl 1 1 ;; 2 cddl ?v?1 1
 cddl | common development and distribution | 2 common development and distribution licen[cs]e
-cpl-1.0 | common public | 3 spdx license identifier cpl 1 0 ;; 2 common public licen[cs]e(?: version)?(?: 1(?: 0)?)?
+cpl-1.0 | cpl | 3 spdx license identifier cpl 1 0
+cpl-1.0 | common public | 2 common public licen[cs]e(?: version)?(?: 1(?: 0)?)?
 cpal-1.0 | common public attribution | 2 common public attribution licen[cs]e(?: version)?(?: 1(?: 0)?)?
 eupl-1.1 | eupl | 3 spdx license identifier eupl 1 1 ;; 2 eupl ?v?1 1
 eupl-1.2 | eupl | 3 spdx license identifier eupl 1 2 ;; 2 eupl ?v?1 2 ;; 1 licen[cs]ed under (?:the )?eupl
 eupl | european union public | 2 european union public licen[cs]e
-ms-pl | microsoft public | 3 spdx license identifier ms pl ;; 2 microsoft public licen[cs]e ;; 2 licen[cs]ed under (?:the )?microsoft public
+ms-pl | ms pl | 3 spdx license identifier ms pl
+ms-pl | microsoft public | 2 microsoft public licen[cs]e ;; 2 licen[cs]ed under (?:the )?microsoft public
 ms-pl | ms pl | 2 ms pl(?: licen[cs]ed?)?
 ms-rl | microsoft reciprocal | 2 microsoft reciprocal licen[cs]e
 artistic-1.0 | artistic | 3 spdx license identifier artistic 1 0(?: perl)? ;; 2 artistic licen[cs]e(?: version)? 1(?: 0)?
 artistic-2.0 | artistic | 3 spdx license identifier artistic 2 0 ;; 2 artistic licen[cs]e(?: version)? 2(?: 0)?
 artistic | artistic | 1 (?:perl )?artistic licen[cs]e ;; 2 same terms as perl itself under the artistic licen[cs]e
 perl | same terms as perl | 2 under the same terms as perl(?: itself)?
-psf-2.0 | python software foundation | 2 python software foundation licen[cs]e(?: version)?(?: 2(?: 0)?)? ;; 1 psf licen[cs]e
-python-2.0 | python | 3 spdx license identifier python 2 0 ;; 3 spdx license identifier psf 2 0 ;; 2 python licen[cs]e(?: version)? 2(?: 0)?
+psf-2.0 | python software foundation | 2 python software foundation licen[cs]e(?: version)?(?: 2(?: 0)?)?
+psf-2.0 | psf | 1 psf licen[cs]e
+python-2.0 | python | 3 spdx license identifier python 2 0
+python-2.0 | psf | 3 spdx license identifier psf 2 0
+python-2.0 | python | 2 python licen[cs]e(?: version)? 2(?: 0)?
 ruby | ruby | 3 spdx license identifier ruby ;; 2 ruby licen[cs]e ;; 2 same terms as ruby
 php-3.0 | php | 3 spdx license identifier php 3 0 ;; 2 php licen[cs]e(?: version)? v?3(?: 0)?
 php-3.01 | php | 3 spdx license identifier php 3 01 ;; 2 php licen[cs]e(?: version)? v?3 01
 zlib | zlib | 3 spdx license identifier zlib ;; 2 zlib(?: libpng)? licen[cs]ed? ;; 2 opensource org licenses zlib
 zlib | altered source versions | 3 altered source versions must be plainly marked as such and must not be misrepresented as being the original software
 libpng | libpng | 3 spdx license identifier libpng(?: 2 0)? ;; 2 libpng licen[cs]e
-bsl-1.0 | boost | 3 spdx license identifier bsl 1 0 ;; 3 distributed under the boost software license version 1 0 ;; 2 boost software licen[cs]e(?: version)?(?: v?1(?: 0)?)? ;; 2 boost org license 1 0 txt
+bsl-1.0 | bsl | 3 spdx license identifier bsl 1 0
+bsl-1.0 | boost | 3 distributed under the boost software license version 1 0 ;; 2 boost software licen[cs]e(?: version)?(?: v?1(?: 0)?)? ;; 2 boost org license 1 0 txt
 unlicense | unlicense | 3 spdx license identifier unlicense ;; 2 the unlicense ;; 2 unlicense org
 unlicense | free and unencumbered software | 3 this is free and unencumbered software released into the public domain
 wtfpl | wtfpl | 3 spdx license identifier wtfpl ;; 2 wtfpl(?: licen[cs]ed?)?(?: version 2)?
 wtfpl | what the fuck you want | 2 do what the fuck you want to public licen[cs]e
-cc0-1.0 | cc0 | 3 spdx license identifier cc0 1 0 ;; 2 cc0(?: 1 0)?(?: universal)? ;; 2 creativecommons org publicdomain zero 1 0
+cc0-1.0 | cc0 | 3 spdx license identifier cc0 1 0 ;; 2 cc0(?: 1 0)?(?: universal)?
+cc0-1.0 | creativecommons org | 2 creativecommons org publicdomain zero 1 0
 cc0-1.0 | creative commons zero | 2 creative commons zero(?: v?1 0)?(?: universal)?
 cc-by-1.0 | cc by | 3 spdx license identifier cc by 1 0 ;; 2 cc by 1 0
 cc-by-2.0 | cc by | 3 spdx license identifier cc by 2 0 ;; 2 cc by 2 0
@@ -150,8 +159,8 @@ odbl-1.0 | open database | 2 open database licen[cs]e(?: odbl)?(?: v?1 0)?
 odc-by-1.0 | open data commons attribution | 2 open data commons attribution licen[cs]e(?: v?1 0)?
 odc-by-1.0 | odc by | 3 spdx license identifier odc by 1 0 ;; 2 odc by(?: 1 0)?
 pddl-1.0 | public domain dedication and license | 2 public domain dedication and license(?: v?1 0)?
-gfdl-1.2 | documentation license | 2 gnu free documentation licen[cs]e(?: version)? 1 2
-gfdl-1.3 | documentation license | 2 gnu free documentation licen[cs]e(?: version)? 1 3
+gfdl-1.2 | documentation licen | 2 gnu free documentation licen[cs]e(?: version)? 1 2
+gfdl-1.3 | documentation licen | 2 gnu free documentation licen[cs]e(?: version)? 1 3
 gfdl | gfdl | 3 spdx license identifier gfdl 1 [123](?: only| or later)? ;; 2 gfdl
 gfdl | documentation license | 1 (?:gnu )?free documentation license
 ofl-1.1 | sil open font | 3 sil open font licen[cs]e version 1 1 ;; 2 sil open font licen[cs]e
@@ -184,7 +193,8 @@ beerware | beer | 3 spdx license identifier beerware ;; 2 beer ?ware licen[cs]e
 json | json | 3 spdx license identifier json ;; 2 json licen[cs]e
 json | good not evil | 3 the software shall be used for good not evil
 ijg | jpeg group | 2 independent jpeg group(?: s)? licen[cs]e
-freetype | freetype | 3 spdx license identifier ftl ;; 2 freetype (?:project )?licen[cs]e
+freetype | ftl | 3 spdx license identifier ftl
+freetype | freetype | 2 freetype (?:project )?licen[cs]e
 imagemagick | imagemagick | 3 spdx license identifier imagemagick ;; 2 imagemagick licen[cs]e
 lppl-1.3c | latex project public | 2 latex project public licen[cs]e(?: version)?(?: 1 3(?: c)?)?
 lppl-1.3c | lppl | 3 spdx license identifier lppl 1 3c ;; 2 lppl(?: version)?(?: 1 3c?)?
@@ -202,7 +212,8 @@ rail | responsible ai license | 2 responsible ai license
 cdla-permissive | community data license | 3 community data license agreement permissive(?: version)?(?: [12] 0)? ;; 2 community data license agreement
 cdla-permissive | cdla | 3 spdx license identifier cdla permissive [12] 0 ;; 2 cdla permissive
 ogl-uk-3.0 | open government | 2 open government licen[cs]e(?: v?[123](?: 0)?)?
-etalab-2.0 | etalab | 2 licence ouverte open licence ;; 2 etalab(?: open)? licen[cs]e
+etalab-2.0 | licence ouverte | 2 licence ouverte open licence
+etalab-2.0 | etalab | 2 etalab(?: open)? licen[cs]e
 public-domain | public domain | 2 (?:released|dedicated|placed) (?:in|in to|into|to) the public domain ;; 1 this work is in the public domain ;; 1 public domain software
 all-rights-reserved | rights reserved | 1 all rights reserved ;; 1 alle rechte vorbehalten all rights reserved ;; 2 copyright(?: c)?(?: (?:19|20)[0-9]{2})(?: [^ ]+){1,8} all rights reserved
 all-rights-reserved | alle rechte vorbehalten | 1 alle rechte vorbehalten
@@ -233,7 +244,7 @@ def rules() -> list[Rule]:
 
 #: One of these words stands in every rule's every match: texts without one need no rule.
 ANCHORS = (
-    "licen[cs]e[ds]?|licen[cs]ing|unlicense|mit|gpl(?:v[0-9])?|lgpl|agpl|bsd|0bsd|mpl|epl|cddl|eupl|wtfpl|cc0?|creative|creativecommons|"
+    "licen[cs]e[ds]?|licen[cs]ing|unlicense|mit|(?:[al]?gpl|mpl|epl|cddl|eupl)(?:v?[0-9]+)?|bsd|0bsd|wtfpl|cc0?|creative|creativecommons|"
     "gfdl|odbl|odc|ofl|cecill|lppl|sspl|busl|beer|beerware|mulan|openrail|cdla|permission|permitted|copyright|public|perl|"
     "endorse|advertising|altered|unencumbered|granted|rights|rechte|droits|derechos|proprietary|unauthorized|commercial|commercial|"
     "noncommercial|commons|good|apache|ruby|free|shareware|expat|x11|etalab|licence|open|ms|boost"

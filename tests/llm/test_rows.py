@@ -4,6 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
+from itertools import product
 
 import pytest
 from pyspark.sql import functions as F
@@ -47,6 +48,41 @@ def test_license_rules_have_their_anchor_and_keyword():
         re.compile(r.regex)
 
 
+def examples(parsed):
+    """All strings that a parsed rule regex matches, one of each open class."""
+    out = [""]
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            each = [chr(arg)]
+        elif str(op) == "NOT_LITERAL":
+            each = ["x"]
+        elif str(op) == "IN":
+            each = [chr(v if str(o) == "LITERAL" else v[0]) for o, v in arg]
+        elif str(op) == "BRANCH":
+            each = [e for b in arg[1] for e in examples(b)]
+        elif str(op) == "SUBPATTERN":
+            each = examples(arg[3])
+        else:
+            least, _, what = arg
+            each = [""] * (least == 0) + [e * max(least, 1) for e in examples(what)]
+        out = [a + b for a, b in product(out, each)]
+    return out
+
+
+def test_license_gates_lose_nothing(spark):
+    found = {r.rank: examples(re._parser.parse(r.regex)) for r in rules()}
+    for r in rules():
+        for e in found[r.rank]:
+            assert re.fullmatch(r.regex, e) and r.keyword in e and re.search(f" (?:{ANCHORS}) ", f" {e} "), (r, e)
+    df = spark.createDataFrame([(k, v[0]) for k, v in found.items()] + [(-1, "AGPLv3"), (-2, "SPDX-License-Identifier: BSL-1.0"), (-3, "GPL2 only")], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert [got[k].labels for k in (-1, -2, -3)] == [["agpl-3.0"], ["bsl-1.0"], ["gpl-2.0-only"]]
+    for k, v in found.items():
+        low = f" {v[0]} "
+        ungated = sorted((low[: m.start()].count(" ") - 1, r.rank) for r in rules() for m in re.finditer(f"(?<= )(?:{r.regex})(?= )", low))
+        assert sorted((d.start, d.rank) for d in got[k].detections) == ungated, v[0]
+
+
 def test_license_suppression(spark):
     df = spark.createDataFrame([(1, "licensed under the Apache License, Version 2.0"), (2, "SPDX-License-Identifier: GPL-2.0-or-later"), (3, "the unlicense; nothing else"), (4, "a gpl v3 thing and MIT license")], "doc_id long, text string")
     got = {r.doc_id: (r.labels, len(r.detections), r.n_unsuppressed) for r in license_scan.scan_licenses(df).collect()}
