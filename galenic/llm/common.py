@@ -7,9 +7,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Rows of one Arrow batch. Texts of some 100 KB then stay within a worker's memory.
-BATCH_ROWS = 1000
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of one Arrow batch. Texts differ in length, so a number of rows would not bound a worker's memory; one text may be longer.
+BATCH_BYTES = "8m"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local_dirs: dict[str, str] = {}
 
@@ -70,10 +70,10 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     return joined.where(F.getbit(byte, F.expr("int(__at % 8)")) == 1).select(*df.columns)
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch, so that a worker's memory is bounded by rows times text length."""
-    if int(spark.conf.get(BATCH_CONF)) > rows or int(spark.conf.get(BATCH_CONF)) <= 0:
-        spark.conf.set(BATCH_CONF, str(rows))
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch in this session, unless it sets its own bound."""
+    if int((spark.conf.get(BATCH_CONF, None) or "-1").rstrip("kmgKMG")) <= 0:
+        spark.conf.set(BATCH_CONF, BATCH_BYTES)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

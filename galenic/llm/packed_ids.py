@@ -7,9 +7,11 @@ length, the byte at which each block starts, and its own size, so that a reader
 
 from __future__ import annotations
 
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import partial
 from pathlib import Path
 
 import numpy as np
@@ -18,8 +20,9 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .chunks import ChunkMemo, cut_at_blanks, ids_of, tokenizer_from
+from .chunks import LATIN, ChunkMemo, cut_at_blanks, ids_of, joined, tokenizer_from
 from .common import small_batches, text_of, written
+from .sp_bpe import byte_characters
 
 MAGIC = b"GALPFOR1"
 BLOCK = 128
@@ -37,33 +40,72 @@ def _bits(x: np.ndarray) -> np.ndarray:
     return np.frexp(x.astype(np.float64))[1]
 
 
-def pack_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of a run of ids; the last may be short."""
+def _squeeze(values: np.ndarray, w: int) -> np.ndarray:
+    """Rows of BLOCK integers below 2**w as rows of bytes, w bits for each, lowest first: eight of them fill w bytes."""
+    lanes = values.reshape(-1, 8).astype(np.uint64)
+    words = np.zeros((len(lanes), -(-w // 8)), "<u8")
+    for i in range(8):
+        word, shift = divmod(i * w, 64)
+        words[:, word] |= lanes[:, i] << np.uint64(shift)
+        if shift + w > 64:
+            words[:, word + 1] |= lanes[:, i] >> np.uint64(64 - shift)
+    return words.view(np.uint8)[:, :w].reshape(len(values), -1)
+
+
+def _spread(body: np.ndarray, w: int) -> np.ndarray:
+    """The inverse of _squeeze."""
+    packed = body.reshape(-1, w)
+    raw = np.zeros((len(packed), -(-w // 8) * 8), np.uint8)
+    raw[:, :w] = packed
+    words = raw.view("<u8")
+    out = np.empty((len(packed), 8), np.uint32)
+    for i in range(8):
+        word, shift = divmod(i * w, 64)
+        lane = words[:, word] >> np.uint64(shift)
+        if shift + w > 64:
+            lane |= words[:, word + 1] << np.uint64(64 - shift)
+        out[:, i] = lane & np.uint64((1 << w) - 1)
+    return out.reshape(len(body), BLOCK)
+
+
+def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a run of ids' blocks and each block's size; the last block may hold fewer ids."""
     if not len(ids):
-        return []
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
     n_blocks = -(-len(ids) // BLOCK)
     full = np.full(n_blocks * BLOCK, ids[-1], np.uint32)
     full[: len(ids)] = ids
     full = full.reshape(n_blocks, BLOCK)
     least = full.min(1)
     diff = full - least[:, None]
-    need = _bits(diff)
-    width = np.sort(need, 1)[:, BLOCK * PERCENTILE // 100]
-    over = need > width[:, None]
-    packed: list[bytes] = [b""] * n_blocks
-    for w in np.unique(width):
+    at = BLOCK * PERCENTILE // 100
+    width = _bits(np.partition(diff, at, 1)[:, at])
+    row, place = np.nonzero(diff.astype(np.uint64) >> width[:, None].astype(np.uint64))  # the exceptions
+    beyond = diff[row, place]
+    diff[row, place] = 0
+    n_beyond = np.bincount(row, minlength=n_blocks)
+    head = np.zeros(n_blocks, HEAD)
+    head["least"], head["n"], head["width"], head["n_exceptions"] = least, BLOCK, width, n_beyond
+    head["n"][-1] = len(ids) - (n_blocks - 1) * BLOCK
+    body = BLOCK // 8 * width.astype(np.int64)
+    size = HEAD.itemsize + body + 5 * n_beyond
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    out[start[:, None] + np.arange(HEAD.itemsize)] = head.view(np.uint8).reshape(n_blocks, -1)
+    for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        low = np.where(over[rows], 0, diff[rows])
-        if w:
-            bits = (low[:, :, None] >> np.arange(w, dtype=np.uint32)) & 1
-            body = np.packbits(bits.astype(np.uint8).reshape(len(rows), -1), axis=1)
-        else:
-            body = np.empty((len(rows), 0), np.uint8)
-        for k, row in enumerate(rows):
-            at = np.flatnonzero(over[row])
-            head = np.array((least[row], min(BLOCK, len(ids) - row * BLOCK), w, len(at)), HEAD)
-            packed[row] = head.tobytes() + body[k].tobytes() + at.astype(np.uint8).tobytes() + diff[row, at].astype("<u4").tobytes()
-    return packed
+        out[(start[rows] + HEAD.itemsize)[:, None] + np.arange(BLOCK // 8 * int(w))] = _squeeze(diff[rows], int(w))
+    lists = start + HEAD.itemsize + body
+    nth = np.arange(len(row)) - (np.cumsum(n_beyond) - n_beyond)[row]  # of a block's exceptions
+    out[lists[row] + nth] = place
+    out[(lists[row] + n_beyond[row] + 4 * nth)[:, None] + np.arange(4)] = beyond.astype("<u4").view(np.uint8).reshape(-1, 4)
+    return out, size
+
+
+def pack_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of a run of ids, one by one."""
+    data, size = pack(ids)
+    return [data[end - n : end].tobytes() for n, end in zip(size, np.cumsum(size), strict=True)]
 
 
 def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
@@ -72,20 +114,18 @@ def unpack_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.uint32)
     heads = raw[starts[:, None] + np.arange(HEAD.itemsize)].copy().view(HEAD)[:, 0]
-    out = np.empty((len(starts), BLOCK), np.uint32)
+    out = np.zeros((len(starts), BLOCK), np.uint32)
     body_at = starts + HEAD.itemsize
     size = BLOCK // 8 * heads["width"].astype(np.int64)
-    for w in np.unique(heads["width"]):
+    for w in np.unique(heads["width"][heads["width"] > 0]):
         rows = np.flatnonzero(heads["width"] == w)
-        value = np.zeros((len(rows), BLOCK), np.uint32)
-        if w:
-            bits = np.unpackbits(raw[body_at[rows][:, None] + np.arange(BLOCK // 8 * int(w))], axis=1).reshape(len(rows), BLOCK, int(w))
-            for b in range(int(w)):
-                value |= bits[:, :, b].astype(np.uint32) << np.uint32(b)
-        out[rows] = value
-    for row in np.flatnonzero(heads["n_exceptions"]):
-        k, at = int(heads["n_exceptions"][row]), int(body_at[row] + size[row])
-        out[row, raw[at : at + k]] = raw[at + k : at + 5 * k].copy().view("<u4")
+        out[rows] = _spread(raw[body_at[rows][:, None] + np.arange(BLOCK // 8 * int(w))], int(w))
+    n_beyond = heads["n_exceptions"].astype(np.int64)
+    row = np.repeat(np.arange(len(starts)), n_beyond)
+    nth = np.arange(len(row)) - (np.cumsum(n_beyond) - n_beyond)[row]
+    lists = body_at + size
+    at = (lists[row] + n_beyond[row] + 4 * nth)[:, None] + np.arange(4)
+    out[row, raw[lists[row] + nth]] = raw[at].view("<u4")[:, 0]
     out += heads["least"][:, None]
     return out[np.arange(BLOCK) < heads["n"][:, None].astype(np.int64)]
 
@@ -95,37 +135,43 @@ class PackedWriter:
 
     def __init__(self, sink):
         self.sink, self.at, self.n_ids = sink, sink.write(MAGIC) or len(MAGIC), 0
-        self.starts: list[int] = []
+        self.starts: list[np.ndarray] = []
         self.doc_ids: list[int | None] = []
-        self.lengths: list[int] = []
-        self.waiting: list[bytes] = []
+        self.lengths: list[np.ndarray] = []
+        self.waiting: list[np.ndarray] = []
         self.n_waiting = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         """ids: little-endian unsigned 32-bit integers."""
-        self.doc_ids.append(doc_id)
-        self.lengths.append(len(ids) // 4)
+        self.add_many([doc_id], np.frombuffer(ids, "<u4"), np.array([len(ids) // 4]))
+
+    def add_many(self, doc_ids: list[int | None], ids: np.ndarray, lengths: np.ndarray) -> None:
+        """Documents whose ids follow each other."""
+        self.doc_ids += doc_ids
+        self.lengths.append(lengths)
         self.waiting.append(ids)
-        self.n_waiting += len(ids) // 4
+        self.n_waiting += len(ids)
         if self.n_waiting >= BLOCK * BLOCKS_AT_ONCE:
             self._flush(False)
 
     def _flush(self, last: bool) -> None:
-        ids = np.frombuffer(b"".join(self.waiting), "<u4")
+        ids = np.concatenate([np.empty(0, np.uint32), *self.waiting])
         n = len(ids) if last else len(ids) // BLOCK * BLOCK
         for i in range(0, n, BLOCK * BLOCKS_AT_ONCE):
-            for block in pack_blocks(ids[i : min(n, i + BLOCK * BLOCKS_AT_ONCE)]):
-                self.starts.append(self.at)
-                self.at += len(block)
-                self.sink.write(block)
+            data, size = pack(ids[i : min(n, i + BLOCK * BLOCKS_AT_ONCE)])
+            self.starts.append(self.at + np.cumsum(size) - size)
+            self.at += len(data)
+            self.sink.write(data.tobytes())
         self.n_ids += n
-        self.waiting = [ids[n:].tobytes()]
+        self.waiting = [ids[n:]]
         self.n_waiting = len(ids) - n
 
     def close(self) -> None:
         self._flush(True)
         null = np.array([x is None for x in self.doc_ids], np.uint8)
-        for part in (np.array([x or 0 for x in self.doc_ids], "<i8"), null, np.array(self.lengths, "<u8"), np.array(self.starts, "<u8"), np.array((len(self.doc_ids), self.n_ids, len(self.starts)), TAIL)):
+        starts = np.concatenate([np.empty(0, np.int64), *self.starts])
+        lengths = np.concatenate([np.empty(0, np.int64), *self.lengths])
+        for part in (np.array([x or 0 for x in self.doc_ids], "<i8"), null, lengths.astype("<u8"), starts.astype("<u8"), np.array((len(self.doc_ids), self.n_ids, len(starts)), TAIL)):
             self.sink.write(part.tobytes())
 
 
@@ -160,11 +206,57 @@ def _open(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder)
 
 
+class WordIds:
+    """Ids of chunks as bytes. The tokenizer's model alone encodes words of lower-case Latin letters, if the tokenizer's other
+    steps only write those as byte characters, which is asked of it first; all else goes through the whole tokenizer."""
+
+    def __init__(self, tokenizer_json: str):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        whole = tokenizer_from(tokenizer_json)
+        self.whole = ids_of(whole)
+        bare = Tokenizer(whole.model)
+        bare.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bare = ids_of(bare)
+        suffix = json.loads(tokenizer_json)["model"].get("end_of_word_suffix")
+        vocabulary = whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.ends[[i for token, i in vocabulary.items() if suffix and token.endswith(suffix)]] = True
+        self.letters, self.chars = {c for c in LATIN if c.islower()}, byte_characters()
+        probe = "".join(a + b for a in sorted(self.letters) for b in sorted(self.letters))  # every two letters side by side
+        mapped = [self._mapped(probe)]
+        self.plain = bool(suffix) and self._parts(whole, probe) == mapped
+        self.lowers = self._parts(whole, probe.upper().replace("SS", "ß")) == mapped and self._parts(whole, "SS") == ["ss"]
+
+    def _mapped(self, word: str) -> str:
+        return word if word.isascii() else word.encode().decode("latin-1").translate(self.chars)
+
+    @staticmethod
+    def _parts(tokenizer, text: str) -> list[str]:
+        text = tokenizer.normalizer.normalize_str(text) if tokenizer.normalizer else text
+        return [p for p, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else [text]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Many words at once, parted where an id ends a word."""
+        ids = np.concatenate([np.array(x, "<u4") for x in self.bare([" ".join(map(self._mapped, words[i : i + 1000])) for i in range(0, len(words), 1000)])])
+        at = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+        data = ids.tobytes()
+        if len(at) != len(words) + 1 or at[-1] != len(data):
+            raise ValueError("a word does not end where its last id says so")
+        return [data[a:b] for a, b in zip(at, at[1:])]
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        plain = [self.plain and c != "" and self.letters.issuperset(c) for c in chunks]
+        words = [c for c, p in zip(chunks, plain, strict=True) if p]
+        others = [c for c, p in zip(chunks, plain, strict=True) if not p]
+        of_words, of_others = iter(self._words(words) if words else []), iter(self.whole(others) if others else [])
+        return [next(of_words) if p else np.array(next(of_others), "<u4").tobytes() for p in plain]
+
+
 def _writer(folder: str, tokenizer_json: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = ids_of(tokenizer_from(tokenizer_json))
-        memo = ChunkMemo(cut_at_blanks, lambda chunks: [np.array(x, "<u4").tobytes() for x in ids(chunks)])
-        end = np.array([end_id], "<u4").tobytes()
+        encode = WordIds(tokenizer_json)
+        memo = ChunkMemo(partial(cut_at_blanks, lower=encode.lowers), encode)
         writer = None
         for batch in batches:
             if not batch.num_rows:
@@ -176,8 +268,12 @@ def _writer(folder: str, tokenizer_json: str, end_id: int):
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"  # an attempt that fails leaves a file that no manifest names
                 sink = fs.open_output_stream(f"{path}/{name}")
                 writer = PackedWriter(sink)
-            for doc_id, found in zip(batch.column("id").to_pylist(), memo.each(batch.column("text").to_pylist()), strict=True):
-                writer.add(doc_id, b"".join(found) + end)
+            doc_ids, at = batch.column("id").to_pylist(), 0
+            for results, codes, starts in memo.coded(batch.column("text")):
+                data, where = joined(results, codes, starts)
+                ids = np.insert(np.frombuffer(data, "<u4"), where[1:] // 4, end_id)
+                writer.add_many(doc_ids[at : at + len(starts) - 1], ids, np.diff(where) // 4 + 1)
+                at += len(starts) - 1
         if writer is not None:
             writer.close()
             sink.close()
@@ -190,7 +286,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     """Encodes every text, appends the end id, and writes files in ascending id order; returns their manifest
     (part, file, n_docs, n_ids), which is itself a written table. Files that it doesn't name don't count.
 
-    The tokenizer must drop white space, so that blanks part its tokens. Null and empty texts have the end id
+    The tokenizer must drop white space and part letters from marks, so that no token crosses either. Null and empty texts have the end id
     alone; null ids come first; repeated rows are all written; an empty table gives no file. Columns other than
     id and text are not read. folder: any address that Arrow's file systems open and all executors share.
     """
@@ -203,7 +299,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
 def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
-    The manifest has a row per file; files are read by as many tasks."""
+    The manifest is a written table with a row per file; files are read by as many tasks."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, path = _open(folder)
@@ -220,7 +316,7 @@ def read_token_files(spark: SparkSession, folder: str, manifest: DataFrame) -> D
 
     placed = manifest.withColumn("base", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
     placed = placed.select("file", F.coalesce("base", F.lit(0)).cast("long").alias("base"))
-    return placed.repartition("file").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return placed.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

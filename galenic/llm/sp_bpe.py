@@ -12,10 +12,12 @@ import struct
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chunks import ChunkMemo, cut_before_blanks
+from .chunks import ChunkMemo, cut_before_blanks, joined
 from .common import small_batches, text_of
 
 
@@ -86,16 +88,12 @@ class SpBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.token.__getitem__, ids))
 
-    def encode_chunks(self, chunks: list[str]) -> list[tuple[str, bytes]]:
+    def encode_chunks(self, chunks: list[str]) -> list[tuple[bytes, bytes]]:
         """For each chunk its ids in decimal, each with a comma after it, and the bytes that they decode to."""
         parts = [self.find(c) for c in chunks]
         new = list(set().union(*parts))
-        ids = dict(zip(new, self.encode_pretokens(new), strict=True))
-        out = []
-        for part in parts:
-            all_ids = [i for p in part for i in ids[p]]
-            out.append(("".join([f"{i}," for i in all_ids]), self.decode(all_ids)))
-        return out
+        found = {p: ("".join([f"{i}," for i in ids]).encode(), self.decode(ids)) for p, ids in zip(new, self.encode_pretokens(new), strict=True)}
+        return [found[p[0]] if len(p) == 1 else (b"".join([found[x][0] for x in p]), b"".join([found[x][1] for x in p])) for p in parts]
 
 
 def bpe_round_trip(vocabulary_path: str, pattern: str, text: Column) -> Column:
@@ -107,9 +105,14 @@ def bpe_round_trip(vocabulary_path: str, pattern: str, text: Column) -> Column:
         memo = ChunkMemo(cut_before_blanks, SpBpe(read_ranks(vocabulary), pattern).encode_chunks)
         for series in texts:
             rows = []
-            for found in memo.each(series.fillna("").tolist()):
-                ids = "".join([x[0] for x in found])
-                rows.append((ids.count(","), hashlib.sha256(ids[:-1].encode()).hexdigest(), hashlib.sha256(b"".join([x[1] for x in found])).hexdigest()))
+            for results, codes, starts in memo.coded(pa.array(series.fillna(""), pa.string())):
+                ids, id_at = joined([r[0] for r in results], codes, starts)
+                raw, raw_at = joined([r[1] for r in results], codes, starts)
+                commas = np.append(0, np.cumsum(np.frombuffer(ids, np.uint8) == ord(",")))
+                n_tokens = np.diff(commas[id_at])
+                for k in range(len(starts) - 1):
+                    decimal = ids[id_at[k] : max(id_at[k], id_at[k + 1] - 1)]  # without the last comma
+                    rows.append((int(n_tokens[k]), hashlib.sha256(decimal).hexdigest(), hashlib.sha256(raw[raw_at[k] : raw_at[k + 1]]).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     return digests.asNondeterministic()(text)  # else a filter on the result would make it run again
@@ -133,7 +136,8 @@ def encode_decode(docs: DataFrame, vocabulary_path: str, pattern: str, id_column
     """One row per input row: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256.
 
     Null and empty texts have no tokens and the digests of nothing. Repeated rows each give a row; an empty table
-    gives none. Columns other than id and text are not read. Texts are encoded whole; blanks part the pattern's matches.
+    gives none. Columns other than id and text are not read. Texts are encoded whole; the pattern must start a
+    match at a blank, and at a mark after a letter.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_column), bpe_round_trip(vocabulary_path, pattern, text_of(text_column)).alias("trip"))

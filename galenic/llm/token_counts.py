@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,8 +54,9 @@ def _encoder(tokenizer_json: str, version: str):
                 if digest not in seen:
                     seen.add(digest)
                     new[digest] = text
-            counts = [sum(x) for x in memo.each(list(new.values()))]
-            yield pa.record_batch({"version": pa.array([version] * len(new)), "digest": pa.array(list(new), pa.binary()), "n_tokens": pa.array(counts, pa.int64())})
+            counts = [np.add.reduceat(np.array(results, np.float64)[codes], starts[:-1]) for results, codes, starts in memo.coded(pa.array(new.values(), pa.string()))]
+            n_tokens = np.concatenate([np.empty(0), *counts]).astype(np.int64)
+            yield pa.record_batch({"version": pa.array([version] * len(new)), "digest": pa.array(list(new), pa.binary()), "n_tokens": pa.array(n_tokens)})
 
     return encode
 
@@ -62,7 +64,7 @@ def _encoder(tokenizer_json: str, version: str):
 def count_tokens(docs: DataFrame, cache_path: str, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, n_bytes, n_tokens, as the tokenizers library counts them for the file's tokenizer.
 
-    It must be a byte-level tokenizer whose pattern starts a match at a blank. Texts are normalised only by taking
+    It must be a byte-level tokenizer whose pattern starts a match at a blank and at a mark after a letter. Texts are normalised only by taking
     null as empty, for any other change could change the count. The cache is a table of counts by text digest and
     tokenizer version in `cache_path`; texts that it lacks are encoded, each once, and appended. One writer at a time
     may use a cache.
