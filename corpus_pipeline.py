@@ -6,15 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from galenic.llm import jaccard_join, language_id, mixing, sp_bpe, toxicity
-from galenic.llm.common import held_out, scratch, small_batches, table, written
+from galenic.llm.common import held_out, scratch, small_batches, table
 
 #: Texts whose cosine with every language's prototype is below this are in none of them.
 LEAST_COSINE = 0.05
 
 
-#: Parts in which the near-copy stage joins its keys: at a similarity of 0.8 a text has about a key for every three words.
-KEY_SLICES = 3
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that are predicted to be toxic. Labels of held-out documents aren't learned from."""
@@ -33,11 +30,8 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents that links connect (five-word shingles, similarity of 0.8 or more) the one of the
-    smallest id stays; rows that share that id and equal each other stay once."""
-    groups = written(jaccard_join.similar_components(docs, n_words=5, num=8, den=10, slices=KEY_SLICES), "groups")
-    ids = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return kept if ids.where(F.col("__n") > 1).isEmpty() else kept.dropDuplicates()
+    smallest id stays, one row of it. Null and empty texts are in no group and stay."""
+    return jaccard_join.one_of_each(docs, n_words=5, num=8, den=10)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

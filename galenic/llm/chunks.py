@@ -25,7 +25,7 @@ LATIN = "".join(map(chr, [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0
 MEMO_CHUNKS = 400_000
 MEMO_CHARS = 48
 #: Bytes of texts that are worked on together; a longer text is worked on by itself.
-GROUP_BYTES = 8_000_000
+GROUP_BYTES = 4_000_000
 
 
 class Cut(NamedTuple):

@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Bytes of one Arrow batch. Texts differ in length, so a number of rows would not bound a worker's memory; one text may be longer.
-BATCH_BYTES = "8m"
+BATCH_BYTES = "4m"
 BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 _local_dirs: dict[str, str] = {}
@@ -43,7 +43,11 @@ CLEANUP_CONF = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """The same rows from a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
+    return write_to(df, scratch(df.sparkSession, what))
+
+
+def write_to(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
     before = spark.conf.get(CLEANUP_CONF)
     spark.conf.set(CLEANUP_CONF, "true")
     try:
@@ -53,6 +57,31 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Workspace:
+    """Tables of one computation in the shared folder: each cuts the lineage and survives lost executors. A table can go as soon as
+    what was read from it is itself a kept table."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root = spark, scratch(spark, what)
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex[:12]}"
+        kept = write_to(df, path)
+        self.paths.append((kept, path))
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        gone = [(t, p) for t, p in self.paths if any(t is x for x in tables)]
+        self.paths = [(t, p) for t, p in self.paths if not any(t is x for x in tables)]
+        for _, p in gone:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def drop_all_but(self, *tables: DataFrame) -> None:
+        self.drop(*[t for t, _ in self.paths if not any(t is x for x in tables)])
+
+
 #: Bits of a key filter, 16 MB whatever the data: it is sent to all executors.
 FILTER_BITS = 1 << 27
 BITMAP_BITS = 32768  # of one bitmap of Spark's bitmap functions
@@ -64,9 +93,8 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame, wanted_key: str) -> Dat
     place = lambda c: F.pmod(F.xxhash64(F.lit(17), c), F.lit(FILTER_BITS))
     marks = wanted.select(place(F.col(wanted_key)).alias("__at"))
     bitmaps = marks.groupBy((F.expr(f"__at div {BITMAP_BITS}")).alias("__block")).agg(F.bitmap_construct_agg(F.col("__at") % BITMAP_BITS).alias("__bits"))
-    at = place(F.col(key))
-    byte = F.conv(F.hex(F.substring("__bits", F.expr(f"int(__at % {BITMAP_BITS} div 8) + 1"), F.lit(1))), 16, 10).cast("int")
-    joined = df.withColumn("__at", at).withColumn("__block", F.expr(f"__at div {BITMAP_BITS}")).join(F.broadcast(bitmaps), "__block")
+    byte = F.ascii(F.decode(F.substring("__bits", F.expr(f"int(__at % {BITMAP_BITS} div 8) + 1"), F.lit(1)), "ISO-8859-1"))
+    joined = df.withColumn("__at", place(F.col(key))).withColumn("__block", F.expr(f"__at div {BITMAP_BITS}")).join(F.broadcast(bitmaps), "__block")
     return joined.where(F.getbit(byte, F.expr("int(__at % 8)")) == 1).select(*df.columns)
 
 

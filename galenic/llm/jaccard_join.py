@@ -5,7 +5,11 @@ shingles that fell on it, so two sketches' Hamming distance is at most the sets'
 threshold bounds that difference. By size band, sketches are cut into more pieces than the bound, so texts
 that are alike enough agree on a piece: pieces are the join keys, sketches filter, and the shingles themselves decide.
 
-Equal sets are one node from the start. Nodes of a bucket are first linked with one pivot each, and what is then in
+There are half as many pieces again as the pigeonhole needs, and a text's keys are those of its pieces that come first in an
+order that all texts share: pieces that fall on crowded cells come last. So passages that many texts have in common are
+keys only of texts that have too little else.
+
+Equal sets are one node from the start. Nodes of a bucket are first linked with its smallest node, and what is then in
 one component needs no more comparison; only pairs in different components that share a bucket are compared beyond that.
 So copies are never expanded into pairs, and no link between different components is lost.
 """
@@ -13,174 +17,292 @@ So copies are never expanded into pairs, and no link between different component
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import maybe_in, small_batches, text_of, written
+from .common import Workspace, maybe_in, small_batches, text_of
 
 SKETCH_LONGS = 8
+U = np.uint64
+#: Bytes that are hashed at once; a longer word is hashed by itself.
+SLICE_BYTES = 1 << 20
+_RANDOM = np.random.Generator(np.random.Philox(20240311))
+BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * U(2) + U(1)
+BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z count as a-z
+BASE = U(0x9E3779B97F4A7C15)
+INVERSE = U(pow(int(BASE), -1, 1 << 64))
+STEPS = _RANDOM.integers(0, 1 << 62, 64, np.uint64) * U(4) + U(1)
+SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: Shared cells in which all texts' pieces are counted, and a cell's excess over the others from which it is crowded.
+CELL_BITS = 16
+CROWD = 256
+#: Pairs that are compared with one copy of their common text.
+FAN = 1000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit numbers; a bijection."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class Shingler:
-    """Distinct shingle hashes of texts; hashes of words are remembered."""
-
-    def __init__(self, n_words: int):
-        self.n, self.known = n_words, {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        """Lower-cases A-Z and parts words at ASCII white space; fewer words than a shingle has are one shingle."""
-        words = text.encode("utf-8", "replace").lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        if len(self.known) > 500_000:
-            self.known = {}
-        known = self.known
-        for w in set(words).difference(known):
-            known[w] = xxhash.xxh3_64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.n, len(h))
-        out = np.full(len(h) - k + 1, k, np.uint64)
-        for i in range(k):
-            out = _mix(out + h[i : len(h) - k + 1 + i])
-        return np.unique(out)
+    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
+    return x ^ (x >> U(31))
+
+
+class _Powers:
+    """Powers of BASE and its inverse, made as far as they are needed."""
+
+    up = down = np.ones(1, U)
+
+    @classmethod
+    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(max(n, SLICE_BYTES), x, U)])) for x in (BASE, INVERSE))
+        return cls.up, cls.down
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of the texts, and where each text's words begin. A-Z count as a-z; words part at ASCII white space.
+    A word's hash is a polynomial in its bytes, taken from running sums over all bytes of a slice."""
+    if not len(texts):
+        return np.empty(0, U), np.zeros(1, np.int64)
+    _, offsets, data = texts.buffers()
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
+    at = at - at[0]
+    word = ~SPACE[raw]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[at] = True
+    begins = word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:-1]
+    ends = word.copy()
+    ends[:-1] &= ~word[1:] | edge[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    out = np.empty(len(first), U)
+    i = 0
+    while i < len(first):  # words i, ... of one slice
+        j = max(i + 1, int(np.searchsorted(last, first[i] + SLICE_BYTES, "right")))
+        up, down = _Powers.upto(int(last[j - 1] - first[i]) + 1)
+        sums = np.cumsum(BYTE_VALUES[raw[first[i] : last[j - 1]]] * up[: last[j - 1] - first[i]])
+        sums = np.concatenate([np.zeros(1, U), sums])
+        a, b = first[i:j] - first[i], last[i:j] - first[i]
+        out[i:j] = _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
+        i = j
+    return out, np.searchsorted(first, at)
+
+
+class Shingles(NamedTuple):
+    """Distinct shingle hashes of some texts, in ascending order: text k's from starts[k] up to but without starts[k + 1]."""
+
+    hashes: np.ndarray
+    starts: np.ndarray
+
+    def of(self, k: int) -> np.ndarray:
+        return self.hashes[self.starts[k] : self.starts[k + 1]]
+
+    def nodes(self) -> np.ndarray:
+        """A 64-bit digest of each set: equal sets are one node. Among n different sets two share one with odds of n * n / 2**65."""
+        return np.array([xxhash.xxh3_64_intdigest(self.of(k)) for k in range(len(self.starts) - 1)], U)
+
+    def sketches(self) -> np.ndarray:
+        """One bit for each shingle's hash, XOR-ed: rows of SKETCH_LONGS."""
+        n, h = len(self.starts) - 1, _mix(self.hashes)
+        bit = np.repeat(np.arange(n), np.diff(self.starts)) * (64 * SKETCH_LONGS) + (h % U(64 * SKETCH_LONGS)).astype(np.int64)
+        parity = np.bincount(bit, minlength=n * 64 * SKETCH_LONGS) & 1
+        return np.packbits(parity.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view("<u8").reshape(n, SKETCH_LONGS)
+
+
+def shingled(texts: pa.Array, n: int) -> Shingles:
+    """n-word shingles; fewer words than a shingle has are one shingle."""
+    h, at = word_hashes(texts)
+    count = np.diff(at)
+    windows = np.full(max(0, len(h) - n + 1), U(n))
+    for i in range(n):
+        windows += h[i : len(h) - n + 1 + i] * STEPS[i]
+    inside = np.arange(len(windows)) + n <= np.repeat(at[1:], count)[: len(windows)]
+    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(count - n + 1, count > 0))])
+    out = np.empty(starts[-1], U)
+    short = np.flatnonzero((count > 0) & (count < n))
+    from_windows = np.ones(len(out), bool)
+    from_windows[starts[short]] = False
+    out[from_windows] = _mix(windows[inside])
+    sums = [int((h[at[k] : at[k + 1]] * STEPS[: count[k]]).sum()) for k in short]
+    out[starts[short]] = _mix(np.array(sums, U) + count[short].astype(U))
+    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        out[a:b].sort()
+    new = np.ones(len(out), bool)
+    new[1:] = out[1:] != out[:-1]
+    new[starts[:-1][starts[:-1] < len(out)]] = True
+    return Shingles(out[new], np.concatenate([np.zeros(1, np.int64), np.cumsum(new)])[starts])
 
 
 class Bands:
     """Size bands for a threshold of num / den, and the pieces of each.
 
     The wider the bands, the more pieces their smaller sets have; the narrower, the more sets take part in two.
-    Pieces with fewer than `least_load` shingles are alike in too many texts and are left out where the pigeonhole allows.
     """
 
     def __init__(self, num: int, den: int, most: int = 1 << 40):
         self.num, self.den = num, den
         ratio = 1 + 2.5 * (den - num) / num
+        #: Pieces with fewer shingles are alike in many texts.
         self.least_load = 2 if num >= 5 * (den - num) else 1
         starts = [1]
         while starts[-1] < most:
             starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
         self.starts = np.array(starts)
-
-    def of(self, n: int) -> list[int]:
-        """The bands in which a set of n takes part: its own, and lower ones that hold a set it can link with."""
-        own = int(np.searchsorted(self.starts, n, "right")) - 1
-        least = -(-n * self.num // self.den)
-        first = int(np.searchsorted(self.starts, least, "right")) - 1
-        return list(range(first, own + 1))
-
-    def pieces(self, band: int) -> tuple[int, int]:
-        """How many pieces, and how many of them may be left out: of linked sets, the smaller one in this band,
-        at most `bound` shingles stand in one alone, so with bound + 1 + spare pieces at least spare + 1 agree."""
-        bound = (int(self.starts[band + 1]) - 1) * (self.den - self.num) // self.num
-        spare = bound // 12 + 1
-        return (bound + 1 + spare, spare) if bound else (0, 0)
-
-
-def piece_keys(shingles: np.ndarray, bands: Bands) -> np.ndarray:
-    out = []
-    for band in bands.of(len(shingles)):
-        n, spare = bands.pieces(band)
-        if not n:  # only equal sets link, and they are one node already
-            continue
-        at = ((shingles >> np.uint64(6)) % np.uint64(n)).astype(np.int64)
-        words = np.zeros(n, np.uint64)
-        np.bitwise_xor.at(words, at, shingles)
-        keys = _mix(words ^ _mix(np.arange(n, dtype=np.uint64) + np.uint64(band << 32)))
-        strong = np.bincount(at, minlength=n) >= bands.least_load
-        out.append(keys[strong] if n - strong.sum() <= spare else keys)
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def parity_sketch(shingles: np.ndarray) -> np.ndarray:
-    """One bit for each shingle's hash, XOR-ed."""
-    out = np.zeros(SKETCH_LONGS, np.uint64)
-    h = _mix(shingles)
-    np.bitwise_xor.at(out, (h >> np.uint64(6)).astype(np.int64) % SKETCH_LONGS, np.uint64(1) << (h & np.uint64(63)))
-    return out
-
-
-def node_of(shingles: np.ndarray) -> int:
-    """A 64-bit digest of a set: equal sets are one node. Among n different sets two share one with odds of n * n / 2**65."""
-    return xxhash.xxh3_64_intdigest(shingles.tobytes())
+        #: Of two linked sets, the smaller one in a band, at most `bound` shingles stand in one alone.
+        self.bound = (self.starts[1:] - 1) * (den - num) // num
+
+    def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows (set, band): a set takes part in its own band and in lower ones that hold a set it can link with.
+        Bands in which only equal sets link, which are one node already, are left out."""
+        own = np.searchsorted(self.starts, sizes, "right") - 1
+        first = np.searchsorted(self.starts, -(-sizes * self.num // self.den), "right") - 1
+        n = np.where(sizes > 0, own - first + 1, 0)
+        sets = np.repeat(np.arange(len(sizes)), n)
+        bands = first[sets] + np.arange(len(sets)) - np.repeat(np.cumsum(n) - n, n)
+        some = self.bound[bands] > 0
+        return sets[some], bands[some]
+
+
+class Pieces(NamedTuple):
+    """Keys of pieces, of which set each is, its rank among the set's pieces of that band, and how many of those are needed."""
+
+    keys: np.ndarray
+    sets: np.ndarray
+    ranks: np.ndarray
+    needed: np.ndarray
+
+
+def pieces(shingles: Shingles, bands: Bands, crowded: np.ndarray | None = None) -> Pieces:
+    """Every set's sketch in pieces, by band. With bound + 1 + spare pieces, linked sets agree on more than `spare`; the first of
+    those in an order that depends on the piece alone is among both sets' first bound + 1. The order: pieces in cells
+    that are not crowded, then those with enough shingles, then by place."""
+    sizes = np.diff(shingles.starts)
+    sets, band = bands.of(sizes)
+    needed = bands.bound[band] + 1
+    n = needed + needed // 2 + 1
+    offset = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+    length = sizes[sets]
+    segment = np.repeat(np.arange(len(sets)), length)
+    h = shingles.hashes[np.repeat(shingles.starts[sets] - (np.cumsum(length) - length), length) + np.arange(len(segment))]
+    at = offset[segment] + ((h >> U(6)) % n[segment].astype(U)).astype(np.int64)
+    words = np.zeros(offset[-1], U)
+    np.bitwise_xor.at(words, at, h)
+    owner = np.repeat(np.arange(len(sets)), n)
+    place = (np.arange(len(words)) - offset[owner]).astype(U)
+    keys = _mix(words ^ _mix(place + (band[owner].astype(U) << U(32))))
+    grade = (np.bincount(at, minlength=len(words)) < bands.least_load).astype(np.int8)
+    if crowded is not None:
+        grade += 2 * crowded[(keys >> U(64 - CELL_BITS)).astype(np.int64)]
+    ranks, below = np.empty(len(words), np.int64), np.zeros(len(sets), np.int64)
+    for g in range(4):
+        mine = grade == g
+        so_far = np.concatenate([np.zeros(1, np.int64), np.cumsum(mine)])
+        ranks[mine] = (below[owner] + so_far[:-1] - so_far[offset[owner]])[mine]
+        below += np.diff(so_far[offset])
+    return Pieces(keys, sets[owner], ranks, needed[owner])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
+    return x.astype(U).view(np.int64)
+
+
+SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
+SIGNATURE = "id long, hash long, n_shingles long, node long, first boolean, " + ", ".join(f"{s} long" for s in SKETCH)
+
+
+class _Firsts:
+    """Which sets of a task hold anything and have not come before in it."""
 
+    def __init__(self):
+        self.seen: set[int] = set()
 
-SIGNATURE = "id long, n_shingles long, node long, first boolean, " + ", ".join(f"s{i} long" for i in range(SKETCH_LONGS))
+    def __call__(self, shingles: Shingles, nodes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(nodes), bool)
+        for k, (node, size) in enumerate(zip(nodes.tolist(), np.diff(shingles.starts).tolist(), strict=True)):
+            if size and node not in self.seen:
+                self.seen.add(node)
+                out[k] = True
+        return out
 
 
 def _signer(n_words: int):
-    """Sizes, nodes and sketches; `first` marks the first text of a node in a task, the only one that has a sketch."""
+    """Sizes, nodes and sketches; `first` marks the first text of a node in a task, the only one whose sketch is kept."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(n_words), set()
+        firsts = _Firsts()
         for batch in batches:
-            nodes, sizes, firsts, sketches = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                s = shingler(text)
-                node = node_of(s)
-                sizes.append(len(s))
-                nodes.append(node)
-                firsts.append(len(s) > 0 and node not in seen)
-                seen.add(node)
-                sketches.append(parity_sketch(s) if firsts[-1] else np.zeros(SKETCH_LONGS, np.uint64))
-            block = _signed(np.array(sketches, np.uint64).reshape(-1, SKETCH_LONGS))
+            s = shingled(batch.column("text"), n_words)
+            nodes = s.nodes()
+            first = firsts(s, nodes)
+            block = _signed(np.where(first[:, None], s.sketches(), U(0)))
             yield pa.record_batch(
-                {"id": batch.column("id"), "n_shingles": pa.array(sizes, pa.int64()), "node": pa.array(_signed(np.array(nodes, np.uint64))), "first": pa.array(firsts, pa.bool_())}
-                | {f"s{i}": pa.array(block[:, i]) for i in range(SKETCH_LONGS)}
+                {"id": batch.column("id"), "hash": batch.column("hash"), "n_shingles": pa.array(np.diff(s.starts)), "node": pa.array(_signed(nodes)), "first": pa.array(first)}
+                | {name: pa.array(block[:, i].copy()) for i, name in enumerate(SKETCH)}
             )
 
     return sign
 
 
-def _keyer(n_words: int, bands: Bands, slices: int, number: int):
-    """Join keys of the first text of each node in a task that fall into a slice of all keys, a row for each key."""
+def _of_firsts(batches: Iterator[pa.RecordBatch], n_words: int) -> Iterator[tuple[Shingles, np.ndarray]]:
+    """The shingles and nodes of a task's first text of each node."""
+    firsts = _Firsts()
+    for batch in batches:
+        s = shingled(batch.column("text"), n_words)
+        nodes = s.nodes()
+        first = firsts(s, nodes)
+        size = np.diff(s.starts)
+        yield Shingles(s.hashes[np.repeat(first, size)], np.concatenate([np.zeros(1, np.int64), np.cumsum(size[first])])), nodes[first]
+
+
+def _counter(n_words: int, bands: Bands):
+    """How many pieces of a task fall on each cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << CELL_BITS, np.int64)
+        for s, _ in _of_firsts(batches, n_words):
+            n += np.bincount((pieces(s, bands).keys >> U(64 - CELL_BITS)).astype(np.int64), minlength=len(n))
+        cell = np.flatnonzero(n)
+        yield pa.record_batch({"cell": pa.array(cell), "n": pa.array(n[cell])})
+
+    return count
+
+
+def crowded_cells(texts: DataFrame, n_words: int, bands: Bands) -> np.ndarray:
+    """For each of 2 ** CELL_BITS cells whether many more pieces of all texts fall on it than on most: it holds a piece that many texts share."""
+    found = texts.mapInArrow(_counter(n_words, bands), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(1 << CELL_BITS, np.int64)
+    n[found["cell"].to_numpy()] = found["n"].to_numpy()
+    usual = np.median(n)
+    return (n > usual + 8 * np.sqrt(usual) + CROWD).astype(np.int8)
+
+
+def _keyer(n_words: int, bands: Bands, crowded: np.ndarray):
+    """Join keys of the first text of each node in a task, a row for each."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(n_words), set()
-        for batch in batches:
-            nodes, keys = [], []
-            for text in batch.column("text").to_pylist():
-                s = shingler(text)
-                node = node_of(s)
-                if len(s) and node not in seen:
-                    seen.add(node)
-                    nodes.append(node)
-                    found = piece_keys(s, bands)
-                    keys.append(found if slices == 1 else found[found % np.uint64(slices) == number])
-            every = np.repeat(_signed(np.array(nodes, np.uint64)), [len(k) for k in keys])
-            yield pa.record_batch({"key": pa.array(_signed(np.concatenate([*keys, np.empty(0, np.uint64)]))), "node": pa.array(every)})
+        for s, nodes in _of_firsts(batches, n_words):
+            p = pieces(s, bands, crowded)
+            used = p.ranks < p.needed
+            yield pa.record_batch({"key": pa.array(_signed(p.keys[used])), "node": pa.array(_signed(nodes)[p.sets[used]])})
 
     return keyed
 
 
 def _checker(n_words: int, num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, sets = Shingler(n_words), {}
-
-        def of(node: int, text: str) -> np.ndarray:
-            if node not in sets:
-                if len(sets) > 500:
-                    sets.clear()
-                sets[node] = shingler(text)
-            return sets[node]
-
         for batch in batches:
+            b = batch.column("b").to_numpy()
+            _, one, which = np.unique(b, return_index=True, return_inverse=True)  # many pairs have their second text in common
+            left, right = shingled(batch.column("text_a"), n_words), shingled(batch.column("text_b").take(pa.array(one)), n_words)
             keep = []
-            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
-                s, t = of(a, x), of(b, y)
+            for k in range(len(b)):
+                s, t = left.of(k), right.of(which[k])
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(den * both >= num * (len(s) + len(t) - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
@@ -188,114 +310,150 @@ def _checker(n_words: int, num: int, den: int):
     return check
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, space: Workspace) -> DataFrame:
     """(node, label) of every node of the edges (a, b): the smallest node reachable. Labels spread along edges and then
     jump to their own label's label, so rounds grow with the logarithm of a component's diameter.
     Each round's labels are a written table; the driver sees only how many changed."""
-    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
+    both = space.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    labels = space.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
     while True:
         of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
         near = both.join(of_b, "b").groupBy("a").agg(F.min("near").alias("near"))
         own = labels.select(F.col("node").alias("a"), "label")
-        spread = written(own.join(near, "a").select("a", "label", F.least("near", "label").alias("lower")), "labels")
+        spread = space.keep(own.join(near, "a").select("a", "label", F.least("near", "label").alias("lower")))
         jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("next"))
-        new = written(spread.join(jump, "lower").select(F.col("a").alias("node"), F.least("lower", "next").alias("label"), (F.least("lower", "next") < F.col("label")).alias("moved")), "labels")
-        labels = new.select("node", "label")
+        lowest = F.least("lower", "next")
+        new = space.keep(spread.join(jump, "lower").select(F.col("a").alias("node"), lowest.alias("label"), (lowest < F.col("label")).alias("moved")))
+        space.drop(labels, spread)
+        labels = new
         if new.where("moved").isEmpty():
+            space.drop(both)
             return labels
 
 
-def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text", slices: int = 1) -> DataFrame:
-    """One row per input row: id, n_shingles (distinct word n-grams), component_id, the smallest id reachable over links.
+def keyed_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """id, text (null as empty) and hash of the text."""
+    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
+    return rows.select("id", F.xxhash64("text").alias("hash"), "text")
 
-    Two rows link if their shingle sets' intersection is at least num / den of their union, and if both sets hold anything.
-    A text of fewer words than a shingle is one shingle; null and empty texts link with nothing and are their own
-    component. Null ids take part and a component's id ignores them; repeated rows each give a row. Empty tables give
-    none. Columns other than id and text are not read. Texts count whole.
 
-    slices: join keys are made, counted and joined in so many parts one after the other, by key, which divides the disk
-    that shuffling them takes and repeats the making of them; the result is the same.
-    """
-    small_batches(docs.sparkSession)
+def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: id, hash (of the text), n_shingles and label, which rows have in common if and only if links connect
+    them; null for a text without words. The contract is that of `similar_components`."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    space = Workspace(spark, "jaccard")
     bands = Bands(num, den)
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    signed = written(rows.mapInArrow(_signer(n_words), SIGNATURE), "signatures")
-
-    # keys are many and mostly of one text; they are made twice rather than kept: to count them, and to find whose they are
-    sharing = None
-    for number in range(slices):
-        keyed = rows.select("text").mapInArrow(_keyer(n_words, bands, slices, number), "key long, node long")
-        shared = written(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"), "shared")
-        part = written(keyed.join(shared, "key").distinct(), "sharing")
-        sharing = part if sharing is None else sharing.unionByName(part)
-    buckets = sharing.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min_by("node", F.xxhash64("node", "key")).alias("pivot"))
-    buckets = written(buckets.where(F.col("lo") != F.col("hi")).select("key", "pivot"), "buckets")
-    members = written(sharing.join(buckets, "key"), "members")
+    rows = keyed_rows(docs, id_column, text_column)
+    texts = rows.select("text")
+    signed = space.keep(rows.mapInArrow(_signer(n_words), SIGNATURE))
+
+    # keys are many and mostly of one text; they are made twice rather than kept: to find which are shared, and whose those are
+    keyed = texts.mapInArrow(_keyer(n_words, bands, crowded_cells(texts, n_words, bands)), "key long, node long")
+    shared = space.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"))
+    sharing = space.keep(maybe_in(keyed, "key", shared, "key").join(shared, "key").distinct())
+    space.drop(shared)
+    buckets = sharing.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where(F.col("pivot") != F.col("last"))
+    members = space.keep(sharing.join(buckets.select("key", "pivot"), "key"))
+    space.drop(sharing)
 
     among = members.select("node").distinct()
-    of_node = [F.min(c).alias(c) for c in ("id", "n_shingles", *(f"s{i}" for i in range(SKETCH_LONGS)))]
-    sketches = written(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node), "sketches")
-    star = members.where(F.col("node") != F.col("pivot")).select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    near = written(_filtered(star, sketches, num, den), "pairs")
-    linked = written(_checked(near, _texts(rows, near, sketches, n_words), n_words, num, den), "links")
-    labels = components(linked)
-
-    apart = members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    apart = written(apart, "labelled")
-    open_keys = written(apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key"), "open")
-    side = written(apart.join(open_keys, "key").join(sketches.drop("id"), "node"), "sides")
+    of_node = [F.min(c).alias(c) for c in ("hash", "n_shingles", *SKETCH)]
+    sketches = space.keep(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node))
+    star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    near = space.keep(_filtered(star, sketches, num, den))
+    linked = space.keep(_checked(near, rows, sketches, n_words, num, den, space))
+    labels = components(linked, space).select("node", "label")
+
+    apart = space.keep(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    space.drop(members, linked)
+    open_keys = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
+    side = space.keep(apart.join(open_keys, "key").join(sketches.drop("hash"), "node"))
+    space.drop(apart)
     left = side.select("key", *[F.col(c).alias(f"a_{c}") for c in side.columns if c != "key"])
     right = side.select("key", *[F.col(c).alias(f"b_{c}") for c in side.columns if c != "key"])
-    crossing = left.join(right, (left["key"] == right["key"]) & (F.col("a_node") < F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _may_link(num, den))
+    crossing = left.join(right, (left["key"] == right["key"]) & (F.col("a_node") > F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _may_link(num, den))
     rest = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label").distinct()
-    rest = written(rest.join(near, ["a", "b"], "left_anti"), "rest")
-    more = _checked(rest.select("a", "b"), _texts(rows, rest, sketches, n_words), n_words, num, den).join(rest, ["a", "b"])
-    bridges = written(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct(), "bridges")
-    over = components(bridges).select(F.col("node").alias("label"), F.col("label").alias("upper"))
-    labels = labels.select("node", "label").unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
-    labels = written(labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label")), "labels")
-
-    placed = signed.select("id", "n_shingles", "node").join(labels, "node", "left")
-    placed = written(placed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")), "placed")
-    least = written(placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("component_id")), "least")
+    rest = space.keep(rest.join(near, ["a", "b"], "left_anti"))
+    space.drop(side)
+    more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
+    bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    labels = labels.unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
+    labels = labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+
+    placed = signed.select("id", "hash", "n_shingles", "node").join(labels, "node", "left")
+    placed = space.keep(placed.select("id", "hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")))
+    space.drop_all_but(placed)
+    return placed
+
+
+def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: id, n_shingles (distinct word n-grams), component_id, the smallest id reachable over links.
+
+    Two rows link if their shingle sets' intersection is at least num / den of their union, and if both sets hold anything.
+    A text of fewer words than a shingle is one shingle; null and empty texts link with nothing and are their own
+    component. Null ids take part and a component's id ignores them; repeated rows each give a row. Empty tables give
+    none. Columns other than id and text are not read. Texts count whole.
+    """
+    placed = labelled_rows(docs, n_words, num, den, id_column, text_column)
+    least = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("id").alias("component_id"))
     alone = placed.where(F.col("label").isNull()).select("id", "n_shingles", F.col("id").alias("component_id"))
     grouped = placed.where(F.col("label").isNotNull()).join(least, "label").select("id", "n_shingles", "component_id")
     return grouped.unionByName(alone).withColumnRenamed("id", id_column)
 
 
+def one_of_each(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents without near copies: of the rows that links connect, the one of the smallest id stays (a null id is
+    larger than all; of one id's rows the one whose text has the smallest hash; of rows that have id and text in
+    common any one). Rows without words all stay. The columns are those of the input."""
+    row = F.xxhash64(F.col("id").isNull(), "id", "hash")
+    placed = labelled_rows(docs, n_words, num, den, id_column, text_column).where(F.col("label").isNotNull())
+    stay = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
+    stay = stay.select("least.id", "least.hash").select(row.alias("__row"))
+    text = text_of(text_column)
+    key = F.xxhash64(F.col(id_column).isNull(), F.col(id_column).cast("long"), F.xxhash64(text))
+    has_words = text.rlike(r"[^\x20\x09-\x0D]")
+    one = docs.where(has_words).withColumn("__row", key).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    return one.unionByName(docs.where(~has_words))
+
+
 def _may_link(num: int, den: int):
     """Sizes and sketches of a_ and b_ allow a link: the symmetric difference is at most (a + b)(1 - t) / (1 + t)."""
     a, b = F.col("a_n_shingles"), F.col("b_n_shingles")
-    differing = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(1, SKETCH_LONGS)), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
+    differing = sum((F.bit_count(F.col(f"a_{s}").bitwiseXOR(F.col(f"b_{s}"))) for s in SKETCH[1:]), F.bit_count(F.col("a_s0").bitwiseXOR(F.col("b_s0"))))
     return (a * den >= b * num) & (b * den >= a * num) & (differing * (den + num) <= (a + b) * (den - num))
 
 
 def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     for side in ("a", "b"):
-        pairs = pairs.join(sketches.drop("id").select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c not in ("id", "node")]), side)
+        pairs = pairs.join(sketches.drop("hash").select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c not in ("hash", "node")]), side)
     return pairs.where(_may_link(num, den)).select("a", "b")
 
 
-def _texts(rows: DataFrame, pairs: DataFrame, sketches: DataFrame, n_words: int) -> DataFrame:
-    """node, text: a text of each node of the pairs (a, b), from a table of its own. Other texts aren't moved. Ids need not
-    be unique, so a text's own node is compared."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(sketches.select("node", "id").join(ends, "node", "left_semi"), "wanted")
-    rows = maybe_in(rows, "id", wanted, "id")
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(n_words)
-        for batch in batches:
-            nodes = _signed(np.array([node_of(shingler(t)) for t in batch.column("text").to_pylist()], np.uint64))
-            yield batch.select(["node", "text"]).filter(pa.array(nodes == batch.column("node").to_numpy()))
-
-    found = rows.join(wanted.select(F.col("id").alias("wanted_id"), "node"), F.col("id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-    return written(found.mapInArrow(own, "node long, text string").dropDuplicates(["node"]), "texts")
+def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A text that many rows share leaves a task once."""
+    seen: set[int] = set()
+    for batch in batches:
+        new = []
+        for k, h in enumerate(batch.column("hash").to_pylist()):
+            if h not in seen:
+                seen.add(h)
+                new.append(k)
+        yield batch.take(pa.array(new, pa.int64()))
 
 
-def _checked(pairs: DataFrame, texts: DataFrame, n_words: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) that link, by their shingles."""
-    for side in ("a", "b"):
-        pairs = pairs.join(texts.select(F.col("node").alias(side), F.col("text").alias(f"text_{side}")), side)
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(_checker(n_words, num, den), "a long, b long")
+def _checked(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
+    """The pairs (a, b) that link, by their shingles. Texts of nodes in no pair aren't moved. A b of very many pairs is dealt
+    out FAN pairs at a time, with a copy of its text for each deal."""
+    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = space.keep(sketches.select("node", "hash").join(ends, "node", "left_semi"))
+    found = maybe_in(rows.select("hash", "text"), "hash", wanted, "hash").mapInArrow(_first_texts, "hash long, text string")
+    texts = space.keep(found.join(wanted, "hash").dropDuplicates(["hash"]).select("node", "text"))
+    deals = pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / FAN + 1).cast("int").alias("deals"))
+    dealt = pairs.join(deals, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"))
+    dealt = dealt.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    common = deals.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    common = common.select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
+    both = dealt.join(common, ["b", "deal"]).select("a", "b", "text_a", "text_b")
+    return both.mapInArrow(_checker(n_words, num, den), "a long, b long")

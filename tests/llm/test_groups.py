@@ -50,11 +50,11 @@ def families(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("k, num, den, slices", [(3, 90, 100, 1), (5, 8, 10, 2)])
-def test_links_are_those_of_brute_force(spark, tmp_path, k, num, den, slices):
+@pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 8, 10)])
+def test_links_are_those_of_brute_force(spark, tmp_path, k, num, den):
     families(spark).write.parquet(str(tmp_path / "f"))
     df = spark.read.parquet(str(tmp_path / "f"))
-    got = jaccard_join.similar_components(df, k, num, den, slices=slices).collect()
+    got = jaccard_join.similar_components(df, k, num, den).collect()
     assert Counter(tuple(r) for r in got) == components([(r.doc_id, r.text) for r in df.collect()], k, num, den)
 
 
@@ -65,6 +65,7 @@ def test_awkward_rows_link_as_they_should(awkward):
 
 def test_pieces_and_sketches_bound_the_difference():
     rng = np.random.default_rng(1)
+    crowded = rng.integers(0, 2, 1 << jaccard_join.CELL_BITS).astype(np.int8)
     for num, den in ((9, 10), (8, 10)):
         bands = jaccard_join.Bands(num, den)
         for _ in range(60):
@@ -74,10 +75,31 @@ def test_pieces_and_sketches_bound_the_difference():
             b = np.unique(np.concatenate([a[spare:], rng.integers(0, 2**63, int(rng.integers(0, spare + 1)), np.int64).astype(np.uint64)]))
             both = len(np.intersect1d(a, b))
             differing = len(a) + len(b) - 2 * both
-            x = jaccard_join.parity_sketch(a) ^ jaccard_join.parity_sketch(b)
-            assert sum(int(w).bit_count() for w in x) <= differing
-            if den * both >= num * (len(a) + len(b) - both) and differing:
-                assert set(jaccard_join.piece_keys(a, bands).tolist()) & set(jaccard_join.piece_keys(b, bands).tolist())
+            two = jaccard_join.Shingles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            x = two.sketches()
+            assert sum(int(w).bit_count() for w in x[0] ^ x[1]) <= differing
+            for cells in (None, crowded):
+                p = jaccard_join.pieces(two, bands, cells)
+                used = p.ranks < p.needed
+                if den * both >= num * (len(a) + len(b) - both) and differing:
+                    assert set(p.keys[used & (p.sets == 0)].tolist()) & set(p.keys[used & (p.sets == 1)].tolist())
+
+
+@pytest.mark.parametrize("size", [7, 1 << 20])
+def test_shingles_are_those_of_the_words(monkeypatch, size):
+    import pyarrow as pa
+
+    monkeypatch.setattr(jaccard_join, "SLICE_BYTES", size)
+    texts = ["", " \n", "a", "A b", "b a", "The the THE the the", "x" * 5000 + " y", "ünï a\x0bb\x1cc d", "İ É é", "one two three four", "one two\tthree\x0cFOUR "]
+    some = pa.array(["cut off", *texts], pa.string()).slice(1)
+    for k in (3, 5):
+        got = jaccard_join.shingled(some, k)
+        sets = [shingles(t, k) for t in texts]
+        assert np.diff(got.starts).tolist() == [len(s) for s in sets]
+        of = [set(got.of(i).tolist()) for i in range(len(texts))]
+        assert [[len(a & b) for b in of] for a in of] == [[len(a & b) for b in sets] for a in sets]
+        assert (got.nodes()[9] == got.nodes()[10]) and got.of(9).tolist() == sorted(got.of(9).tolist())
+    assert len(jaccard_join.shingled(some.slice(0, 0), 3).hashes) == 0
 
 
 def test_nearest(spark, sf_dir, tmp_path):
