@@ -5,6 +5,8 @@ shingles that fell on it, so two sketches' Hamming distance is at most the sets'
 threshold bounds that difference. By size band, sketches are cut into more pieces than the bound, so texts
 that are alike enough agree on a piece: pieces are the join keys, sketches filter, and the shingles themselves decide.
 
+A sketch of 512 bits says little about large sets, so those have wide ones besides, as long as their band needs.
+
 There are half as many pieces again as the pigeonhole needs, and a text's keys are those of its pieces that come first in an
 order that all texts share: pieces that fall on crowded cells come last. So passages that many texts have in common are
 keys only of texts that have too little else.
@@ -38,8 +40,12 @@ INVERSE = U(pow(int(BASE), -1, 1 << 64))
 STEPS = _RANDOM.integers(0, 1 << 62, 64, np.uint64) * U(4) + U(1)
 SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Shared cells in which all texts' pieces are counted, and a cell's excess over the others from which it is crowded.
-CELL_BITS = 16
-CROWD = 256
+CELL_BITS = 17
+CROWD = 64
+#: Low bits of a key, which hold its band.
+BAND_MASK = 255
+#: Sets of more shingles have wide sketches, of three bits or more for two shingles.
+WIDE_FROM = 300
 #: Pairs that are compared with one copy of their common text.
 FAN = 1000
 
@@ -145,7 +151,7 @@ class Bands:
     The wider the bands, the more pieces their smaller sets have; the narrower, the more sets take part in two.
     """
 
-    def __init__(self, num: int, den: int, most: int = 1 << 40):
+    def __init__(self, num: int, den: int, most: int = 1 << 32):
         self.num, self.den = num, den
         ratio = 1 + 2.5 * (den - num) / num
         #: Pieces with fewer shingles are alike in many texts.
@@ -153,6 +159,8 @@ class Bands:
         starts = [1]
         while starts[-1] < most:
             starts.append(max(starts[-1] + 1, int(starts[-1] * ratio)))
+        if len(starts) > BAND_MASK + 1:
+            raise ValueError("the threshold is too high for the bands' numbers")
         self.starts = np.array(starts)
         #: Of two linked sets, the smaller one in a band, at most `bound` shingles stand in one alone.
         self.bound = (self.starts[1:] - 1) * (den - num) // num
@@ -195,7 +203,7 @@ def pieces(shingles: Shingles, bands: Bands, crowded: np.ndarray | None = None)
     np.bitwise_xor.at(words, at, h)
     owner = np.repeat(np.arange(len(sets)), n)
     place = (np.arange(len(words)) - offset[owner]).astype(U)
-    keys = _mix(words ^ _mix(place + (band[owner].astype(U) << U(32))))
+    keys = _mix(words ^ _mix(place + (band[owner].astype(U) << U(32)))) & ~U(BAND_MASK) | band[owner].astype(U)
     grade = (np.bincount(at, minlength=len(words)) < bands.least_load).astype(np.int8)
     if crowded is not None:
         grade += 2 * crowded[(keys >> U(64 - CELL_BITS)).astype(np.int64)]
@@ -213,7 +221,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-SIGNATURE = "id long, hash long, n_shingles long, node long, first boolean, " + ", ".join(f"{s} long" for s in SKETCH)
+SIGNATURE = "id long, hash long, n_shingles long, node long, first boolean, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<struct<band: int, bits: array<long>>>"
+WIDE = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64()))]))
+
+
+def wide_sketches(shingles: np.ndarray, bands: Bands) -> list[dict]:
+    """For each band in which a large set takes part a sketch as long as the band's largest sets need."""
+    out = []
+    if len(shingles) > WIDE_FROM:
+        h = _mix(shingles)
+        for band in bands.of(np.array([len(shingles)]))[1].tolist():
+            n = 1 << int(np.ceil(np.log2(1.5 * bands.starts[band + 1])))
+            parity = np.bincount((h & U(n - 1)).astype(np.int64), minlength=n) & 1
+            out.append({"band": band, "bits": np.packbits(parity.astype(np.uint8), bitorder="little").view("<i8")})
+    return out
 
 
 class _Firsts:
@@ -231,7 +252,7 @@ class _Firsts:
         return out
 
 
-def _signer(n_words: int):
+def _signer(n_words: int, bands: Bands):
     """Sizes, nodes and sketches; `first` marks the first text of a node in a task, the only one whose sketch is kept."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,6 +265,7 @@ def _signer(n_words: int):
             yield pa.record_batch(
                 {"id": batch.column("id"), "hash": batch.column("hash"), "n_shingles": pa.array(np.diff(s.starts)), "node": pa.array(_signed(nodes)), "first": pa.array(first)}
                 | {name: pa.array(block[:, i].copy()) for i, name in enumerate(SKETCH)}
+                | {"wide": pa.array([wide_sketches(s.of(k), bands) if f else [] for k, f in enumerate(first)], WIDE)}
             )
 
     return sign
@@ -346,7 +368,7 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     bands = Bands(num, den)
     rows = keyed_rows(docs, id_column, text_column)
     texts = rows.select("text")
-    signed = space.keep(rows.mapInArrow(_signer(n_words), SIGNATURE))
+    signed = space.keep(rows.mapInArrow(_signer(n_words, bands), SIGNATURE))
 
     # keys are many and mostly of one text; they are made twice rather than kept: to find which are shared, and whose those are
     keyed = texts.mapInArrow(_keyer(n_words, bands, crowded_cells(texts, n_words, bands)), "key long, node long")
@@ -357,11 +379,15 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     members = space.keep(sharing.join(buckets.select("key", "pivot"), "key"))
     space.drop(sharing)
 
-    among = members.select("node").distinct()
+    among = space.keep(members.select("node").distinct())
+    band = F.col("key").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
     of_node = [F.min(c).alias(c) for c in ("hash", "n_shingles", *SKETCH)]
     sketches = space.keep(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node))
-    star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    wide = signed.where("first").join(among, "node", "left_semi").select("node", "n_shingles", F.explode("wide").alias("w"))
+    wide = space.keep(wide.select("node", "n_shingles", "w.band", "w.bits").dropDuplicates(["node", "band"]))
+    star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"), band).distinct()
     near = space.keep(_filtered(star, sketches, num, den))
+    near = space.keep(_widely_filtered(near, wide, num, den).select("a", "b").distinct())
     linked = space.keep(_checked(near, rows, sketches, n_words, num, den, space))
     labels = components(linked, space).select("node", "label")
 
@@ -373,9 +399,10 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     left = side.select("key", *[F.col(c).alias(f"a_{c}") for c in side.columns if c != "key"])
     right = side.select("key", *[F.col(c).alias(f"b_{c}") for c in side.columns if c != "key"])
     crossing = left.join(right, (left["key"] == right["key"]) & (F.col("a_node") > F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _may_link(num, den))
-    rest = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label").distinct()
+    rest = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label", left["key"].bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")).distinct()
     rest = space.keep(rest.join(near, ["a", "b"], "left_anti"))
     space.drop(side)
+    rest = space.keep(_widely_filtered(rest, wide, num, den).drop("band").distinct())
     more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
     bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
     over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
@@ -428,7 +455,17 @@ def _may_link(num: int, den: int):
 def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     for side in ("a", "b"):
         pairs = pairs.join(sketches.drop("hash").select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c not in ("hash", "node")]), side)
-    return pairs.where(_may_link(num, den)).select("a", "b")
+    return pairs.where(_may_link(num, den)).select("a", "b", "band")
+
+
+def _widely_filtered(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, band, ...) whose wide sketches allow a link, and those without such."""
+    for side in ("a", "b"):
+        pairs = pairs.join(wide.select(F.col("node").alias(side), "band", F.col("n_shingles").alias(f"{side}_n"), F.col("bits").alias(f"{side}_bits")), [side, "band"], "left")
+    each = F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    differing = F.aggregate(each, F.lit(0), lambda n, x: n + x)
+    fits = differing * (den + num) <= (F.col("a_n") + F.col("b_n")) * (den - num)
+    return pairs.where(F.coalesce(fits, F.lit(True))).drop("a_n", "a_bits", "b_n", "b_bits")
 
 
 def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

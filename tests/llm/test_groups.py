@@ -39,7 +39,7 @@ def families(spark):
     """Texts of a few sizes, each with edits of it and edits of those, near the threshold on both sides."""
     rng = np.random.default_rng(3)
     rows = []
-    for f, size in enumerate((1, 2, 3, 8, 12, 19, 40, 90, 250)):
+    for f, size in enumerate((1, 2, 3, 8, 12, 19, 40, 90, 250, 900)):
         base = [f"f{f}w{i}" for i in range(size)]
         for _ in range(7):
             w = list(base)
@@ -76,6 +76,10 @@ def test_pieces_and_sketches_bound_the_difference():
             both = len(np.intersect1d(a, b))
             differing = len(a) + len(b) - 2 * both
             two = jaccard_join.Shingles(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+            wide = [{w["band"]: w["bits"] for w in jaccard_join.wide_sketches(k, bands)} for k in (a, b)]
+            for band in wide[0].keys() & wide[1].keys():
+                assert sum(int(w).bit_count() for w in (wide[0][band] ^ wide[1][band]).view(np.uint64)) <= differing
+            assert bool(wide[0]) == (len(a) > jaccard_join.WIDE_FROM)
             x = two.sketches()
             assert sum(int(w).bit_count() for w in x[0] ^ x[1]) <= differing
             for cells in (None, crowded):
