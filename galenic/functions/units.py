@@ -70,5 +70,51 @@ def bridged(value: Column, unit: Column, to: Column, molar_mass: Column, valence
     return out / scale(to)
 
 
+def base_value(value: Column, unit: Column) -> Column:
+    return value * scale(unit)
+
+
+def base_key(value: Column, unit: Column) -> Column:
+    """Equal amounts in whatever units have one key: dimension and base value to twelve places."""
+    return F.struct(dimension(unit).alias("dimension"), F.round(base_value(value, unit), 12).alias("value"))
+
+
+def added(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    """The sum in the left unit; null for different dimensions."""
+    return value + converted(other, other_unit, unit)
+
+
+def subtracted(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    return value - converted(other, other_unit, unit)
+
+
+def multiplied(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    """(value, unit) of a product, whose unit is both."""
+    return F.struct((value * other).alias("value"), F.concat(unit, F.lit("·"), other_unit).alias("unit"))
+
+
+def divided(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    """(value, unit) of a ratio; null for a zero divisor."""
+    return F.struct(F.try_divide(value, other).alias("value"), F.concat(unit, F.lit("/"), other_unit).alias("unit"))
+
+
+#: Amounts on base values that differ less are equal.
+TOLERANCE = 1e-12
+
+
+def equal(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    """Null for different dimensions, as for `less`."""
+    return F.when(dimension(unit) == dimension(other_unit), same(base_value(value, unit), base_value(other, other_unit)))
+
+
+def less(value: Column, unit: Column, other: Column, other_unit: Column) -> Column:
+    return F.when(dimension(unit) == dimension(other_unit), base_value(value, unit) < base_value(other, other_unit))
+
+
+def final_concentration(strength: Column, final_volume: Column, diluent_volume: Column) -> Column:
+    """Strength over final volume; where only the diluent's volume is known, strength over their ratio, as the rule is written."""
+    return F.when(final_volume.isNotNull(), strength / final_volume).when(diluent_volume.isNotNull(), strength / (strength / diluent_volume))
+
+
 def same(a: Column, b: Column) -> Column:
-    return F.abs(a - b) < 1e-12
+    return F.abs(a - b) < TOLERANCE

@@ -21,7 +21,7 @@ def duck(sf_dir):
 def plain(v):
     if hasattr(v, "item"):
         v = v.item()
-    if v is None or v is pd.NaT or isinstance(v, float) and math.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, float) and math.isnan(v):
         return None
     return round(float(v), 6) if isinstance(v, float) or type(v).__name__ == "Decimal" else v
 
