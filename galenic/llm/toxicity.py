@@ -3,6 +3,9 @@
 A sentence's chance of being toxic is a logistic model of its words' features; a document's is the noisy-or of its
 sentences: one minus the chance that none is. Training through the noisy-or needs document labels only, and the
 sentence scores then say where the offence stands.
+
+A long text must not become toxic by being long: only sentences with a feature that the labels speak for take part, equal ones
+once, and in a document's score a sentence counts by how far its chance exceeds FLOOR.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 WORD = re.compile(r"[^\W\d_]+")
 #: Sentences longer than this many words count as several.
 MOST_WORDS = 60
+#: Chance up to which a sentence adds nothing to its document's score.
+FLOOR = 0.1
 
 
 class WordFeatures:
@@ -77,14 +82,18 @@ class Model:
     def sentence_scores(self, bags: list[list[int]]) -> np.ndarray:
         sizes = np.fromiter(map(len, bags), np.int64, len(bags))
         flat = np.fromiter((f for b in bags for f in b), np.int64, int(sizes.sum()))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-        z = np.add.reduceat(self.weights[flat], starts) + self.bias
+        z = np.bincount(np.repeat(np.arange(len(bags)), sizes), self.weights[flat], len(bags)) + self.bias
         return 1 / (1 + np.exp(-z))
 
     def document_score(self, bags: list[list[int]]) -> float:
+        """bags: of each sentence the features with a weight."""
         if not bags:
             return self.empty
-        return float(-np.expm1(np.log1p(-np.minimum(self.sentence_scores(bags), 1 - 1e-12)).sum()))
+        some = list({tuple(b) for b in bags if b})
+        if not some:
+            return 0.0
+        beyond = np.maximum(self.sentence_scores(some) - FLOOR, 0.0) / (1 - FLOOR)
+        return float(-np.expm1(np.log1p(-np.minimum(beyond, 1 - 1e-12)).sum()))
 
 
 def evidence(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -103,16 +112,15 @@ def evidence(seen: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bags(NamedTuple):
-    """A document's sentences that have usable features: all their features in turn, and how many each sentence has; and the number of its other sentences."""
+    """A document's distinct sentences that have usable features: all their features in turn, and how many each sentence has."""
 
     features: np.ndarray
     sizes: np.ndarray
-    others: int
 
 
 def bags_of(sentences: list[list[int]]) -> Bags:
-    kept = [s for s in sentences if s]
-    return Bags(np.fromiter((f for s in kept for f in s), np.int32), np.fromiter(map(len, kept), np.int32, len(kept)), len(sentences) - len(kept))
+    kept = sorted({tuple(s) for s in sentences if s})
+    return Bags(np.fromiter((f for s in kept for f in s), np.int32), np.fromiter(map(len, kept), np.int32, len(kept)))
 
 
 def constant(n: np.ndarray) -> Model:
@@ -126,11 +134,11 @@ def train(docs: list[Bags], labels: list[int], usable: np.ndarray, odds: np.ndar
     odds on, with Adagrad over batches of documents. Both labels must be there."""
     y = np.array(labels, float)
     base = float((y.sum() + 0.5) / (len(y) + 1))
-    flat, sizes, others = [d.features for d in docs], [d.sizes for d in docs], np.array([d.others for d in docs], float)
+    flat, sizes = [d.features for d in docs], [d.sizes for d in docs]
     weights, bias = np.where(usable, 0.75 * odds, 0.0), -5.0
     squares, bias_square = np.full(FEATURES, 1e-2), 1e-2
     rng = np.random.default_rng(seed)
-    order = np.array([i for i, d in enumerate(docs) if len(d.sizes) or d.others])
+    order = np.array([i for i, d in enumerate(docs) if len(d.sizes)], int)
     for _ in range(epochs):
         rng.shuffle(order)
         for k in range(0, len(order), 128):
@@ -141,8 +149,7 @@ def train(docs: list[Bags], labels: list[int], usable: np.ndarray, odds: np.ndar
             doc = np.repeat(np.arange(len(batch)), [len(sizes[i]) for i in batch])
             z = np.bincount(sentence, weights[f], len(of_sentence)) + bias
             p = 1 / (1 + np.exp(-z))
-            alone = 1 / (1 + np.exp(-bias))  # the chance of a sentence without usable features
-            none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(batch)) + others[batch] * np.log1p(-alone)  # log of the chance that no sentence is toxic
+            none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-12)), len(batch))  # log of the chance that no sentence is toxic
             score = np.clip(-np.expm1(none), 1e-9, 1 - 1e-12)
             # d loss / d none: for toxic documents (1 - score) / score, for others -1; d none / d z is -p
             g_none = np.where(y[batch] == 1, (1 - score) / score, -1.0) / len(batch)
@@ -151,7 +158,7 @@ def train(docs: list[Bags], labels: list[int], usable: np.ndarray, odds: np.ndar
             g = np.bincount(at, g_z[sentence], len(touched)) + shrink * weights[touched] / len(batch)
             squares[touched] += g**2
             weights[touched] -= rate * g / np.sqrt(squares[touched])
-            g_bias = g_z.sum() - alone * (others[batch] * g_none).sum()
+            g_bias = g_z.sum()
             bias_square += g_bias**2
             bias = min(-4.0, bias - rate * g_bias / np.sqrt(bias_square))
     return Model(weights, float(bias), min(base, 0.49))
@@ -202,16 +209,16 @@ def learn(docs: DataFrame, labels: DataFrame, rows: Column, id_column: str = "do
         return constant(n)
     usable, odds = evidence(seen, n)
 
-    @F.pandas_udf("features binary, sizes binary, others long")
+    @F.pandas_udf("features binary, sizes binary")
     def bags(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         features = WordFeatures(usable)
         for series in texts:
             found = [bags_of(_bags(text, features)) for text in series]
-            yield pd.DataFrame([(b.features.tobytes(), b.sizes.tobytes(), b.others) for b in found], columns=["features", "sizes", "others"])
+            yield pd.DataFrame([(b.features.tobytes(), b.sizes.tobytes()) for b in found], columns=["features", "sizes"])
 
     fitted = texts.select("label", F.xxhash64("key", "text").alias("order"), bags("text").alias("bags"))
     found = fitted.select("label", "order", "bags.*").toArrow().sort_by([("order", "ascending"), ("label", "ascending")])
-    fits = [Bags(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.int32), o.as_py()) for f, k, o in zip(found["features"], found["sizes"], found["others"], strict=True)]
+    fits = [Bags(np.frombuffer(f.as_buffer(), np.int32), np.frombuffer(k.as_buffer(), np.int32)) for f, k in zip(found["features"], found["sizes"], strict=True)]
     return train(fits, found["label"].to_pylist(), usable, odds)
 
 
@@ -220,7 +227,7 @@ def toxicity(model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        features = WordFeatures()
+        features = WordFeatures(model.weights != 0)
         for series in texts:
             yield pd.Series([model.document_score(_bags(t, features)) for t in series.fillna("").tolist()], dtype=float)
 
@@ -247,7 +254,8 @@ def offending_sentences(model: Model, text: Column, threshold: float = 0.5) -> C
 def score_toxicity(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.5) -> DataFrame:
     """One row per input row: id, score, predicted (1 if the score is at least the threshold).
 
-    Null texts count as empty; texts without sentences get the model's score for those, which is below one half.
+    Null texts count as empty; texts without sentences get the model's score for those, which is below one half; texts without
+    any feature that speaks for toxicity get 0, however long they are.
     Repeated rows each give a row; an empty table gives none. Columns other than id and text are not read. All
     sentences of a text count, however long it is.
     """

@@ -224,3 +224,75 @@ def test_pipeline_stages_keep_the_columns(spark, documents, sf_dir):
     assert kept.columns == documents.columns
     groups = jaccard_join.similar_components(documents, 5, 8, 10)
     assert kept.count() == groups.select("component_id").distinct().count()
+
+
+def test_long_clean_texts_are_not_toxic(spark):
+    """Length alone, repetition and words that the labels say nothing about leave a text clean."""
+    rng = np.random.default_rng(2)
+    words = [f"wort{i}" for i in range(3000)]
+    clean = lambda n: ". ".join(" ".join(rng.choice(words, 8)) for _ in range(n))
+    rows = [(i, clean(20) + (". you vile grobnik you. " if i % 2 else ". ") + clean(20)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.lit(True))
+    long = spark.createDataFrame([(1, clean(2500)), (2, clean(25_000)), (3, "the same harmless sentence. " * 20_000), (4, clean(2500) + ". vile grobnik you. " + clean(2500))], "doc_id long, text string")
+    got = {r.doc_id: r.predicted for r in toxicity.score_toxicity(long, model).collect()}
+    assert got == {1: 0, 2: 0, 3: 0, 4: 1}
+    features = toxicity.WordFeatures(model.weights != 0)
+    for r in toxicity.score_toxicity(docs, model).join(docs, "doc_id").collect():
+        none = 1.0
+        for bag in {tuple(b) for b in toxicity._bags(r.text, features) if b}:
+            p = 1 / (1 + np.exp(-sum(model.weights[f] for f in bag) - model.bias))
+            none *= 1 - max(p - toxicity.FLOOR, 0) / (1 - toxicity.FLOOR)
+        assert r.score == pytest.approx(1 - none, abs=1e-9)
+
+
+def test_language_is_the_prototype_of_the_largest_cosine(documents):
+    prototypes = language_id.learn_prototypes(documents.select("text", "lang"))
+    binder, names = language_id.Binder(), list(prototypes)
+    for r in language_id.identify_languages(documents, documents.select("text", "lang")).join(documents.select("doc_id", "text"), "doc_id").limit(60).collect():
+        v = binder.bundle(r.text or "").astype(float)
+        if v.any():
+            cosines = [v @ prototypes[n] / np.linalg.norm(v) / np.linalg.norm(prototypes[n]) for n in names]
+            assert r.lang_pred == names[int(np.argmax(cosines))] and r.score == pytest.approx(max(cosines), abs=1e-5)
+
+
+def test_nearest_of_repeated_rows_other_lengths_and_extreme_norms(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1e200, 1e200]), (2, [1e-200, 0.0]), (3, [0.0, 1e-300]), (4, [-1.0, 0.0]), (50, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.5]), (6, [2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in ann.nearest(df, F.col("vec_id") % 50 == 0).collect())
+    half = round(0.5**0.5, 9)
+    one = [(0, 1, 0, 1.0), (0, 2, 2, 1.0), (0, 3, 6, 1.0), (0, 4, 1, half), (0, 5, 3, 0.0)]
+    assert got == sorted(one + one + [(50, 1, 5, round((14 + 1.5) / (14**0.5 * 17.25**0.5), 9))])
+
+
+def test_one_of_each_group_stays(spark):
+    """Null, repeated and clashing ids: one row of each group of near copies, all rows without words."""
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "a"), (2, text, "b"), (None, text, "c"), (2, "quite another text of some six words", "d"), (None, "words that nobody else has written here", "e"), (3, text + " more", "f"), (1, text, "a"), (4, None, "g"), (4, "", "h"), (4, None, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hash string")
+    kept = jaccard_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(r.hash for r in kept.collect())
+    assert got == ["a", "d", "e", "g", "g", "h"]
+    assert jaccard_join.one_of_each(df.limit(0)).count() == 0
+
+
+def test_texts_of_one_template_stay_in_proportion(spark):
+    """Texts that share a template and have enough of their own (here each changes 30 of 300 words) make few candidate pairs.
+    With fewer changes than pieces are needed, as with 10 words, candidates still grow with the square of the family."""
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(300)]
+
+    def text(i):
+        w = list(base)
+        for at in rng.choice(300, 30, replace=False):
+            w[at] = f"x{i}_{at}"
+        return " ".join(w)
+
+    df = spark.createDataFrame([(i, text(i)) for i in range(3000)], "doc_id long, text string")
+    bands = jaccard_join.Bands(90, 100)
+    cells = jaccard_join.crowded_cells(df.select("text"), 3, bands)
+    keys = df.select("text").mapInArrow(jaccard_join._keyer(3, bands, cells), "key long, node long").groupBy("key").count()
+    assert keys.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] < 50 * 3000
+    assert jaccard_join.similar_components(df, 3, 90, 100).select("component_id").distinct().count() == 3000
