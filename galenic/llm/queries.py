@@ -16,6 +16,7 @@ from .mixing import mixing_digest
 from .packed_ids import read_token_files, write_token_files
 from .quality import quality_cascade
 from .sp_bpe import encode_decode
+from .sql import NGRAM_JACCARD, QUALITY
 from .token_counts import count_tokens
 from .toxicity import learn, score_toxicity
 
@@ -81,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """For the queries whose whole result the contract and the default rules fix; the others depend on models, tokenizers or draws."""
+    return {"op3_quality_rules": QUALITY, "op4_ngram_jaccard": NGRAM_JACCARD}
