@@ -11,7 +11,7 @@ import json
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from pathlib import Path
 
 import numpy as np
@@ -253,11 +253,16 @@ class WordIds:
         return [next(of_words) if p else np.array(next(of_others), "<u4").tobytes() for p in plain]
 
 
+@lru_cache(maxsize=1)
+def _memo(tokenizer_json: str) -> ChunkMemo:
+    """A worker's tokenizer and what it has encoded, kept from task to task; ChunkMemo bounds it."""
+    encode = WordIds(tokenizer_json)
+    return ChunkMemo(partial(cut_at_blanks, lower=encode.lowers), encode)
+
+
 def _writer(folder: str, tokenizer_json: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordIds(tokenizer_json)
-        memo = ChunkMemo(partial(cut_at_blanks, lower=encode.lowers), encode)
-        writer = None
+        memo, writer = _memo(tokenizer_json), None
         for batch in batches:
             if not batch.num_rows:
                 continue
