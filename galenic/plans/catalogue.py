@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers what it defines."""
 
-from . import catalog, etl, graph, labels, matching, records  # noqa: F401
+from . import catalog, etl, graph, ingest, labels, matching, records  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
