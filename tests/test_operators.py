@@ -187,3 +187,19 @@ def test_changes_cascade(spark, tmp_path):
     stream = spark.readStream.schema(changes.schema).parquet(str(tmp_path / "in"))
     S.cascade(stream, products, "code", lambda df, n: seen.update({r.ndc: r.active for r in df.collect()}), str(tmp_path / "cp")).awaitTermination(120)
     assert seen == {"p": False, "q": True}
+
+
+def test_ingested_records_of_odd_documents(spark):
+    from galenic.operators import ingest
+
+    docs = [(1, '[{"ingredient": "a", "strength": "1", "unit": "MG"}, {"name": "a", "strength": "2", "unit": "G"}, {"name": "b"}]'), (2, None), (3, "not json"), (4, "[]")]
+    got = ingest.ingredient_rows(spark.createDataFrame(docs, "id long, json string"), "id").collect()
+    assert {tuple(r) for r in got} == {(1, "a", "2", "G"), (1, "b", None, None)}
+    lists = [(1, '{"X": {"codes": ["1", "2"]}}'), (2, '{"Y": {"codes": ["2"]}, "Z": {"codes": null}}'), (3, None), (4, '{"W": null}')]
+    index = ingest.labeler_index(spark.createDataFrame(lists, "pos long, json string"))
+    assert {tuple(r) for r in index.collect()} == {("1", "X"), ("2", "Y")}
+    ids = spark.createDataFrame([("12",), ("x1",), ("",), (None,)], "rxcui string")
+    assert [r[0] for r in ids.select(ingest.row_number_of(F.col("rxcui"))).collect()] == [12, None, None, None]
+    boxes = [(0, 0, "vial", 0, None, "n"), (0, 0, "vial", 1, "L", None), (0, 1, "vial", 0, "L", "m"), (0, 1, "bag", 1, "L", "n")]
+    shared = ingest.shared_fields(ingest.merged_classes(spark.createDataFrame([(*b, None) for b in boxes], "run long, image long, class_label string, pos long, lot string, ndc string, exp string")))
+    assert [tuple(r) for r in shared.collect()] == [(0, 1, "vial", "lot", "lot")]
