@@ -113,6 +113,12 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def wide_hash(*columns: Column) -> Column:
+    """Some 124 bits of hash as decimal(38,0): so wide that no two of any number of rows share one by chance."""
+    high = F.xxhash64(*columns).cast("decimal(19,0)") * F.lit(1 << 61).cast("decimal(19,0)")
+    return (high + F.pmod(F.xxhash64(F.lit(1), *columns), F.lit(1 << 61)).cast("decimal(38,0)")).cast("decimal(38,0)")
+
+
 def held_out(id_column: str) -> Column:
     """True for the rows that no label may be learned from: crc32 of the id's decimal text is divisible by 5."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))

@@ -13,7 +13,9 @@ keys only of texts that have too little else.
 
 Equal sets are one node from the start. Nodes of a bucket are first linked with its smallest node, and what is then in
 one component needs no more comparison; only pairs in different components that share a bucket are compared beyond that.
-So copies are never expanded into pairs, and no link between different components is lost.
+So copies are never expanded into pairs, and no link between different components is lost. In a bucket of very many
+components pairs are not made: its texts are compared where they share one of their rarest shingles (`rare_shingles`),
+which finds the same links.
 """
 
 from __future__ import annotations
@@ -23,22 +25,12 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Workspace, maybe_in, small_batches, text_of
-
-SKETCH_LONGS = 8
-U = np.uint64
-#: Bytes that are hashed at once; a longer word is hashed by itself.
-SLICE_BYTES = 1 << 20
-_RANDOM = np.random.Generator(np.random.Philox(20240311))
-BYTE_VALUES = _RANDOM.integers(0, 1 << 63, 256, np.uint64) * U(2) + U(1)
-BYTE_VALUES[65:91] = BYTE_VALUES[97:123]  # A-Z count as a-z
-BASE = U(0x9E3779B97F4A7C15)
-INVERSE = U(pow(int(BASE), -1, 1 << 64))
-STEPS = _RANDOM.integers(0, 1 << 62, 64, np.uint64) * U(4) + U(1)
-SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+from .common import Workspace, maybe_in, small_batches, text_of, wide_hash
+from .rare_shingles import rare_keys
+from .shingles import SKETCH_LONGS, Shingles, U, decimals, mix, shingled
+
 #: Shared cells in which all texts' pieces are counted, and a cell's excess over the others from which it is crowded.
 CELL_BITS = 17
 CROWD = 64
@@ -48,101 +40,8 @@ BAND_MASK = 255
 WIDE_FROM = 300
 #: Pairs that are compared with one copy of their common text.
 FAN = 1000
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers; a bijection."""
-    x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U(27))) * U(0x94D049BB133111EB)
-    return x ^ (x >> U(31))
-
-
-class _Powers:
-    """Powers of BASE and its inverse, made as far as they are needed."""
-
-    up = down = np.ones(1, U)
-
-    @classmethod
-    def upto(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            cls.up, cls.down = (np.cumprod(np.concatenate([np.ones(1, U), np.full(max(n, SLICE_BYTES), x, U)])) for x in (BASE, INVERSE))
-        return cls.up, cls.down
-
-
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the texts, and where each text's words begin. A-Z count as a-z; words part at ASCII white space.
-    A word's hash is a polynomial in its bytes, taken from running sums over all bytes of a slice."""
-    if not len(texts):
-        return np.empty(0, U), np.zeros(1, np.int64)
-    _, offsets, data = texts.buffers()
-    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
-    at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
-    raw = np.frombuffer(data or b"", np.uint8)[at[0] : at[-1]]
-    at = at - at[0]
-    word = ~SPACE[raw]
-    edge = np.zeros(len(raw) + 1, bool)
-    edge[at] = True
-    begins = word.copy()
-    begins[1:] &= ~word[:-1] | edge[1:-1]
-    ends = word.copy()
-    ends[:-1] &= ~word[1:] | edge[1:-1]
-    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    out = np.empty(len(first), U)
-    i = 0
-    while i < len(first):  # words i, ... of one slice
-        j = max(i + 1, int(np.searchsorted(last, first[i] + SLICE_BYTES, "right")))
-        up, down = _Powers.upto(int(last[j - 1] - first[i]) + 1)
-        sums = np.cumsum(BYTE_VALUES[raw[first[i] : last[j - 1]]] * up[: last[j - 1] - first[i]])
-        sums = np.concatenate([np.zeros(1, U), sums])
-        a, b = first[i:j] - first[i], last[i:j] - first[i]
-        out[i:j] = _mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
-        i = j
-    return out, np.searchsorted(first, at)
-
-
-class Shingles(NamedTuple):
-    """Distinct shingle hashes of some texts, in ascending order: text k's from starts[k] up to but without starts[k + 1]."""
-
-    hashes: np.ndarray
-    starts: np.ndarray
-
-    def of(self, k: int) -> np.ndarray:
-        return self.hashes[self.starts[k] : self.starts[k + 1]]
-
-    def nodes(self) -> np.ndarray:
-        """A 64-bit digest of each set: equal sets are one node. Among n different sets two share one with odds of n * n / 2**65."""
-        return np.array([xxhash.xxh3_64_intdigest(self.of(k)) for k in range(len(self.starts) - 1)], U)
-
-    def sketches(self) -> np.ndarray:
-        """One bit for each shingle's hash, XOR-ed: rows of SKETCH_LONGS."""
-        n, h = len(self.starts) - 1, _mix(self.hashes)
-        bit = np.repeat(np.arange(n), np.diff(self.starts)) * (64 * SKETCH_LONGS) + (h % U(64 * SKETCH_LONGS)).astype(np.int64)
-        parity = np.bincount(bit, minlength=n * 64 * SKETCH_LONGS) & 1
-        return np.packbits(parity.astype(np.uint8).reshape(n, -1), axis=1, bitorder="little").view("<u8").reshape(n, SKETCH_LONGS)
-
-
-def shingled(texts: pa.Array, n: int) -> Shingles:
-    """n-word shingles; fewer words than a shingle has are one shingle."""
-    h, at = word_hashes(texts)
-    count = np.diff(at)
-    windows = np.full(max(0, len(h) - n + 1), U(n))
-    for i in range(n):
-        windows += h[i : len(h) - n + 1 + i] * STEPS[i]
-    inside = np.arange(len(windows)) + n <= np.repeat(at[1:], count)[: len(windows)]
-    starts = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.maximum(count - n + 1, count > 0))])
-    out = np.empty(starts[-1], U)
-    short = np.flatnonzero((count > 0) & (count < n))
-    from_windows = np.ones(len(out), bool)
-    from_windows[starts[short]] = False
-    out[from_windows] = _mix(windows[inside])
-    sums = [int((h[at[k] : at[k + 1]] * STEPS[: count[k]]).sum()) for k in short]
-    out[starts[short]] = _mix(np.array(sums, U) + count[short].astype(U))
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-        out[a:b].sort()
-    new = np.ones(len(out), bool)
-    new[1:] = out[1:] != out[:-1]
-    new[starts[:-1][starts[:-1] < len(out)]] = True
-    return Shingles(out[new], np.concatenate([np.zeros(1, np.int64), np.cumsum(new)])[starts])
+#: Pairs across components in one bucket up to which they are made; it bounds work, not results.
+BUCKET_PAIRS = 4096
 
 
 class Bands:
@@ -165,10 +64,14 @@ class Bands:
         #: Of two linked sets, the smaller one in a band, at most `bound` shingles stand in one alone.
         self.bound = (self.starts[1:] - 1) * (den - num) // num
 
+    def own(self, sizes: np.ndarray) -> np.ndarray:
+        """The band of each size. Of two linked sets, both take part in the smaller one's."""
+        return (np.searchsorted(self.starts, sizes, "right") - 1).astype(np.int32)
+
     def of(self, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows (set, band): a set takes part in its own band and in lower ones that hold a set it can link with.
         Bands in which only equal sets link, which are one node already, are left out."""
-        own = np.searchsorted(self.starts, sizes, "right") - 1
+        own = self.own(sizes)
         first = np.searchsorted(self.starts, -(-sizes * self.num // self.den), "right") - 1
         n = np.where(sizes > 0, own - first + 1, 0)
         sets = np.repeat(np.arange(len(sizes)), n)
@@ -203,7 +106,7 @@ def pieces(shingles: Shingles, bands: Bands, crowded: np.ndarray | None = None)
     np.bitwise_xor.at(words, at, h)
     owner = np.repeat(np.arange(len(sets)), n)
     place = (np.arange(len(words)) - offset[owner]).astype(U)
-    keys = _mix(words ^ _mix(place + (band[owner].astype(U) << U(32)))) & ~U(BAND_MASK) | band[owner].astype(U)
+    keys = mix(words ^ mix(place + (band[owner].astype(U) << U(32)))) & ~U(BAND_MASK) | band[owner].astype(U)
     grade = (np.bincount(at, minlength=len(words)) < bands.least_load).astype(np.int8)
     if crowded is not None:
         grade += 2 * crowded[(keys >> U(64 - CELL_BITS)).astype(np.int64)]
@@ -221,7 +124,9 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 SKETCH = [f"s{i}" for i in range(SKETCH_LONGS)]
-SIGNATURE = "id long, hash long, n_shingles long, node long, first boolean, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<struct<band: int, bits: array<long>>>"
+OF_NODE = ["hash", "n_shingles", "band", *SKETCH]
+NODE = "decimal(38,0)"
+SIGNATURE = f"id long, hash {NODE}, n_shingles long, band int, node {NODE}, first boolean, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<struct<band: int, bits: array<long>>>"
 WIDE = pa.list_(pa.struct([("band", pa.int32()), ("bits", pa.list_(pa.int64()))]))
 
 
@@ -229,7 +134,7 @@ def wide_sketches(shingles: np.ndarray, bands: Bands) -> list[dict]:
     """For each band in which a large set takes part a sketch as long as the band's largest sets need."""
     out = []
     if len(shingles) > WIDE_FROM:
-        h = _mix(shingles)
+        h = mix(shingles)
         for band in bands.of(np.array([len(shingles)]))[1].tolist():
             n = 1 << int(np.ceil(np.log2(1.5 * bands.starts[band + 1])))
             parity = np.bincount((h & U(n - 1)).astype(np.int64), minlength=n) & 1
@@ -241,11 +146,11 @@ class _Firsts:
     """Which sets of a task hold anything and have not come before in it."""
 
     def __init__(self):
-        self.seen: set[int] = set()
+        self.seen: set[bytes] = set()
 
     def __call__(self, shingles: Shingles, nodes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(nodes), bool)
-        for k, (node, size) in enumerate(zip(nodes.tolist(), np.diff(shingles.starts).tolist(), strict=True)):
+        for k, (node, size) in enumerate(zip(map(bytes, nodes), np.diff(shingles.starts).tolist(), strict=True)):
             if size and node not in self.seen:
                 self.seen.add(node)
                 out[k] = True
@@ -263,7 +168,7 @@ def _signer(n_words: int, bands: Bands):
             first = firsts(s, nodes)
             block = _signed(np.where(first[:, None], s.sketches(), U(0)))
             yield pa.record_batch(
-                {"id": batch.column("id"), "hash": batch.column("hash"), "n_shingles": pa.array(np.diff(s.starts)), "node": pa.array(_signed(nodes)), "first": pa.array(first)}
+                {"id": batch.column("id"), "hash": batch.column("hash"), "n_shingles": pa.array(np.diff(s.starts)), "band": pa.array(bands.own(np.diff(s.starts))), "node": decimals(nodes), "first": pa.array(first)}
                 | {name: pa.array(block[:, i].copy()) for i, name in enumerate(SKETCH)}
                 | {"wide": pa.array([wide_sketches(s.of(k), bands) if f else [] for k, f in enumerate(first)], WIDE)}
             )
@@ -311,7 +216,7 @@ def _keyer(n_words: int, bands: Bands, crowded: np.ndarray):
         for s, nodes in _of_firsts(batches, n_words):
             p = pieces(s, bands, crowded)
             used = p.ranks < p.needed
-            yield pa.record_batch({"key": pa.array(_signed(p.keys[used])), "node": pa.array(_signed(nodes)[p.sets[used]])})
+            yield pa.record_batch({"key": pa.array(_signed(p.keys[used])), "node": decimals(nodes[p.sets[used]])})
 
     return keyed
 
@@ -319,11 +224,11 @@ def _keyer(n_words: int, bands: Bands, crowded: np.ndarray):
 def _checker(n_words: int, num: int, den: int):
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            b = batch.column("b").to_numpy()
-            _, one, which = np.unique(b, return_index=True, return_inverse=True)  # many pairs have their second text in common
+            which = batch.column("b").dictionary_encode().indices.to_numpy()  # many pairs have their second text in common
+            _, one = np.unique(which, return_index=True)
             left, right = shingled(batch.column("text_a"), n_words), shingled(batch.column("text_b").take(pa.array(one)), n_words)
             keep = []
-            for k in range(len(b)):
+            for k in range(len(which)):
                 s, t = left.of(k), right.of(which[k])
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(den * both >= num * (len(s) + len(t) - both))
@@ -356,7 +261,7 @@ def components(edges: DataFrame, space: Workspace) -> DataFrame:
 def keyed_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, text (null as empty) and hash of the text."""
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    return rows.select("id", F.xxhash64("text").alias("hash"), "text")
+    return rows.select("id", wide_hash(F.col("text")).alias("hash"), "text")
 
 
 def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -371,7 +276,7 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     signed = space.keep(rows.mapInArrow(_signer(n_words, bands), SIGNATURE))
 
     # keys are many and mostly of one text; they are made twice rather than kept: to find which are shared, and whose those are
-    keyed = texts.mapInArrow(_keyer(n_words, bands, crowded_cells(texts, n_words, bands)), "key long, node long")
+    keyed = texts.mapInArrow(_keyer(n_words, bands, crowded_cells(texts, n_words, bands)), f"key long, node {NODE}")
     shared = space.keep(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("key"))
     sharing = space.keep(maybe_in(keyed, "key", shared, "key").join(shared, "key").distinct())
     space.drop(shared)
@@ -380,34 +285,20 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     space.drop(sharing)
 
     among = space.keep(members.select("node").distinct())
-    band = F.col("key").bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")
-    of_node = [F.min(c).alias(c) for c in ("hash", "n_shingles", *SKETCH)]
+    of_node = [F.min(c).alias(c) for c in OF_NODE]
     sketches = space.keep(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*of_node))
     wide = signed.where("first").join(among, "node", "left_semi").select("node", "n_shingles", F.explode("wide").alias("w"))
     wide = space.keep(wide.select("node", "n_shingles", "w.band", "w.bits").dropDuplicates(["node", "band"]))
-    star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b"), band).distinct()
+    star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
     near = space.keep(_filtered(star, sketches, num, den))
     near = space.keep(_widely_filtered(near, wide, num, den).select("a", "b").distinct())
     linked = space.keep(_checked(near, rows, sketches, n_words, num, den, space))
     labels = components(linked, space).select("node", "label")
 
-    apart = space.keep(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
+    side = space.keep(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     space.drop(members, linked)
-    open_keys = apart.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    side = space.keep(apart.join(open_keys, "key").join(sketches.drop("hash"), "node"))
-    space.drop(apart)
-    left = side.select("key", *[F.col(c).alias(f"a_{c}") for c in side.columns if c != "key"])
-    right = side.select("key", *[F.col(c).alias(f"b_{c}") for c in side.columns if c != "key"])
-    crossing = left.join(right, (left["key"] == right["key"]) & (F.col("a_node") > F.col("b_node")) & (F.col("a_label") != F.col("b_label")) & _may_link(num, den))
-    rest = crossing.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "a_label", "b_label", left["key"].bitwiseAND(F.lit(BAND_MASK)).cast("int").alias("band")).distinct()
-    rest = space.keep(rest.join(near, ["a", "b"], "left_anti"))
-    space.drop(side)
-    rest = space.keep(_widely_filtered(rest, wide, num, den).drop("band").distinct())
-    more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
-    bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
-    over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
-    labels = labels.unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
-    labels = labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+    few, many = across(side, BUCKET_PAIRS)
+    labels = bridged(few, many, labels, near, sketches, wide, rows, n_words, num, den, space)
 
     placed = signed.select("id", "hash", "n_shingles", "node").join(labels, "node", "left")
     placed = space.keep(placed.select("id", "hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")))
@@ -415,6 +306,61 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     return placed
 
 
+def across(side: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (key, node, label), the keys that hold several labels: those in which all nodes times those outside the most
+    frequent label are at most `most`, and the others. side's columns, and stray."""
+    per = side.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
+    per = per.where(F.col("n") > F.col("main.n")).select("key", F.col("main.label").alias("main"), (F.col("n") * (F.col("n") - F.col("main.n"))).alias("pairs"))
+    rows = side.join(per, "key").select(*side.columns, (F.col("label") != F.col("main")).alias("stray"), "pairs")
+    return rows.where(F.col("pairs") <= most).drop("pairs"), rows.where(F.col("pairs") > most).drop("pairs")
+
+
+def stray_pairs(open_rows: DataFrame) -> DataFrame:
+    """(key, a, b, a_label, b_label), a > b: every pair of one key's nodes in different components. One of the two is a stray, so a
+    large component's nodes aren't paired with each other. Roles, where there are such, are those of `rare_keys`."""
+    roles = "role" in open_rows.columns
+    left = open_rows.where("stray").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"), *([F.col("role").alias("x_role")] if roles else []))
+    right = open_rows.select("key", F.col("node").alias("y"), F.col("label").alias("y_label"), "stray", *(["role"] if roles else []))
+    both = left.join(right, "key")
+    if roles:
+        both = both.where((F.col("role") + F.col("x_role")).isin(0, 3))
+    both = both.where((F.col("x_label") != F.col("y_label")) & (~F.col("stray") | (F.col("x") > F.col("y"))))
+    up = F.col("x") > F.col("y")
+    either = lambda p, q: F.when(up, F.col(p)).otherwise(F.col(q))
+    return both.select("key", either("x", "y").alias("a"), either("y", "x").alias("b"), either("x_label", "y_label").alias("a_label"), either("y_label", "x_label").alias("b_label"))
+
+
+def bridged(few: DataFrame, many: DataFrame, labels: DataFrame, near: DataFrame, sketches: DataFrame, wide: DataFrame, rows: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
+    """The labels (node, label) with those merged that links connect between nodes of one key. few and many are rows as of `across`:
+    pairs of few's keys are made, many's nodes meet by rare shingles. Pairs in near were compared before."""
+    few, many = space.keep(few), space.keep(many.select("node", "label").distinct())
+    pairs = stray_pairs(few).drop("key").distinct()
+    rare = stray_pairs_of_rare(many, rows, sketches, n_words, num, den, space)
+    if rare is not None:
+        pairs = pairs.unionByName(rare).distinct()
+    rest = pairs.join(near, ["a", "b"], "left_anti")
+    rest = space.keep(_filtered(rest, sketches, num, den, "a_label", "b_label"))
+    rest = space.keep(_widely_filtered(rest, wide, num, den).drop("band"))
+    more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
+    bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    labels = labels.unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
+    return labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
+
+
+def stray_pairs_of_rare(many: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame | None:
+    """Pairs of nodes (node, label) of crowded buckets, in different components, that share one of their rarest shingles. None without such nodes."""
+    if many.isEmpty():
+        return None
+    wanted = space.keep(sketches.select("node", "hash").join(many, "node"))
+    texts = maybe_in(rows.select("hash", "text"), "hash", wanted, "hash").mapInArrow(_first_texts, f"hash {NODE}, text string")
+    texts = space.keep(texts.join(wanted.select("hash", "node"), "hash").dropDuplicates(["hash"]).select("node", "text"))
+    keys = space.keep(rare_keys(texts, n_words, num, den))
+    open_rows, _ = across(keys.join(many, "node"), (1 << 63) - 1)
+    return stray_pairs(space.keep(open_rows)).drop("key").distinct()
+
+
 def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, n_shingles (distinct word n-grams), component_id, the smallest id reachable over links.
 
@@ -434,12 +380,12 @@ def one_of_each(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10,
     """The documents without near copies: of the rows that links connect, the one of the smallest id stays (a null id is
     larger than all; of one id's rows the one whose text has the smallest hash; of rows that have id and text in
     common any one). Rows without words all stay. The columns are those of the input."""
-    row = F.xxhash64(F.col("id").isNull(), "id", "hash")
+    row = wide_hash(F.col("id").isNull(), F.col("id"), F.col("hash"))
     placed = labelled_rows(docs, n_words, num, den, id_column, text_column).where(F.col("label").isNotNull())
     stay = placed.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "hash")).alias("least"))
     stay = stay.select("least.id", "least.hash").select(row.alias("__row"))
     text = text_of(text_column)
-    key = F.xxhash64(F.col(id_column).isNull(), F.col(id_column).cast("long"), F.xxhash64(text))
+    key = wide_hash(F.col(id_column).isNull(), F.col(id_column).cast("long"), wide_hash(text))
     has_words = text.rlike(r"[^\x20\x09-\x0D]")
     one = docs.where(has_words).withColumn("__row", key).join(stay, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
     return one.unionByName(docs.where(~has_words))
@@ -452,10 +398,11 @@ def _may_link(num: int, den: int):
     return (a * den >= b * num) & (b * den >= a * num) & (differing * (den + num) <= (a + b) * (den - num))
 
 
-def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+def _filtered(pairs: DataFrame, sketches: DataFrame, num: int, den: int, *also: str) -> DataFrame:
+    """(a, b, band, also) of the pairs whose sizes and sketches allow a link; the band is the smaller set's."""
     for side in ("a", "b"):
         pairs = pairs.join(sketches.drop("hash").select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in sketches.columns if c not in ("hash", "node")]), side)
-    return pairs.where(_may_link(num, den)).select("a", "b", "band")
+    return pairs.where(_may_link(num, den)).select("a", "b", F.least("a_band", "b_band").alias("band"), *also)
 
 
 def _widely_filtered(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
@@ -470,7 +417,7 @@ def _widely_filtered(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> D
 
 def _first_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A text that many rows share leaves a task once."""
-    seen: set[int] = set()
+    seen: set = set()
     for batch in batches:
         new = []
         for k, h in enumerate(batch.column("hash").to_pylist()):
@@ -485,7 +432,7 @@ def _checked(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: in
     out FAN pairs at a time, with a copy of its text for each deal."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = space.keep(sketches.select("node", "hash").join(ends, "node", "left_semi"))
-    found = maybe_in(rows.select("hash", "text"), "hash", wanted, "hash").mapInArrow(_first_texts, "hash long, text string")
+    found = maybe_in(rows.select("hash", "text"), "hash", wanted, "hash").mapInArrow(_first_texts, f"hash {NODE}, text string")
     texts = space.keep(found.join(wanted, "hash").dropDuplicates(["hash"]).select("node", "text"))
     deals = pairs.groupBy("b").agg(F.floor(F.count(F.lit(1)) / FAN + 1).cast("int").alias("deals"))
     dealt = pairs.join(deals, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("deals")).cast("int").alias("deal"))
@@ -493,4 +440,4 @@ def _checked(pairs: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: in
     common = deals.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     common = common.select("b", "text_b", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"))
     both = dealt.join(common, ["b", "deal"]).select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(_checker(n_words, num, den), "a long, b long")
+    return both.mapInArrow(_checker(n_words, num, den), f"a {NODE}, b {NODE}")

@@ -12,11 +12,12 @@ from .common import held_out, scratch, table
 from .jaccard_join import similar_components
 from .language_id import identify_languages
 from .license_scan import license_digest
+from .lsh_forest import near_duplicates
 from .mixing import mixing_digest
 from .packed_ids import read_token_files, write_token_files
 from .quality import quality_cascade
 from .sp_bpe import encode_decode
-from .sql import NGRAM_JACCARD, QUALITY
+from .sql import FOREST, NGRAM_JACCARD, QUALITY
 from .token_counts import count_tokens
 from .toxicity import learn, score_toxicity
 
@@ -71,16 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
 
 
+def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, num=85, den=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_license_scan, op2_token_counts, op3_quality_rules, op4_ngram_jaccard, op5_nearest, op6_mixing,
             op7_language_id, op8_token_files, op9_byte_bpe, op10_toxicity,
+            op13_lsh_forest,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the queries whose whole result the contract and the default rules fix; the others depend on models, tokenizers or draws."""
-    return {"op3_quality_rules": QUALITY, "op4_ngram_jaccard": NGRAM_JACCARD}
+    return {"op3_quality_rules": QUALITY, "op4_ngram_jaccard": NGRAM_JACCARD, "op13_lsh_forest": FOREST}

@@ -20,6 +20,9 @@ k AS (SELECT h.node, min(o.least) AS component_id FROM h JOIN g o ON o.node = h.
 SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, CASE WHEN len(s.shingles) = 0 THEN s.doc_id ELSE k.component_id END AS component_id
 FROM s LEFT JOIN g ON g.shingles = s.shingles LEFT JOIN k ON k.node = g.node"""
 
+#: The same with another threshold, and which rows stay.
+FOREST = NGRAM_JACCARD.replace("90 *", "85 *").replace("AS component_id\nFROM s", "AS component_id, CASE WHEN len(s.shingles) = 0 THEN TRUE ELSE s.doc_id IS NOT DISTINCT FROM k.component_id END AS kept\nFROM s")
+
 #: The base measures and base_failed are the contract's; kept is what the default rules say, in whatever order they stand.
 QUALITY = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, regexp_replace(text, '[^\p{{L}}]', '', 'g') AS letters FROM t),

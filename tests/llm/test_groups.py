@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from galenic.llm import ann, jaccard_join, language_id, mixing, toxicity
+from galenic.llm import ann, jaccard_join, language_id, lsh_forest, mixing, rare_shingles, toxicity
+from galenic.llm import shingles as shingle_sets
 from galenic.llm.common import held_out
 
 
@@ -35,6 +36,13 @@ def components(rows, k, num, den):
     return Counter((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
 
 
+@pytest.fixture(params=[4096, 2])
+def bucket_pairs(request, monkeypatch):
+    """With 2 nearly every bucket goes by rare shingles."""
+    monkeypatch.setattr(jaccard_join, "BUCKET_PAIRS", request.param)
+    monkeypatch.setattr(lsh_forest, "BUCKET_PAIRS", request.param)
+
+
 def families(spark):
     """Texts of a few sizes, each with edits of it and edits of those, near the threshold on both sides."""
     rng = np.random.default_rng(3)
@@ -51,11 +59,30 @@ def families(spark):
 
 
 @pytest.mark.parametrize("k, num, den", [(3, 90, 100), (5, 8, 10)])
-def test_links_are_those_of_brute_force(spark, tmp_path, k, num, den):
+def test_links_are_those_of_brute_force(spark, tmp_path, bucket_pairs, k, num, den):
     families(spark).write.parquet(str(tmp_path / "f"))
     df = spark.read.parquet(str(tmp_path / "f"))
-    got = jaccard_join.similar_components(df, k, num, den).collect()
-    assert Counter(tuple(r) for r in got) == components([(r.doc_id, r.text) for r in df.collect()], k, num, den)
+    want = components([(r.doc_id, r.text) for r in df.collect()], k, num, den)
+    assert Counter(tuple(r) for r in jaccard_join.similar_components(df, k, num, den).collect()) == want
+    forest = lsh_forest.near_duplicates(df, k, num, den).collect()
+    assert Counter(tuple(r)[:3] for r in forest) == want
+    assert all(r.kept == (r.doc_id == r.component_id) for r in forest)
+
+
+@pytest.mark.parametrize("num, den", [(90, 100), (85, 100), (8, 10), (1, 2)])
+def test_linked_sets_share_a_rare_key(num, den):
+    rng = np.random.default_rng(8)
+    starts = rare_shingles.size_bands(num, den)
+    frequency = rng.integers(0, 5, 1 << rare_shingles.RARITY_BITS).astype(np.uint16)
+    for size in (1, 2, 3, 7, 20, 61, 300, 1500):
+        for _ in range(30):
+            one, both = rng.integers(0, 1 << 63, 2 * size, np.uint64), int(size * (num / den + rng.random() * (1 - num / den)))
+            a, b = one[:size], np.concatenate([one[:both], one[size : size + rng.integers(0, size - both + 1)]])
+            linked = den * both >= num * len(set(a.tolist()) | set(b.tolist()))
+            two = shingle_sets.Shingles(np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)]))
+            keys = [set(zip(*(x.tolist() for x in rare_shingles.set_keys(two, k, frequency, starts, num, den)), strict=True)) for k in (0, 1)]
+            assert not linked or {(k, -r % 3) for k, r in keys[0]} & keys[1]
+            assert all(len(k) <= 6 * len(two.of(i)) + 40 for i, k in enumerate(keys))
 
 
 def test_awkward_rows_link_as_they_should(awkward):
@@ -93,7 +120,7 @@ def test_pieces_and_sketches_bound_the_difference():
 def test_shingles_are_those_of_the_words(monkeypatch, size):
     import pyarrow as pa
 
-    monkeypatch.setattr(jaccard_join, "SLICE_BYTES", size)
+    monkeypatch.setattr(shingle_sets, "SLICE_BYTES", size)
     texts = ["", " \n", "a", "A b", "b a", "The the THE the the", "x" * 5000 + " y", "ünï a\x0bb\x1cc d", "İ É é", "one two three four", "one two\tthree\x0cFOUR "]
     some = pa.array(["cut off", *texts], pa.string()).slice(1)
     for k in (3, 5):
@@ -102,7 +129,7 @@ def test_shingles_are_those_of_the_words(monkeypatch, size):
         assert np.diff(got.starts).tolist() == [len(s) for s in sets]
         of = [set(got.of(i).tolist()) for i in range(len(texts))]
         assert [[len(a & b) for b in of] for a in of] == [[len(a & b) for b in sets] for a in sets]
-        assert (got.nodes()[9] == got.nodes()[10]) and got.of(9).tolist() == sorted(got.of(9).tolist())
+        assert (got.nodes()[9] == got.nodes()[10]).all() and got.of(9).tolist() == sorted(got.of(9).tolist())
     assert len(jaccard_join.shingled(some.slice(0, 0), 3).hashes) == 0
 
 
@@ -279,8 +306,7 @@ def test_one_of_each_group_stays(spark):
 
 
 def test_texts_of_one_template_stay_in_proportion(spark):
-    """Texts that share a template and have enough of their own (here each changes 30 of 300 words) make few candidate pairs.
-    With fewer changes than pieces are needed, as with 10 words, candidates still grow with the square of the family."""
+    """Texts that share a template and have enough of their own (here each changes 30 of 300 words) make few candidate pairs."""
     rng = np.random.default_rng(4)
     base = [f"t{i}" for i in range(300)]
 
@@ -294,7 +320,28 @@ def test_texts_of_one_template_stay_in_proportion(spark):
     for n in (1500, 3000):  # candidates for each text stay as many while the family grows
         df = spark.createDataFrame([(i, text(i)) for i in range(n)], "doc_id long, text string")
         cells = jaccard_join.crowded_cells(df.select("text"), 3, bands)
-        keys = df.select("text").mapInArrow(jaccard_join._keyer(3, bands, cells), "key long, node long").groupBy("key").count()
+        keys = df.select("text").mapInArrow(jaccard_join._keyer(3, bands, cells), f"key long, node {jaccard_join.NODE}").groupBy("key").count()
         of_each.append(keys.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] / n)
     assert of_each[1] < 1.3 * of_each[0]
     assert jaccard_join.similar_components(df, 3, 90, 100).select("component_id").distinct().count() == 3000
+
+
+def test_texts_of_one_template_meet_by_rare_shingles_in_proportion(spark):
+    """Each changes 10 of 300 words, too few for pieces of its own, and too many to link."""
+    rng = np.random.default_rng(4)
+    base = [f"t{i}" for i in range(300)]
+
+    def text(i):
+        w = list(base)
+        for at in rng.choice(300, 10, replace=False):
+            w[at] = f"x{i}_{at}"
+        return " ".join(w)
+
+    of_each = []
+    for n in (1500, 3000, 6000):
+        df = spark.createDataFrame([(i, text(i)) for i in range(n)], "node long, text string").repartition(8)
+        keys = rare_shingles.rare_keys(df, 3, 90, 100).groupBy("key").count()
+        of_each.append((keys.agg(F.sum(F.col("count") * (F.col("count") - 1) / 2)).first()[0] or 0) / n)
+    assert of_each[2] < 1.3 * of_each[0] + 1
+    found = jaccard_join.similar_components(df.withColumnRenamed("node", "doc_id"), 3, 90, 100)
+    assert found.select("component_id").distinct().count() == 6000

@@ -15,6 +15,7 @@ COLUMNS = {
     "op7_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
     "op8_token_files": "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint",
     "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op13_lsh_forest": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
     "op10_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
 }
 
@@ -43,7 +44,7 @@ def test_rows_of_the_sql(spark, awkward, sf_dir, name):
     con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
     assert order(given.select(*columns).collect()) == order(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
 
-    operator = {"op3_quality_rules": queries.quality_cascade, "op4_ngram_jaccard": lambda df: queries.similar_components(df, n_words=3, num=90, den=100)}[name]
+    operator = {"op3_quality_rules": queries.quality_cascade, "op4_ngram_jaccard": lambda df: queries.similar_components(df, n_words=3, num=90, den=100), "op13_lsh_forest": lambda df: queries.near_duplicates(df, n_words=3, num=85, den=100)}[name]
     con = duckdb.connect()
     con.register("documents", awkward.select("doc_id", "text").toArrow())
     assert order(operator(awkward).select(*columns).collect()) == order(con.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall())
