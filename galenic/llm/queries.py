@@ -9,15 +9,17 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .ann import nearest
 from .common import held_out, scratch, table
+from .cross_align import align_tokenizers
 from .jaccard_join import similar_components
 from .language_id import identify_languages
 from .license_scan import license_digest
 from .lsh_forest import near_duplicates
 from .mixing import mixing_digest
 from .packed_ids import read_token_files, write_token_files
+from .phrases import collocations
 from .quality import quality_cascade
 from .sp_bpe import encode_decode
-from .sql import FOREST, NGRAM_JACCARD, QUALITY
+from .sql import COLLOCATIONS, FOREST, NGRAM_JACCARD, QUALITY
 from .token_counts import count_tokens
 from .toxicity import learn, score_toxicity
 
@@ -72,6 +74,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, model).withColumn("held_out", held_out("doc_id"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), least=100, top=2000)
+
+
+def op12_cross_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op13_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), n_words=3, num=85, den=100)
 
@@ -82,11 +92,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_license_scan, op2_token_counts, op3_quality_rules, op4_ngram_jaccard, op5_nearest, op6_mixing,
             op7_language_id, op8_token_files, op9_byte_bpe, op10_toxicity,
-            op13_lsh_forest,
+            op11_collocations, op12_cross_align, op13_lsh_forest,
         )
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """For the queries whose whole result the contract and the default rules fix; the others depend on models, tokenizers or draws."""
-    return {"op3_quality_rules": QUALITY, "op4_ngram_jaccard": NGRAM_JACCARD, "op13_lsh_forest": FOREST}
+    return {"op3_quality_rules": QUALITY, "op4_ngram_jaccard": NGRAM_JACCARD, "op11_collocations": COLLOCATIONS, "op13_lsh_forest": FOREST}

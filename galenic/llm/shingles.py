@@ -40,9 +40,23 @@ class _Powers:
         return cls.up, cls.down
 
 
+def span_hashes(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A hash of each word raw[first[k]:last[k]], words in order: a polynomial in its bytes, taken from running sums over all bytes of a slice."""
+    out = np.empty(len(first), U)
+    i = 0
+    while i < len(first):  # words i, ... of one slice
+        j = max(i + 1, int(np.searchsorted(last, first[i] + SLICE_BYTES, "right")))
+        up, down = _Powers.upto(int(last[j - 1] - first[i]) + 1)
+        sums = np.cumsum(BYTE_VALUES[raw[first[i] : last[j - 1]]] * up[: last[j - 1] - first[i]])
+        sums = np.concatenate([np.zeros(1, U), sums])
+        a, b = first[i:j] - first[i], last[i:j] - first[i]
+        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
+        i = j
+    return out
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of each word of the texts, and where each text's words begin. A-Z count as a-z; words part at ASCII white space.
-    A word's hash is a polynomial in its bytes, taken from running sums over all bytes of a slice."""
+    """A hash of each word of the texts, and where each text's words begin. A-Z count as a-z; words part at ASCII white space."""
     if not len(texts):
         return np.empty(0, U), np.zeros(1, np.int64)
     _, offsets, data = texts.buffers()
@@ -58,17 +72,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     ends = word.copy()
     ends[:-1] &= ~word[1:] | edge[1:-1]
     first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-    out = np.empty(len(first), U)
-    i = 0
-    while i < len(first):  # words i, ... of one slice
-        j = max(i + 1, int(np.searchsorted(last, first[i] + SLICE_BYTES, "right")))
-        up, down = _Powers.upto(int(last[j - 1] - first[i]) + 1)
-        sums = np.cumsum(BYTE_VALUES[raw[first[i] : last[j - 1]]] * up[: last[j - 1] - first[i]])
-        sums = np.concatenate([np.zeros(1, U), sums])
-        a, b = first[i:j] - first[i], last[i:j] - first[i]
-        out[i:j] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(U))
-        i = j
-    return out, np.searchsorted(first, at)
+    return span_hashes(raw, first, last), np.searchsorted(first, at)
 
 
 class Shingles(NamedTuple):

@@ -23,6 +23,23 @@ FROM s LEFT JOIN g ON g.shingles = s.shingles LEFT JOIN k ON k.node = g.node"""
 #: The same with another threshold, and which rows stay.
 FOREST = NGRAM_JACCARD.replace("90 *", "85 *").replace("AS component_id\nFROM s", "AS component_id, CASE WHEN len(s.shingles) = 0 THEN TRUE ELSE s.doc_id IS NOT DISTINCT FROM k.component_id END AS kept\nFROM s")
 
+#: All phrases of 1 to 5 words and their counts; candidates, their cuts, those within a longer one of as many, ranks.
+COLLOCATIONS = rf"""WITH t AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t),
+g AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, range(1, 6) AS x(k)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY 1, 2, 3 HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(w)) AS n FROM w GROUP BY 1),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+u AS (SELECT lang, phrase, a, w, unnest(range(1, k)) AS cut FROM c),
+s AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, n.n, 1000 * CAST(a AS HUGEINT) * CAST(n.n AS HUGEINT) // (CAST(l.f AS HUGEINT) * CAST(r.f AS HUGEINT)) AS score FROM u
+  JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') JOIN n ON n.lang = u.lang),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
+i AS (SELECT lang, a, w, unnest(range(2, k)) AS size FROM c WHERE k > 2),
+j AS (SELECT lang, a, array_to_string(w[at:at + size - 1], ' ') AS phrase FROM (SELECT lang, a, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM i)),
+d AS (SELECT b.* FROM b WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM j WHERE j.lang = b.lang AND j.phrase = b.phrase AND 100 * j.a >= 100 * b.a)),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
+SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 2000"""
+
 #: The base measures and base_failed are the contract's; kept is what the default rules say, in whatever order they stand.
 QUALITY = rf"""WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 a AS (SELECT r, doc_id, text, regexp_extract_all(text, '{_WORD}') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines, regexp_replace(text, '[^\p{{L}}]', '', 'g') AS letters FROM t),
