@@ -299,9 +299,9 @@ def align_tokenizers(docs: DataFrame, a_path: str, b_path: str, id_column: str =
     blocks = space.keep(rows.mapInArrow(_block_writer(tokenizers), f"{DOC}, {PAIRS}"))
     counts = space.keep(link_counts(blocks, tokenizers.b_processor().get_piece_size()))
     own = blocks.where("block_pairs is not null").select("block", F.posexplode("block_pairs").alias("place", "pair"))
-    own = own.join(counts, "pair").select("block", "place", "count", "best")
+    own = own.join(counts, "pair").select(F.col("block").alias("of"), "place", "count", "best")
     some = blocks.where("block_pairs is null").drop("block_pairs", "block_docs")
-    with_links = own.groupBy("block").cogroup(some.where("n_links > 0").groupBy("block")).applyInArrow(_summed, SUMMED)
+    with_links = own.groupBy("of").cogroup(some.where("n_links > 0").groupBy("block")).applyInArrow(_summed, SUMMED)
     without = some.where("n_links = 0").select("id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", F.lit(0).cast("long").alias("n_best"), F.lit(0).cast("long").alias("count_sum"))
     done = space.keep(with_links.unionByName(without))
     space.drop_all_but(done)

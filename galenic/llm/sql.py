@@ -35,7 +35,7 @@ s AS (SELECT u.lang, u.phrase, u.a, cut, l.f AS l, r.f AS r, n.n, 1000 * CAST(a
   JOIN f l ON l.lang = u.lang AND l.phrase = array_to_string(w[1:cut], ' ') JOIN f r ON r.lang = u.lang AND r.phrase = array_to_string(w[cut + 1:], ' ') JOIN n ON n.lang = u.lang),
 b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS best FROM s),
 i AS (SELECT lang, a, w, unnest(range(2, k)) AS size FROM c WHERE k > 2),
-j AS (SELECT lang, a, array_to_string(w[at:at + size - 1], ' ') AS phrase FROM (SELECT lang, a, w, size, unnest(range(1, len(w) - size + 2)) AS at FROM i)),
+j AS (SELECT lang, a, array_to_string(w[o:o + size - 1], ' ') AS phrase FROM (SELECT lang, a, w, size, unnest(range(1, len(w) - size + 2)) AS o FROM i)),
 d AS (SELECT b.* FROM b WHERE best = 1 AND NOT EXISTS (SELECT 1 FROM j WHERE j.lang = b.lang AND j.phrase = b.phrase AND 100 * j.a >= 100 * b.a)),
 k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d)
 SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM k WHERE rank <= 2000"""
