@@ -12,19 +12,27 @@ def pooled(lines: DataFrame) -> DataFrame:
     return lines.groupBy("crop", "pool").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]).alias("lines"))
 
 
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """crop, pool, at, line: each reading's lines in order, then its pairs of lines."""
+    return pooled(lines).select("crop", "pool", F.posexplode(L.with_adjacent(F.col("lines"))).alias("at", "line"))
+
+
 def vote(lines: DataFrame, field: str) -> DataFrame:
-    """crop, value, agreement, confidence: of each reading the candidate of the highest prior, the first of equals, lines
-    before pairs of lines; of those the value most readings have, the first met of equals. Agreement is the
-    share of all readings of the crop that have it; confidence its best prior times agreement, at most 1, to three places."""
-    extract = L.EXTRACTORS[field]
-    each = pooled(lines).select("crop", "pool", F.posexplode(L.with_adjacent(F.col("lines"))).alias("at", "line"))
-    found = each.select("crop", "pool", "at", extract(F.col("line")).alias("f"))
-    best = found.groupBy("crop", "pool").agg(F.max(F.when(F.col("f").isNotNull(), F.struct(F.col("f.prior").alias("prior"), (-F.col("at")).alias("m"), F.col("f.value").alias("value")))).alias("b"))
-    votes = best.where(F.col("b").isNotNull()).groupBy("crop", F.col("b.value").alias("value")).agg(F.count(F.lit(1)).alias("votes"), F.min("pool").alias("first"), F.max("b.prior").alias("prior"))
-    pools = best.groupBy("crop").agg(F.count(F.lit(1)).alias("pools"))
-    winner = votes.groupBy("crop").agg(F.max(F.struct("votes", (-F.col("first")).alias("m"), "value", "prior")).alias("w")).join(pools, "crop")
+    """crop, value, agreement, confidence of one field by `tally`, all rounded to three places."""
+    found = numbered_lines(lines).select("crop", "pool", F.lit(field).alias("field"), "at", L.EXTRACTORS[field](F.col("line")).alias("f"))
+    return tally(found, lines).select("crop", "value", F.round("agreement", 3).alias("agreement"), F.round("confidence", 3).alias("confidence"))
+
+
+def tally(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """crop, field, value, prior, agreement, confidence: of each reading the candidate (crop, pool, field, at, f of value and prior) of
+    the highest prior, the first of equals; of those the value most readings have, the first met of equals. Agreement is the
+    share of all of the crop's readings, of `lines`, that have it; confidence its best prior times agreement, at most 1."""
+    best = found.where(F.col("f").isNotNull()).groupBy("crop", "field", "pool").agg(F.max(F.struct(F.col("f.prior").alias("prior"), (-F.col("at")).alias("m"), F.col("f.value").alias("value"))).alias("b"))
+    votes = best.groupBy("crop", "field", F.col("b.value").alias("value")).agg(F.count(F.lit(1)).alias("votes"), F.min("pool").alias("first"), F.max("b.prior").alias("prior"))
+    pools = lines.groupBy("crop").agg(F.count_distinct("pool").alias("pools"))
+    winner = votes.groupBy("crop", "field").agg(F.max(F.struct("votes", (-F.col("first")).alias("m"), "value", "prior")).alias("w")).join(pools, "crop")
     agreement = F.col("w.votes") / F.col("pools")
-    return winner.select("crop", F.col("w.value").alias("value"), F.round(agreement, 3).alias("agreement"), F.round(F.least(F.lit(1.0), F.col("w.prior") * agreement), 3).alias("confidence"))
+    return winner.select("crop", "field", F.col("w.value").alias("value"), F.col("w.prior").alias("prior"), agreement.alias("agreement"), F.least(F.lit(1.0), F.col("w.prior") * agreement).alias("confidence"))
 
 
 def voted_instructions(lines: DataFrame) -> DataFrame:
