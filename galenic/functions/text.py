@@ -35,17 +35,11 @@ def lot_repaired(c: Column) -> Column:
     return F.when((doubtful > 0) & (other == 0) & (certain >= doubtful), digits_repaired(c)).otherwise(c)
 
 
-#: As many suffixes as a name may end in; a test holds that one more pass changes nothing.
-SUFFIX_PASSES = 4
-
-
 def clean_labeler(c: Column) -> Column:
     """Without parentheses and trailing corporate suffixes; never empty."""
-    suffix = r"(?i)[\s,.]+(?:" + "|".join(CORPORATE_SUFFIXES) + r")[\s,.]*$"
+    suffixes = r"(?i)(?:[\s,.]+(?:" + "|".join(CORPORATE_SUFFIXES) + r")(?![^\s,.]))+[\s,.]*$"
     out = squeeze(F.regexp_replace(c, r"\([^)]*\)", " "))
-    for _ in range(SUFFIX_PASSES):
-        out = F.regexp_replace(out, suffix, "")
-    out = F.regexp_replace(out, r"[\s,.;]+$", "")
+    out = F.regexp_replace(F.regexp_replace(out, suffixes, ""), r"[\s,.;]+$", "")
     return F.when(out == "", squeeze(c)).otherwise(out)
 
 

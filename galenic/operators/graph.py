@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..storage import stored
 
 #: Which levels each relation may join.
 EDGE_RULES = (("SCDC", "has_ingredient", "IN"), ("SCD", "consists_of", "SCDC"), ("IN", "has_tradename", "BN"), ("SCD", "has_tradename", "SBD"), ("SBD", "has_ingredient", "BN"))
@@ -43,17 +45,23 @@ def bundled(edges: DataFrame, concepts: DataFrame, least: int = 6) -> DataFrame:
     ends = edges.select(F.col("source").alias("center"), F.lit("out").alias("direction"), "rela", F.col("target").alias("near")).unionByName(edges.select(F.col("target").alias("center"), F.lit("in").alias("direction"), "rela", F.col("source").alias("near")))
     degree = ends.groupBy("near").agg(F.count(F.lit(1)).alias("degree"))
     leaves = degree.where(F.col("degree") == 1).select("near").join(concepts.select(F.col("rxcui").alias("near"), "tty"), "near")
-    g = ends.join(leaves, "near").groupBy("center", "direction", "rela", "tty").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("near")).alias("members"))
-    return g.select("center", "direction", "rela", "tty", "n", (F.col("n") >= least).alias("collapsed"), F.when(F.col("n") < least, F.array_join("members", "|")).alias("members"))
+    of, each = ["center", "direction", "rela", "tty"], ends.join(leaves, "near")
+    n = each.groupBy(*of).agg(F.count(F.lit(1)).alias("n"))
+    few = each.join(n.where(F.col("n") < least).select(*of), of, "left_semi")  # members of small groups alone are gathered
+    members = few.groupBy(*of).agg(F.array_join(F.array_sort(F.collect_set("near")), "|").alias("members"))
+    return n.join(members, of, "left").select(*of, "n", (F.col("n") >= least).alias("collapsed"), "members")
 
 
 def walk(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """rxcui, depth of all concepts within so many hops of the start, in either direction, at their least depth. Each round
-    joins the newest ones only and leaves out those that were met."""
+    joins the newest ones only, leaves out those that were met, and is a written table; the walk ends where a round finds none."""
     both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).unionByName(edges.select(F.col("target").alias("a"), F.col("source").alias("b"))).distinct()
-    seen = front = start.select("rxcui").distinct().withColumn("depth", F.lit(0))
+    seen = front = stored(start.select("rxcui").distinct().withColumn("depth", F.lit(0)), "front")
     for k in range(1, depth + 1):
-        front = front.join(both, F.col("rxcui") == F.col("a")).select(F.col("b").alias("rxcui")).distinct().join(seen.select("rxcui"), "rxcui", "left_anti").withColumn("depth", F.lit(k))
+        found = front.join(both, F.col("rxcui") == F.col("a")).select(F.col("b").alias("rxcui")).distinct().join(seen.select("rxcui"), "rxcui", "left_anti").withColumn("depth", F.lit(k))
+        front = stored(found, "front")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front)
     return seen
 
@@ -68,27 +76,26 @@ def paged(rows: DataFrame, branch: list[str], order: list[Column], page: int, si
 
 
 def implied_specificity(names: DataFrame, group: str, name: str) -> DataFrame:
-    """group, name, parents: how many other names of the group have a proper part of its words. Names are matched through
-    their words: a part's words all stand in the whole, so counting shared words by an equality join finds the pairs."""
+    """group, name, parents: how many other names of the group have a proper part of its words. A part's words all stand in the whole, so it
+    is found by the one of them that fewest names of the group have, and array functions decide; words that all names have pair nothing."""
     w = names.select(group, name, F.array_distinct(F.split(F.lower(name), " ")).alias("w")).distinct()
-    w = w.withColumn("size", F.size("w"))
-    each = w.select(group, name, "size", F.explode("w").alias("word"))
-    other = each.select(group, F.col(name).alias("part"), F.col("size").alias("part_size"), "word")
-    # a pair is found through the part's words alone, all of which must be shared
-    shared = each.join(other, [group, "word"]).where(F.col("part_size") < F.col("size")).groupBy(group, name, "part", "part_size").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == F.col("part_size"))
-    n = shared.groupBy(group, name).agg(F.count(F.lit(1)).alias("parents"))
+    each = w.select(group, name, "w", F.explode("w").alias("word"))
+    held = each.groupBy(group, "word").agg(F.count(F.lit(1)).alias("n"))
+    rarest = each.join(held, [group, "word"]).groupBy(group, name, "w").agg(F.min(F.struct("n", "word")).alias("k"))
+    part = rarest.select(group, F.col(name).alias("part"), F.col("w").alias("part_words"), "k.word")
+    inside = (F.size("part_words") < F.size("w")) & (F.size(F.array_except("part_words", "w")) == 0)
+    n = each.join(part, [group, "word"]).where(inside).groupBy(group, name).agg(F.count(F.lit(1)).alias("parents"))
     return w.join(n, [group, name], "left").select(group, name, F.coalesce("parents", F.lit(0)).cast("long").alias("parents"))
 
 
-def ancestors(spark: SparkSession, tree: DataFrame) -> DataFrame:
+def ancestors(tree: DataFrame) -> DataFrame:
     """id, ancestor, depth, each node its own at depth 0, up the whole parent chain; a cycle ends where it would come round."""
     up = tree.select(F.col("id").alias("node"), F.col("parent_id").alias("next"))
     out = level = tree.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("depth"), F.col("parent_id").alias("next"), F.array("id").alias("met"))
     while True:
         level = level.where(F.col("next").isNotNull() & ~F.array_contains("met", F.col("next"))).select("id", F.col("next").alias("ancestor"), (F.col("depth") + 1).alias("depth"), F.array_append("met", F.col("next")).alias("met"))
         level = level.join(up, F.col("ancestor") == F.col("node"), "left").select("id", "ancestor", "depth", "next", "met")
-        # each level's rows are stored, else a level would compute all those before it again; without a shared folder only a single machine's memory is left
-        level = level.checkpoint() if spark.sparkContext.getCheckpointDir() else level.localCheckpoint()
+        level = stored(level, "level")  # else a level would compute all those before it again
         if level.isEmpty():
             return out.select("id", "ancestor", "depth")
         out = out.unionByName(level)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Names of plain carriers and of sterile water.
@@ -62,7 +64,7 @@ def bucket(text: Column, rx: tuple[str, ...] = RX_TERMS, otc: tuple[str, ...] =
     n = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[0-9]+(?:\.[0-9]+)?\s*(?:mg|mcg|g|ml|%|unt)\b", " ")
     n = F.trim(F.regexp_replace(F.regexp_replace(n, "[^a-z0-9 ]+", " "), r"\s+", " "))
     # an alternation is evaluated once over the text, however many terms there are
-    some = lambda terms: n.rlike("(?:" + "|".join(terms) + ")")
+    some = lambda terms: n.rlike("(?:" + "|".join(re.escape(t.lower()) for t in terms) + ")")
     r, o, c = some(rx), some(otc), some(hints)
     return F.when(n == "", "unknown").when(r & o, F.when(c, "otc").otherwise("rx")).when(r, "rx").when(o | c, "otc").otherwise("unknown")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import label as L
 
@@ -50,9 +50,9 @@ def distinguishing(lots: DataFrame, group: str = "order_id", lot: str = "lot") -
     and segment, and the lot with the segment in brackets; start -1 where there is none."""
     d = lots.select(group, lot).distinct()
     spans = d.select(group, lot, F.explode(F.sequence(F.lit(1), F.length(lot))).alias("n")).select(group, lot, "n", F.explode(F.sequence(F.lit(0), F.length(lot) - F.col("n"))).alias("start"))
-    parts = spans.withColumn("segment", F.substring(F.col(lot), F.col("start") + 1, F.col("n")))
-    owned = parts.withColumn("lots", F.size(F.collect_set(lot).over(Window.partitionBy(group, "segment"))))
-    best = owned.where(F.col("lots") == 1).groupBy(group, lot).agg(F.min(F.struct("n", "start", "segment")).alias("b"))
+    first = spans.groupBy(group, F.substring(F.col(lot), F.col("start") + 1, F.col("n")).alias("segment")).agg(F.min(lot).alias("least"), F.max(lot).alias(lot), F.min(F.struct("n", "start")).alias("at"))
+    own = first.where(F.col("least") == F.col(lot)).select(group, lot, F.struct("at.n", "at.start", "segment").alias("b"))
+    best = own.groupBy(group, lot).agg(F.min("b").alias("b"))
     out = d.join(best, [group, lot], "left")
     marked = F.when(F.col("b").isNull(), F.col(lot)).otherwise(
         F.concat(F.substring(F.col(lot), F.lit(1), F.col("b.start")), F.lit("["), F.col("b.segment"), F.lit("]"), F.substring(F.col(lot), F.col("b.start") + F.col("b.n") + 1, F.length(lot)))

@@ -163,6 +163,17 @@ def lookup_names(questions: DataFrame, directory: DataFrame, most_ingredients: i
     return out.select("question", "matched_via", "entry", rank.alias("rank"))
 
 
+def texts_with(texts: DataFrame, terms: DataFrame, size: int = 4) -> DataFrame:
+    """(text, term) of the distinct texts (text) that contain a term (term, of `size` characters or more; shorter ones find nothing), as
+    any part of them. A term is looked for by the one of its pieces of `size` characters that fewest terms have."""
+    pieces = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size))))
+    held = terms.where(F.length("term") >= size).select("term").distinct().select("term", F.explode(pieces(F.col("term"))).alias("piece"))
+    n = held.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    keyed = held.join(n, "piece").groupBy("term").agg(F.min(F.struct("n", "piece")).alias("k")).select("term", "k.piece")
+    each = texts.where(F.length("text") >= size).select("text").distinct().select("text", F.explode(pieces(F.col("text"))).alias("piece"))
+    return each.join(keyed, "piece").where(F.contains("text", F.col("term"))).select("text", "term")
+
+
 def lookup_packages(codes: DataFrame, directory: DataFrame) -> DataFrame:
     """code, entry, field: directory rows (entry, product_ndc, package_ndc) that a printed code names in any of its variants, as their package or product
     code; package where both do."""

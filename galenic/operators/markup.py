@@ -9,6 +9,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..storage import stored
+
 #: Section codes whose text is about storage, and about preparation.
 STORAGE_CODES, PREPARATION_CODES = ("44425-7", "34069-5", "42229-5"), ("34068-7", "42238-6")
 #: Stems of storage and preparation. They end at a word's end, so that other forms of a word don't match.
@@ -90,8 +92,19 @@ def html_blocks(pages: DataFrame, id_column: str = "page_id", html_column: str =
 
 
 def xml_sections(labels: DataFrame, id_column: str = "setid", xml_column: str = "xml") -> DataFrame:
-    """id, ordinal, path (codes from the outermost section on), code, title (an untitled one has its nearest titled ancestor's),
-    text of each section of a structured label, in document order."""
+    """The sections of the documents that can be read, as of `tried_sections`."""
+    return tried_sections(labels, id_column, xml_column).where("error IS NULL AND ordinal IS NOT NULL").drop("error")
+
+
+def failed_documents(labels: DataFrame, id_column: str = "setid", xml_column: str = "xml") -> DataFrame:
+    """id, error of the documents that can't be read, and why."""
+    return tried_sections(labels, id_column, xml_column).where("error IS NOT NULL").select("id", "error")
+
+
+def tried_sections(labels: DataFrame, id_column: str = "setid", xml_column: str = "xml") -> DataFrame:
+    """id, error, ordinal, path (codes from the outermost section on), code, title (an untitled one has its nearest titled ancestor's),
+    text of each section of a structured label, in document order. A document that is null, blank or broken has one row
+    with the reason as error; a sound one without sections has one row of nulls."""
     import xml.etree.ElementTree as ET
 
     def local(e) -> str:
@@ -113,11 +126,28 @@ def xml_sections(labels: DataFrame, id_column: str = "setid", xml_column: str =
         for batch in batches:
             rows = []
             for i, xml in zip(batch["id"], batch["xml"], strict=True):
-                rows += [(i, n, *s) for n, s in enumerate(walk(ET.fromstring(xml), [], ""))]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "path", "code", "title", "text"])
+                try:
+                    found = list(walk(ET.fromstring(xml), [], "")) if isinstance(xml, str) and xml.strip() else None
+                    error = None if found is not None else "no document"
+                except (ET.ParseError, ValueError, RecursionError) as e:
+                    found, error = None, f"{type(e).__name__}: {e}"
+                rows += [(i, error, n, *s) for n, s in enumerate(found)] if found else [(i, error, None, None, None, None, None)]
+            yield pd.DataFrame(rows, columns=["id", "error", "ordinal", "path", "code", "title", "text"]).astype({"ordinal": "Int32"})
 
     rows = labels.select(F.col(id_column).cast("string").alias("id"), F.col(xml_column).alias("xml"))
-    return rows.mapInPandas(parse, "id string, ordinal int, path string, code string, title string, text string")
+    return rows.mapInPandas(parse, "id string, error string, ordinal int, path string, code string, title string, text string")
+
+
+def write_sections(labels: DataFrame, folder: str, id_column: str = "setid", xml_column: str = "xml") -> DataFrame:
+    """Writes one JSON document of sections for each readable label to folder/labels and the others with their reasons to folder/failed,
+    and returns the counts (documents, sections, failed, of which each label is in one). A document's sections are gathered by its id; rows
+    that share an id are one label. An existing folder is replaced, so a run that stopped can be run again."""
+    tried = stored(tried_sections(labels, id_column, xml_column), "sections")
+    good = tried.where("error IS NULL").groupBy("id").agg(F.array_sort(F.collect_list(F.when(F.col("ordinal").isNotNull(), F.struct("ordinal", "path", "code", "title", "text")))).alias("sections"))
+    good.write.mode("overwrite").json(f"{folder}/labels")
+    tried.where("error IS NOT NULL").select("id", "error").write.mode("overwrite").json(f"{folder}/failed")
+    count = lambda c: F.count_distinct(F.when(c, F.col("id")))
+    return tried.agg(count(F.col("error").isNull()).alias("documents"), F.count("ordinal").alias("sections"), F.count_if(F.col("error").isNotNull()).alias("failed"))
 
 
 def tags(text: Column, path: Column | None = None) -> Column:

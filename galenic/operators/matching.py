@@ -186,6 +186,16 @@ def fifo(left: DataFrame, right: DataFrame, key: str, order: str, group: str) ->
     return a.select(group, key, "n", F.col(order).alias("a")).join(b.select(group, key, "n", F.col(order).alias("b")), [group, key, "n"])
 
 
+def image_pairs(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (run, image, ...) twice, each with pair (run, image_a, image_b): as the first and as the second image of every two of
+    a run, in ascending order. Rows of a run meet only those of its other images."""
+    images = rows.select("run", "image").distinct()
+    other = images.select("run", F.col("image").alias("other"))
+    pairs = images.join(other, "run").where(F.col("image") < F.col("other")).select(F.struct("run", F.col("image").alias("image_a"), F.col("other").alias("image_b")).alias("pair"))
+    at = lambda c: rows.join(pairs.select(F.col("pair.run").alias("run"), F.col(f"pair.{c}").alias("image"), "pair"), ["run", "image"])
+    return at("image_a"), at("image_b")
+
+
 #: Tiers of a link in order of precedence.
 TIERS = ("identity", "sku", "therapeutic")
 

@@ -226,13 +226,13 @@ def setid_best_entry(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ndc_set_algebra",
-    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE year(l_shipdate) = 1995 AND l_quantity > 25), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE year(l_shipdate) = 1996 AND l_quantity > 25)
+    """WITH a AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE year(l_shipdate) = 1995), b AS (SELECT DISTINCT l_partkey AS k FROM lineitem WHERE year(l_shipdate) = 1996)
     SELECT 'both' AS part, count(*) AS n FROM (SELECT k FROM a INTERSECT SELECT k FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)
     UNION ALL SELECT 'first only', count(*) FROM (SELECT k FROM a EXCEPT SELECT k FROM b) UNION ALL SELECT 'second only', count(*) FROM (SELECT k FROM b EXCEPT SELECT k FROM a)""",
 )
 def ndc_set_algebra(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of the sets of codes shipped in two years: both, either, one only; one grouping gives all four."""
-    items = V.table(spark, d, "lineitem").where((F.col("l_quantity") > 25) & F.year("l_shipdate").isin(1995, 1996))
+    items = V.table(spark, d, "lineitem").where(F.year("l_shipdate").isin(1995, 1996))
     k = items.groupBy("l_partkey").agg(F.max((F.year("l_shipdate") == 1995).cast("int")).alias("a"), F.max((F.year("l_shipdate") == 1996).cast("int")).alias("b"))
     n = k.agg(F.count_if((F.col("a") == 1) & (F.col("b") == 1)).alias("both"), F.count(F.lit(1)).alias("either"), F.count_if(F.col("b") == 0).alias("first only"), F.count_if(F.col("a") == 0).alias("second only"))
     return n.unpivot([], ["both", "either", "first only", "second only"], "part", "n")
@@ -265,25 +265,11 @@ def clean_labeler(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ocr_normalise",
-    "SELECT doc_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))[1:80] AS folded, translate(text[1:60], 'OoQDIl|', '0000111') AS repaired, length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) AS n FROM documents",
-)
-def ocr_normalise(spark: SparkSession, d: str) -> DataFrame:
-    docs = V.table(spark, d, "documents")
-    return docs.select(
-        "doc_id",
-        F.substring(X.squeeze(F.lower("text")), 1, 80).alias("folded"),
-        X.digits_repaired(F.substring("text", 1, 60)).alias("repaired"),
-        F.length(X.squeeze(F.col("text"))).cast("long").alias("n"),
-    )
-
-
-@query(
-    "ocr_normalise_whole",
     """SELECT doc_id, md5(folded) AS folded_md5, length(folded) AS n_folded, md5(repaired) AS repaired_md5, length(repaired) AS n_repaired, length(trim(regexp_replace(text, '[\\s\\x0B]+', ' ', 'g'))) AS n
     FROM (SELECT doc_id, text, trim(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g')) AS folded, translate(text, 'OoQDIl|', '0000111') AS repaired FROM documents)""",
 )
-def ocr_normalise_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As ocr_normalise, whose SQL compares the first 80 and 60 characters only, over whole texts: their digests and lengths."""
+def ocr_normalise(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts folded and repaired: their digests and lengths."""
     docs = V.table(spark, d, "documents")
     texts = docs.select("doc_id", "text", X.squeeze(F.lower("text")).alias("folded"), X.digits_repaired(F.col("text")).alias("repaired"))
     return texts.select(

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import views as V
-from ..functions import text as X
-from ..operators import directory as D
+from ..functions import records as P, text as X
+from ..operators import directory as D, salvage as S
 from ..views import with_views
 from .registry import query
 
@@ -32,8 +32,7 @@ def readings(spark: SparkSession, d: str) -> DataFrame:
 
 _NORM = "' ' || array_to_string(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}]+'), ' ') || ' '"
 _MAKER = "regexp_replace(regexp_replace(name, '\\([^)]*\\)', '', 'g'), '( Pharmaceuticals, Inc\\.| Laboratories LLC| Pharma USA|  Corp\\.| Div Holdings Inc)$', '')"
-_FIELDS = (
-    f""", m AS (SELECT code, {_MAKER} AS maker FROM v_labelers),
+_READINGS = f""", m AS (SELECT code, {_MAKER} AS maker FROM v_labelers),
     x AS (SELECT part_id AS crop, pool, line_no, CASE line_no WHEN 0 THEN CASE WHEN part_id % 5 <> 0 THEN 'NDC ' || CASE WHEN part_id % 4 = pool THEN translate(product_ndc || '-01', '01', 'OI') ELSE product_ndc || '-01' END END
       WHEN 1 THEN 'LOT A' || lpad(CAST(part_id AS VARCHAR), 6, '0') || CASE WHEN part_id % 7 = 0 AND pool >= 2 THEN 'B' WHEN part_id % 7 = 1 AND pool = 0 THEN 'Z' ELSE '' END
       WHEN 2 THEN CASE WHEN brand <> generic THEN CASE WHEN part_id % 4 = pool THEN 'HOT BOLT' ELSE upper(brand) END END
@@ -41,7 +40,10 @@ _FIELDS = (
       WHEN 4 THEN CASE WHEN part_id % 3 = 1 AND contains(generic, ' ') THEN generic[length(split_part(generic, ' ', 1)) + 2:] END
       WHEN 5 THEN CASE part_id % 4 WHEN 1 THEN 'Mfd. by ' || upper(maker) WHEN 2 THEN 'Distributed by Supplier' END
       WHEN 6 THEN CASE WHEN part_id % 2 = 0 THEN '5 mg vial' END END AS text
-      FROM v_products LEFT JOIN m ON m.code = labeler_code, (SELECT unnest([0, 1, 2, 3]) AS pool), (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no)),
+      FROM v_products LEFT JOIN m ON m.code = labeler_code, (SELECT unnest([0, 1, 2, 3]) AS pool), (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS line_no))"""
+_FIELDS = (
+    _READINGS
+    + f""",
     l AS (SELECT crop, pool, list(text ORDER BY line_no) AS t FROM x WHERE text IS NOT NULL GROUP BY 1, 2),
     e AS (SELECT crop, pool, unnest(range(1, len(t) * 2)) AS pos_, unnest(list_concat(t, list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1]))) AS line FROM l),
     v AS (SELECT field, phrase, min(name) AS name FROM (SELECT field, name, {_NORM.format('name')} AS phrase FROM (SELECT 'brand' AS field, brand AS name FROM v_products WHERE NOT contains(lower(brand), lower(generic)) AND NOT contains(lower(generic), lower(brand))
@@ -71,3 +73,39 @@ def label_fields(spark: SparkSession, d: str) -> DataFrame:
     named = V.products(spark, d).join(makers.select(F.col("code").alias("labeler_code"), F.col("name").alias("labeler_name")), "labeler_code", "left")
     directory = named.select("product_ndc", "generic", "brand", "labeler_name", F.concat_ws(" ", F.col("strength").cast("int").cast("string"), "unit").alias("strength_text"))
     return D.label_fields(readings(spark, d), directory, makers)
+
+
+def reading_texts(spark: SparkSession, d: str) -> DataFrame:
+    """crop, reading, text, score: a label's readings as whole texts, each without some of its lines, with what was added beside the label."""
+    c, pool = F.col("crop"), F.col("pool")
+    lines = readings(spark, d).where((c + pool + F.col("line_no")) % 3 != 0)
+    said = lines.groupBy("crop", "pool").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "\n").alias("text"))
+    text = F.concat("text", F.when(pool % 2 == 0, F.concat(F.lit(" EXP 07/202"), (c % 10).cast("string"), F.lit(" 10 mL"))).otherwise(F.concat(F.lit(" 250 mg / "), (c % 5 + 1).cast("string"), F.lit(" mL"))))
+    words = F.size(F.split(text, r"\s+"))
+    return said.select("crop", F.col("pool").alias("reading"), text.alias("text"), P.reading_score(text, ((c * 31 + pool * 17) % 60 + 30).cast("double"), words).alias("score"))
+
+
+_SALVAGED = (
+    _READINGS
+    + """, r0 AS (SELECT crop, pool, string_agg(text, chr(10) ORDER BY line_no) || CASE WHEN pool % 2 = 0 THEN ' EXP 07/202' || CAST(crop % 10 AS VARCHAR) || ' 10 mL' ELSE ' 250 mg / ' || CAST(crop % 5 + 1 AS VARCHAR) || ' mL' END AS text
+      FROM x WHERE text IS NOT NULL AND (crop + pool + line_no) % 3 <> 0 GROUP BY 1, 2),
+    r1 AS (SELECT *, lower(text) AS t, ((crop * 31 + pool * 17) % 60 + 30) * (1 + ln(1 + len(regexp_split_to_array(text, '\\s+'))) / 4) AS base FROM r0),
+    r2 AS (SELECT crop, replace(text, chr(10), ' ') AS text, row_number() OVER (PARTITION BY crop ORDER BY round(base + 3.0 * (CAST(contains(t, 'ndc') AS INTEGER) + CAST(contains(t, 'lot') AS INTEGER) + CAST(contains(t, 'exp') AS INTEGER) + CAST(contains(t, 'mfg') AS INTEGER)
+      + CAST(contains(t, 'rx only') AS INTEGER) + CAST(contains(t, 'usp') AS INTEGER) + CAST(contains(t, 'mg/') AS INTEGER) + CAST(contains(t, 'mcg/') AS INTEGER) + CAST(contains(t, 'ml') AS INTEGER)), 9) DESC, pool) - 1 AS rank FROM r1),
+    q AS (SELECT crop, rank, text, CASE WHEN regexp_matches(lower(text), '0\\.9 *%|sodium chloride') THEN '0.9% Sodium Chloride Injection, USP' WHEN contains(lower(text), 'heparin') THEN 'Heparin Sodium Injection' WHEN contains(lower(text), 'potassium chloride') THEN 'Potassium Chloride Injection' END AS product,
+      '0' || nullif(translate(regexp_extract(text, 'NDC ([0-9OI]{5}-[0-9OI]{4}-[0-9OI]{2})', 1), 'OI', '01'), '') AS ndc, nullif(regexp_extract(text, 'LOT ([A-Z0-9]{4,12})', 1), '') AS lot,
+      nullif(regexp_extract(text, 'EXP ([0-9/]+)', 1), '') AS expiration, nullif(regexp_extract(text, '([0-9]+) mL', 1), '') AS volume_ml,
+      CASE WHEN regexp_matches(text, '[0-9]+ mg / [0-9]+ mL') THEN regexp_extract(text, '([0-9]+ mg) / ([0-9]+ mL)', 1) || '/' || regexp_extract(text, '([0-9]+ mg) / ([0-9]+ mL)', 2) ELSE nullif(regexp_extract(text, '[0-9]+ mg'), '') END AS strength FROM r2),
+    n AS (SELECT q.crop, q.rank, q.text, arg_min(m.maker, m.maker) AS by_name FROM q JOIN m ON contains("""
+    + _NORM.format("q.text") + ", " + _NORM.format("m.maker")
+    + """) GROUP BY 1, 2, 3),
+    k AS (SELECT q.*, m.maker AS by_code, n.by_name FROM q LEFT JOIN m ON m.code = q.ndc[2:6] LEFT JOIN n ON n.crop = q.crop AND n.rank = q.rank)
+    SELECT crop, arg_min(product, rank) AS product, arg_min(ndc[2:], rank) AS ndc, arg_min(lot, rank) AS lot, arg_min(expiration, rank) AS expiration, arg_min(volume_ml, rank) AS volume_ml, arg_min(strength, rank) AS strength,
+      coalesce(arg_min(by_code, rank), arg_min(by_name, rank)) AS manufacturer, CASE WHEN arg_min(by_code, rank) IS NOT NULL THEN 'ndc' WHEN arg_min(by_name, rank) IS NOT NULL THEN 'name' END AS manufacturer_source FROM k GROUP BY 1"""
+)
+
+
+@query("salvaged_fields", with_views(_SALVAGED, "v_products", "v_labelers").replace(") , m AS", "), m AS"))
+def salvaged_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Each label's fields from the best of its readings that has them."""
+    return S.salvaged(reading_texts(spark, d), V.labelers(spark, d))

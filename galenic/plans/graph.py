@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import views as V
-from ..operators import catalog as C, graph as G
+from ..operators import catalog as C, graph as G, lookup as K
 from ..views import with_views
 from .registry import query
 
@@ -98,30 +98,15 @@ def implied_specificity(spark: SparkSession, d: str) -> DataFrame:
     "role_inheritance",
     with_views(
         """, a AS (SELECT id, id AS ancestor, parent_id AS next FROM v_facilities UNION ALL SELECT a.id, f.id, f.parent_id FROM a JOIN v_facilities f ON f.id = a.next),
-        g AS (SELECT DISTINCT user_id, role, facility_id FROM v_grants WHERE revoked_at IS NULL AND role = 'facility_admin' AND facility_id < 1000)
+        g AS (SELECT DISTINCT user_id, facility_id FROM v_grants WHERE revoked_at IS NULL AND role = 'facility_admin')
         SELECT a.id AS facility_id, count(DISTINCT g.user_id) AS admins FROM a JOIN g ON g.facility_id = a.ancestor GROUP BY 1""",
         "v_facilities", "v_grants", recursive=True,
     ).replace(") , a AS", "), a AS"),
 )
 def role_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """How many administrators each facility has by grants on it or on a parent."""
-    grants = V.grants(spark, d).where(F.col("revoked_at").isNull() & (F.col("role") == "facility_admin") & (F.col("facility_id") < 1000))
-    return G.inherited_roles(grants, G.ancestors(spark, V.facilities(spark, d))).groupBy("facility_id").agg(F.count_distinct("user_id").alias("admins"))
-
-
-@query(
-    "role_inheritance_whole",
-    with_views(
-        """, a AS (SELECT id, id AS ancestor, parent_id AS next FROM v_facilities UNION ALL SELECT a.id, f.id, f.parent_id FROM a JOIN v_facilities f ON f.id = a.next),
-        g AS (SELECT DISTINCT user_id, facility_id FROM v_grants WHERE revoked_at IS NULL AND role = 'facility_admin')
-        SELECT a.id AS facility_id, count(DISTINCT g.user_id) AS admins FROM a JOIN g ON g.facility_id = a.ancestor GROUP BY 1""",
-        "v_facilities", "v_grants", recursive=True,
-    ).replace(") , a AS", "), a AS"),
-)
-def role_inheritance_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As role_inheritance, whose SQL reads grants on facilities below 1000 only, by the grants on every facility."""
     grants = V.grants(spark, d).where(F.col("revoked_at").isNull() & (F.col("role") == "facility_admin"))
-    return G.inherited_roles(grants, G.ancestors(spark, V.facilities(spark, d))).groupBy("facility_id").agg(F.count_distinct("user_id").alias("admins"))
+    return G.inherited_roles(grants, G.ancestors(V.facilities(spark, d))).groupBy("facility_id").agg(F.count_distinct("user_id").alias("admins"))
 
 
 @query(
@@ -144,14 +129,10 @@ def volume_groups(spark: SparkSession, d: str) -> DataFrame:
     ).replace(") , t AS", "), t AS"),
 )
 def term_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Up to twenty products for each name that stands in theirs. Distinct product names meet the terms by word n-grams, so the
-    join is by equality; twenty is the list's length."""
+    """Up to twenty products for each name that stands in theirs, inside a word or not; twenty is the list's length."""
     terms = V.concepts(spark, d).where(F.col("tty").isin("IN", "BN") & (F.length("name") >= 4)).select(F.lower("name").alias("term")).distinct()
     p = V.products(spark, d).withColumn("text", F.lower(F.concat_ws(" ", "brand", "generic")))
-    words = F.split("text", " ")
-    names = p.select("text").distinct().select("text", words.alias("w"))
-    grams = names.select("text", F.explode(F.flatten(F.transform(F.sequence(F.lit(1), F.size("w")), lambda n: F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, n), " "))))).alias("term")).distinct()
-    hits = p.join(grams.join(terms, "term"), "text")
+    hits = p.join(K.texts_with(p.select("text"), terms), "text")
     return G.paged(hits.select("term", "product_ndc", "part_id"), ["term"], [F.col("product_ndc"), F.col("part_id")], 0, 20).select("term", "product_ndc")
 
 

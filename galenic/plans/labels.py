@@ -88,9 +88,8 @@ def gs1_parse(spark: SparkSession, d: str) -> DataFrame:
     payload = F.when(F.col("l_linenumber") % 3 == 0, F.col("l_partkey").cast("string")).otherwise(
         F.concat(F.lit("(01)"), gtin, F.lit("(17)"), F.date_format("l_shipdate", "yyMMdd"), F.lit("(10)L"), F.col("l_suppkey").cast("string"))
     )
-    # the century of a two-digit year is 20, so dates before 2000 are written with 19 on both sides
-    lines = F.array_join(L.gs1_lines(payload), " / ")
-    return items.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.replace(lines, F.lit("/209"), F.lit("/199")).alias("lines"))
+    lines = F.array_join(L.gs1_lines(payload, 1998), " / ")
+    return items.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), lines.alias("lines"))
 
 
 @query(
@@ -271,7 +270,7 @@ def strict_rxname(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "quantified_forms",
     with_views(
-        """, q AS (SELECT DISTINCT tty, name AS base, CAST(length(name) % 20 + 1 AS VARCHAR) || ' ML ' || name AS name FROM v_concepts WHERE tty IN ('SCD', 'SBD') AND length(name) % 2 = 0)
+        """, q AS (SELECT DISTINCT tty, name AS base, CAST(length(name) % 20 + 1 AS VARCHAR) || ' ML ' || name AS name FROM v_concepts WHERE tty IN ('SCD', 'SBD'))
         SELECT q.tty, q.name, CAST(length(q.base) % 20 + 1 AS VARCHAR) AS magnitude, 'ML' AS unit, c.rxcui AS base_rxcui FROM q JOIN v_concepts c ON c.tty = q.tty AND c.name = q.base""",
         "v_concepts",
     ).replace(") , q AS", "), q AS"),
@@ -280,20 +279,6 @@ def quantified_forms(spark: SparkSession, d: str) -> DataFrame:
     """Names with a leading volume are linked to the concept of the same level that has the rest of the name; of several
     concepts of one folded name the smallest id counts."""
     c = V.concepts(spark, d).where(F.col("tty").isin("SCD", "SBD"))
-    return _quantified_links(c.where(F.length("name") % 2 == 0), c)
-
-
-@query(
-    "quantified_forms_whole",
-    with_views(
-        """, q AS (SELECT DISTINCT tty, name AS base, CAST(length(name) % 20 + 1 AS VARCHAR) || ' ML ' || name AS name FROM v_concepts WHERE tty IN ('SCD', 'SBD'))
-        SELECT q.tty, q.name, CAST(length(q.base) % 20 + 1 AS VARCHAR) AS magnitude, 'ML' AS unit, c.rxcui AS base_rxcui FROM q JOIN v_concepts c ON c.tty = q.tty AND c.name = q.base""",
-        "v_concepts",
-    ).replace(") , q AS", "), q AS"),
-)
-def quantified_forms_whole(spark: SparkSession, d: str) -> DataFrame:
-    """As quantified_forms, whose SQL takes names of even length only, for every name."""
-    c = V.concepts(spark, d).where(F.col("tty").isin("SCD", "SBD"))
     return _quantified_links(c, c)
 
 

@@ -95,15 +95,16 @@ def inventory_summary(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "fifo_match",
     with_views(
-        """, a AS (SELECT run, lot, instance_id, row_number() OVER (PARTITION BY run, lot ORDER BY instance_id) AS n FROM v_detections WHERE image = 0 AND lot IS NOT NULL),
-        b AS (SELECT run, lot, instance_id, row_number() OVER (PARTITION BY run, lot ORDER BY instance_id) AS n FROM v_detections WHERE image = 1 AND lot IS NOT NULL)
-        SELECT a.run, a.lot, CAST(a.n AS INTEGER) AS n, a.instance_id AS a, b.instance_id AS b FROM a JOIN b ON a.run = b.run AND a.lot = b.lot AND a.n = b.n""",
+        """, p AS (SELECT a.run, a.image AS image_a, b.image AS image_b FROM (SELECT DISTINCT run, image FROM v_detections) a JOIN (SELECT DISTINCT run, image FROM v_detections) b ON a.run = b.run AND a.image < b.image),
+        s AS (SELECT run, image, lot, instance_id, row_number() OVER (PARTITION BY run, image, lot ORDER BY instance_id) AS n FROM v_detections WHERE lot IS NOT NULL)
+        SELECT p.run, p.image_a, p.image_b, a.lot, CAST(a.n AS INTEGER) AS n, a.instance_id AS a, b.instance_id AS b FROM p JOIN s a ON a.run = p.run AND a.image = p.image_a JOIN s b ON b.run = p.run AND b.image = p.image_b AND a.lot = b.lot AND a.n = b.n""",
         "v_detections",
-    ).replace(") , a AS", "), a AS"),
+    ).replace(") , p AS", "), p AS"),
 )
 def fifo_match(spark: SparkSession, d: str) -> DataFrame:
-    boxes = V.detections(spark, d)
-    return M.fifo(boxes.where(F.col("image") == 0), boxes.where(F.col("image") == 1), "lot", "instance_id", "run")
+    """The n-th box of a lot in an image with its n-th in each later image of the run."""
+    first, second = M.image_pairs(V.detections(spark, d))
+    return M.fifo(first, second, "lot", "instance_id", "pair").select("pair.*", "lot", "n", "a", "b")
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
@@ -117,8 +118,8 @@ def components(spark: SparkSession, d: str) -> DataFrame:
 
 _COMPONENTS = """, c AS (SELECT run, image, instance_id AS id, CASE WHEN instance_id % 2 = 0 THEN 'vial' ELSE 'bag' END AS type, ndc, lot, exp, CASE WHEN instance_id % 6 <> 0 THEN 'mfg' || CAST(instance_id % 3 AS VARCHAR) END AS mfg,
         'drug' || CAST(instance_id % 4 AS VARCHAR) AS product, CAST(instance_id % 2 * 5 + 5 AS VARCHAR) || ' mg' AS strength FROM v_detections),
-        x AS (SELECT a.run, a.id AS i, b.id AS j, coalesce(a.ndc = b.ndc, false) AS ns, coalesce(a.ndc <> b.ndc, false) AS nd, coalesce(a.lot = b.lot, false) AS ls, coalesce(a.lot <> b.lot, false) AS ld, coalesce(a.exp = b.exp, false) AS es, coalesce(a.exp <> b.exp, false) AS ed,
-          coalesce(a.mfg = b.mfg, false) AS ms, coalesce(a.mfg <> b.mfg, false) AS md, a.product = b.product AS ps, a.strength = b.strength AS ss FROM c a JOIN c b ON a.run = b.run AND a.image = 0 AND b.image = 1 AND a.type = b.type),
+        x AS (SELECT a.run * 10000 + a.image * 100 + b.image AS run, a.id AS i, b.id AS j, coalesce(a.ndc = b.ndc, false) AS ns, coalesce(a.ndc <> b.ndc, false) AS nd, coalesce(a.lot = b.lot, false) AS ls, coalesce(a.lot <> b.lot, false) AS ld, coalesce(a.exp = b.exp, false) AS es, coalesce(a.exp <> b.exp, false) AS ed,
+          coalesce(a.mfg = b.mfg, false) AS ms, coalesce(a.mfg <> b.mfg, false) AS md, a.product = b.product AS ps, a.strength = b.strength AS ss FROM c a JOIN c b ON a.run = b.run AND a.image < b.image AND a.type = b.type),
         y AS (SELECT run, i, j, CASE WHEN NOT (nd OR ld OR ed OR md) AND ls AND (ns OR es OR ms) THEN 'identity' WHEN ns AND NOT (md OR NOT ps) THEN 'sku' WHEN ps AND ss AND ms AND NOT (nd OR ld) THEN 'sku' WHEN ps AND ss THEN 'therapeutic' END AS tier,
           CAST(CASE WHEN NOT (nd OR ld OR ed OR md) AND ls AND ns THEN 10 + CASE WHEN es THEN 1 ELSE 0 END + CASE WHEN ms THEN 0.5 ELSE 0 END WHEN NOT (nd OR ld OR ed OR md) AND ls AND (es OR ms) THEN 8 + CASE WHEN ms THEN 0.5 ELSE 0 END
           WHEN ns AND NOT (md OR NOT ps) THEN 6 + CASE WHEN ss THEN 0.5 ELSE 0 END WHEN ps AND ss AND ms AND NOT (nd OR ld) THEN 5 WHEN ps AND ss AND (md OR nd) THEN 3.5 WHEN ps AND ss THEN 2.5 END AS DOUBLE) AS score FROM x)"""
@@ -136,27 +137,30 @@ def _unused(*tiers: int) -> str:
     "tiered_links",
     with_views(
         _COMPONENTS + _tier(1, "identity", "") + _tier(2, "sku", _unused(1)) + _tier(3, "therapeutic", _unused(1, 2))
-        + " SELECT run, i, j, tier, score, ni > 1 OR nj > 1 AS ambiguous FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)",
+        + " SELECT run // 10000 AS run, run // 100 % 100 AS image_a, run % 100 AS image_b, i, j, tier, score, ni > 1 OR nj > 1 AS ambiguous FROM (SELECT * FROM b1 UNION ALL SELECT * FROM b2 UNION ALL SELECT * FROM b3)",
         "v_detections",
     ).replace(") , c AS", "), c AS"),
 )
 def tiered_links(spark: SparkSession, d: str) -> DataFrame:
-    c = components(spark, d)
-    return M.tiered_links(M.classified_pairs(c.where(F.col("image") == 0), c.where(F.col("image") == 1), "run"), "run")
+    """Links of the components of every two images of a run."""
+    first, second = M.image_pairs(components(spark, d))
+    links = M.tiered_links(M.classified_pairs(first, second, "pair"), "pair")
+    return links.select("pair.*", "i", "j", "tier", "score", "ambiguous")
 
 
 @query(
     "unmatched_components",
     with_views(
-        _COMPONENTS + " SELECT run, id FROM c WHERE image = 0 AND (run, id) NOT IN (SELECT (run, i) FROM y WHERE tier IN ('identity', 'sku'))",
+        _COMPONENTS + " SELECT c.run, c.image AS image_a, o.image AS image_b, c.id FROM c JOIN (SELECT DISTINCT run, image FROM c) o ON o.run = c.run AND o.image > c.image WHERE (c.run * 10000 + c.image * 100 + o.image, c.id) NOT IN (SELECT (run, i) FROM y WHERE tier IN ('identity', 'sku'))",
         "v_detections",
     ).replace(") , c AS", "), c AS"),
 )
 def unmatched_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of reference images that no identity or product link reaches."""
-    c = components(spark, d)
-    pairs = M.classified_pairs(c.where(F.col("image") == 0), c.where(F.col("image") == 1), "run").where(F.col("tier").isin("identity", "sku"))
-    return c.where(F.col("image") == 0).select("run", "id").join(pairs.select("run", F.col("i").alias("id")), ["run", "id"], "left_anti")
+    """Components of an image that no identity or product link reaches from a later image of the run, for every two images."""
+    first, second = M.image_pairs(components(spark, d))
+    pairs = M.classified_pairs(first, second, "pair").where(F.col("tier").isin("identity", "sku"))
+    alone = first.select("pair", "id").join(pairs.select("pair", F.col("i").alias("id")), ["pair", "id"], "left_anti")
+    return alone.select("pair.*", "id")
 
 
 @query(

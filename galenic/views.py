@@ -35,6 +35,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _padded(number: Column, digits: int) -> Column:
+    """With leading zeros; a longer number keeps all its digits, so that codes stay unique at every size."""
+    text = number.cast("string")
+    return F.lpad(text, F.greatest(F.lit(digits), F.length(text)), F.lit("0"))
+
+
 def _lookup(values: dict[str, str], key: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), key)
 
@@ -48,7 +54,7 @@ def labelers(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     suffix = F.element_at(F.array(*map(F.lit, SUFFIXES)), (F.col("s_suppkey") % 5).cast("int") + 1)
     return s.select(
-        F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("code"),
+        _padded(F.col("s_suppkey"), 5).alias("code"),
         F.concat("s_name", suffix).alias("name"),
         (F.col("s_acctbal") >= 0).alias("active"),
     )
@@ -61,9 +67,9 @@ def products(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = part.join(supplied, part.p_partkey == supplied.l_partkey, "left")
     words = F.split("p_name", " ")
     generic = _lookup(GENERICS, words[1])
-    code = F.lpad(F.coalesce("suppkey", F.lit(0)).cast("string"), 5, "0")
+    code = _padded(F.coalesce("suppkey", F.lit(0)), 5)
     p = p.select(
-        F.concat(code, F.lit("-"), F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")).alias("product_ndc"),
+        F.concat(code, F.lit("-"), _padded(F.col("p_partkey"), 4)).alias("product_ndc"),
         generic.alias("generic"),
         F.when(words[0].isin(*BRANDED), F.initcap("p_name")).otherwise(generic).alias("brand"),
         _lookup(DOSAGE_FORMS, F.split("p_type", " ")[0]).alias("dosage_form"),
@@ -206,12 +212,12 @@ def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = {
-    "v_labelers": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 5, '0') AS code, s_name || CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES)) + " END AS name, s_acctbal >= 0 AS active FROM supplier",
-    "v_products": f"""SELECT lpad(CAST(coalesce(suppkey, 0) AS VARCHAR), 5, '0') || '-' || lpad(CAST(p_partkey % 10000 AS VARCHAR), 4, '0') AS product_ndc,
+    "v_labelers": "SELECT lpad(CAST(s_suppkey AS VARCHAR), greatest(5, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0') AS code, s_name || CASE s_suppkey % 5 " + " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(SUFFIXES)) + " END AS name, s_acctbal >= 0 AS active FROM supplier",
+    "v_products": f"""SELECT lpad(CAST(coalesce(suppkey, 0) AS VARCHAR), greatest(5, length(CAST(coalesce(suppkey, 0) AS VARCHAR)))::INTEGER, '0') || '-' || lpad(CAST(p_partkey AS VARCHAR), greatest(4, length(CAST(p_partkey AS VARCHAR)))::INTEGER, '0') AS product_ndc,
         {_case(GENERICS, "split_part(p_name, ' ', 2)")} AS generic,
         CASE WHEN split_part(p_name, ' ', 1) IN {BRANDED} THEN upper(p_name[1]) || split_part(p_name, ' ', 1)[2:] || ' ' || upper(split_part(p_name, ' ', 2)[1]) || split_part(p_name, ' ', 2)[2:] ELSE {_case(GENERICS, "split_part(p_name, ' ', 2)")} END AS brand,
         {_case(DOSAGE_FORMS, "split_part(p_type, ' ', 1)")} AS dosage_form,
-        lpad(CAST(coalesce(suppkey, 0) AS VARCHAR), 5, '0') AS labeler_code, CAST(p_size AS DOUBLE) AS strength, 'mg/mL' AS unit, p_size % 10 <> 0 AS active, CAST(p_partkey AS BIGINT) AS part_id
+        lpad(CAST(coalesce(suppkey, 0) AS VARCHAR), greatest(5, length(CAST(coalesce(suppkey, 0) AS VARCHAR)))::INTEGER, '0') AS labeler_code, CAST(p_size AS DOUBLE) AS strength, 'mg/mL' AS unit, p_size % 10 <> 0 AS active, CAST(p_partkey AS BIGINT) AS part_id
         FROM part LEFT JOIN (SELECT l_partkey, min(l_suppkey) AS suppkey FROM lineitem GROUP BY 1) ON p_partkey = l_partkey""",
     "v_packages": """SELECT product_ndc, lpad(CAST(l_linenumber AS VARCHAR), 2, '0') AS package_code,
         CAST(CAST(strength AS INTEGER) AS VARCHAR) || ' mL in ' || CAST(l_linenumber AS VARCHAR) || ' VIAL (' || product_ndc || '-' || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || ') / 1 CARTON in 1 CARTON' AS description

@@ -155,12 +155,12 @@ def test_boxes(spark):
     assert r[0] == r[1] == pytest.approx(1 / 3) and r[2] == 0
 
 
-def test_ocr_normalise_whole_sees_the_end_of_a_text(spark, tmp_path):
+def test_ocr_normalise_sees_the_end_of_a_text(spark, tmp_path):
     from galenic.plans.catalogue import QUERIES
 
     text = "Lorem  ipsum\t" * 20 + "LOT O1Ql|"
     spark.createDataFrame([(1, text), (2, text + "O"), (3, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r for r in QUERIES["ocr_normalise_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in QUERIES["ocr_normalise"](spark, str(tmp_path)).collect()}
     folded, repaired = "lorem ipsum " * 20 + "lot o1ql|", text.translate(str.maketrans("OoQDIl|", "0000111"))
     assert (got[1].folded_md5, got[1].n_folded) == (hashlib.md5(folded.encode()).hexdigest(), len(folded))
     assert (got[1].repaired_md5, got[1].n_repaired, got[1].n) == (hashlib.md5(repaired.encode()).hexdigest(), len(repaired), len(folded))

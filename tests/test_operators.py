@@ -120,7 +120,7 @@ def test_graph_family_and_walk(spark):
 
 def test_roles_hold_below_the_place_of_the_grant(spark):
     tree = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, None)], "id long, parent_id long")
-    up = {(r.id, r.ancestor) for r in G.ancestors(spark, tree).collect()}
+    up = {(r.id, r.ancestor) for r in G.ancestors(tree).collect()}
     assert up == {(1, 1), (2, 2), (2, 1), (3, 3), (3, 2), (3, 1), (4, 4)}
 
 
@@ -151,7 +151,7 @@ SPL = """<document xmlns="urn:hl7-org:v3"><component><structuredBody><component>
 def test_ancestors_have_no_depth_limit(spark):
     chain = [(i, i + 1 if i < 12 else None) for i in range(1, 13)]
     tree = spark.createDataFrame([*chain, (20, 21), (21, 22), (22, 20), (30, 30), (31, 20)], "id long, parent_id long")
-    up = {(r.id, r.ancestor, r.depth) for r in G.ancestors(spark, tree).collect()}
+    up = {(r.id, r.ancestor, r.depth) for r in G.ancestors(tree).collect()}
     assert {x for x in up if x[0] < 20} == {(i, j, j - i) for i in range(1, 13) for j in range(i, 13)}
     assert sorted(x for x in up if x[0] >= 20) == [(20, 20, 0), (20, 21, 1), (20, 22, 2), (21, 20, 2), (21, 21, 0), (21, 22, 1), (22, 20, 1), (22, 21, 2), (22, 22, 0), (30, 30, 0), (31, 20, 1), (31, 21, 2), (31, 22, 3), (31, 31, 0)]
 
