@@ -131,7 +131,7 @@ def lookup_names(questions: DataFrame, directory: DataFrame, most_ingredients: i
     open_, answers = questions, None
     for via, wanted, conditions in looser_questions():
         asked = open_.where(wanted)
-        if asked.isEmpty():
+        if answers is not None and asked.isEmpty():
             continue
         asked = asked.withColumn("matched_via", via)
         hits = names_found(asked.select("question", conditions.alias("conditions")), names, index)
