@@ -13,7 +13,7 @@ import numpy as np
 
 U = np.uint64
 #: Distinct keys from which a container bursts, and keys that all containers hold together.
-BURST, HELD = 1 << 15, 1 << 22
+BURST, HELD = 1 << 14, 1 << 21
 #: Bits by which a burst container's children part, and the most bits that the trie looks at: those of the two word ids.
 STEP, DEEPEST = 4, 28
 

@@ -238,24 +238,28 @@ def _checker(n_words: int, num: int, den: int):
 
 
 def components(edges: DataFrame, space: Workspace) -> DataFrame:
-    """(node, label) of every node of the edges (a, b): the smallest node reachable. Labels spread along edges and then
-    jump to their own label's label, so rounds grow with the logarithm of a component's diameter.
-    Each round's labels are a written table; the driver sees only how many changed."""
-    both = space.keep(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = space.keep(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("label")))
-    while True:
-        of_b = labels.select(F.col("node").alias("b"), F.col("label").alias("near"))
-        near = both.join(of_b, "b").groupBy("a").agg(F.min("near").alias("near"))
-        own = labels.select(F.col("node").alias("a"), "label")
-        spread = space.keep(own.join(near, "a").select("a", "label", F.least("near", "label").alias("lower")))
-        jump = labels.select(F.col("node").alias("lower"), F.col("label").alias("next"))
-        lowest = F.least("lower", "next")
-        new = space.keep(spread.join(jump, "lower").select(F.col("a").alias("node"), lowest.alias("label"), (lowest < F.col("label")).alias("moved")))
-        space.drop(labels, spread)
-        labels = new
-        if new.where("moved").isEmpty():
-            space.drop(both)
-            return labels
+    """(node, label) of every node of the edges (a, b): the smallest node reachable. In each round nodes join their smallest
+    neighbour, or none if they are smaller, and edges are drawn anew between those that are left. Nodes are digests, in random order, so
+    every round leaves a fraction of them, and all rounds together cost little more than the first. Each round's
+    tables are written; the driver sees only whether edges are left."""
+    edges = space.keep(edges.select("a", "b").where("a != b").distinct())
+    rounds: list[DataFrame] = []
+    while not rounds or not edges.isEmpty():
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e"))
+        joined = space.keep(ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.near").alias("near")).select("node", F.least("node", "near").alias("label")))
+        rounds.append(joined)
+        left = edges
+        for end in ("a", "b"):
+            left = left.join(joined.select(F.col("node").alias(end), F.col("label").alias(f"{end}_label")), end)
+        left = left.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).where("a != b")
+        left = space.keep(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        space.drop(edges)
+        edges = left
+    labels = rounds[-1]
+    for earlier in reversed(rounds[:-1]):
+        upper = labels.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+        labels = space.keep(earlier.join(upper, "label", "left").select("node", F.coalesce("upper", "label").alias("label")))
+    return labels
 
 
 def keyed_rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -290,15 +294,17 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     wide = signed.where("first").join(among, "node", "left_semi").select("node", "n_shingles", F.explode("wide").alias("w"))
     wide = space.keep(wide.select("node", "n_shingles", "w.band", "w.bits").dropDuplicates(["node", "band"]))
     star = members.where(F.col("node") != F.col("pivot")).select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
-    near = space.keep(_filtered(star, sketches, num, den))
-    near = space.keep(_widely_filtered(near, wide, num, den).select("a", "b").distinct())
+    near = _widely_filtered(_filtered(star, sketches, num, den), wide, num, den)
+    near = space.keep(near.select("a", "b").distinct())
     linked = space.keep(_checked(near, rows, sketches, n_words, num, den, space))
     labels = components(linked, space).select("node", "label")
 
     side = space.keep(members.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label")))
     space.drop(members, linked)
-    few, many = across(side, BUCKET_PAIRS)
-    labels = bridged(few, many, labels, near, sketches, wide, rows, n_words, num, den, space)
+    opened = space.keep(across(side))
+    space.drop(side)
+    few, many = opened.where(F.col("pairs") <= BUCKET_PAIRS), opened.where(F.col("pairs") > BUCKET_PAIRS)
+    labels = bridged(few, None if many.isEmpty() else many, labels, near, sketches, wide, rows, n_words, num, den, space)
 
     placed = signed.select("id", "hash", "n_shingles", "node").join(labels, "node", "left")
     placed = space.keep(placed.select("id", "hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")))
@@ -306,14 +312,13 @@ def labelled_rows(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10
     return placed
 
 
-def across(side: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (key, node, label), the keys that hold several labels: those in which all nodes times those outside the most
-    frequent label are at most `most`, and the others. side's columns, and stray."""
+def across(side: DataFrame) -> DataFrame:
+    """The rows of the keys that hold several labels, of rows (key, node, label, ...): with stray, whether the node is outside the key's
+    most frequent label, and pairs, all nodes of the key times those."""
     per = side.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key").agg(F.max(F.struct("n", "label")).alias("main"), F.sum("n").alias("n"))
     per = per.where(F.col("n") > F.col("main.n")).select("key", F.col("main.label").alias("main"), (F.col("n") * (F.col("n") - F.col("main.n"))).alias("pairs"))
-    rows = side.join(per, "key").select(*side.columns, (F.col("label") != F.col("main")).alias("stray"), "pairs")
-    return rows.where(F.col("pairs") <= most).drop("pairs"), rows.where(F.col("pairs") > most).drop("pairs")
+    return side.join(per, "key").select(*side.columns, (F.col("label") != F.col("main")).alias("stray"), "pairs")
 
 
 def stray_pairs(open_rows: DataFrame) -> DataFrame:
@@ -331,34 +336,32 @@ def stray_pairs(open_rows: DataFrame) -> DataFrame:
     return both.select("key", either("x", "y").alias("a"), either("y", "x").alias("b"), either("x_label", "y_label").alias("a_label"), either("y_label", "x_label").alias("b_label"))
 
 
-def bridged(few: DataFrame, many: DataFrame, labels: DataFrame, near: DataFrame, sketches: DataFrame, wide: DataFrame, rows: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
+def bridged(few: DataFrame, many: DataFrame | None, labels: DataFrame, near: DataFrame, sketches: DataFrame, wide: DataFrame | None, rows: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
     """The labels (node, label) with those merged that links connect between nodes of one key. few and many are rows as of `across`:
     pairs of few's keys are made, many's nodes meet by rare shingles. Pairs in near were compared before."""
-    few, many = space.keep(few), space.keep(many.select("node", "label").distinct())
-    pairs = stray_pairs(few).drop("key").distinct()
-    rare = stray_pairs_of_rare(many, rows, sketches, n_words, num, den, space)
-    if rare is not None:
-        pairs = pairs.unionByName(rare).distinct()
-    rest = pairs.join(near, ["a", "b"], "left_anti")
-    rest = space.keep(_filtered(rest, sketches, num, den, "a_label", "b_label"))
-    rest = space.keep(_widely_filtered(rest, wide, num, den).drop("band"))
+    pairs = stray_pairs(few).drop("key")
+    if many is not None:
+        pairs = pairs.unionByName(stray_pairs_of_rare(many, rows, sketches, n_words, num, den, space))
+    rest = _filtered(pairs.distinct().join(near, ["a", "b"], "left_anti"), sketches, num, den, "a_label", "b_label")
+    rest = space.keep((rest if wide is None else _widely_filtered(rest, wide, num, den)).drop("band"))
+    if rest.isEmpty():
+        return labels
     more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
     bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    if bridges.isEmpty():
+        return labels
     over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
     labels = labels.unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
     return labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
 
 
-def stray_pairs_of_rare(many: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame | None:
-    """Pairs of nodes (node, label) of crowded buckets, in different components, that share one of their rarest shingles. None without such nodes."""
-    if many.isEmpty():
-        return None
-    wanted = space.keep(sketches.select("node", "hash").join(many, "node"))
-    texts = maybe_in(rows.select("hash", "text"), "hash", wanted, "hash").mapInArrow(_first_texts, f"hash {NODE}, text string")
-    texts = space.keep(texts.join(wanted.select("hash", "node"), "hash").dropDuplicates(["hash"]).select("node", "text"))
-    keys = space.keep(rare_keys(texts, n_words, num, den))
-    open_rows, _ = across(keys.join(many, "node"), (1 << 63) - 1)
-    return stray_pairs(space.keep(open_rows)).drop("key").distinct()
+def stray_pairs_of_rare(many: DataFrame, rows: DataFrame, sketches: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
+    """Pairs of nodes (node, label) of crowded buckets, in different components, that share one of their rarest shingles."""
+    many = space.keep(many.select("node", "label").distinct().join(sketches.select("node", "hash"), "node"))
+    texts = maybe_in(rows.select("hash", "text"), "hash", many, "hash").mapInArrow(_first_texts, f"hash {NODE}, text string")
+    texts = space.keep(texts.join(many.select("hash", "node"), "hash").dropDuplicates(["hash"]).select("node", "text"))
+    keys = rare_keys(texts, n_words, num, den).join(many.select("node", "label"), "node")
+    return stray_pairs(space.keep(across(space.keep(keys)))).drop("key")
 
 
 def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

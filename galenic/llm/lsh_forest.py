@@ -1,13 +1,13 @@
 """MinHash near-dedup by an LSH forest.
 
-A set of word shingles has TREES signatures of DEPTH minima each. In each tree the sets are sorted by signature, which is
-dealt out by ranges, so a hot signature is split; neighbours in that order are those of the longest common prefix, however deep it is there. Neighbours that share
-BASE minima or more are compared first, and linked ones become components; so a group of copies costs one comparison a set and tree.
+A set of word shingles has TREES signatures of DEPTH minima each. In a tree the sets are sorted by signature, dealt out by
+ranges, so that a hot signature is split; a set's neighbour there is the one of its longest common prefix, however deep that is. Neighbours that share
+BASE minima or more are compared first, and each with the first of its run; linked ones become components, so a group of copies costs a few comparisons a set.
 
 What neighbours leave open stands in regions, the sets of a tree that share a prefix. A region of few pairs across components
-is compared at the base depth, a larger one at the next depth where it falls into smaller ones, and what even those leave
+is compared at the base depth, a larger one where it falls into small ones at full depth, and what even those leave
 open is found by rare shingles (`rare_shingles`), which is exact. So a region's size bounds no result. Two sets of similarity s share
-the base prefix of no tree with odds of (1 - s ** BASE) ** TREES, for s = 0.85 8e-7, for 0.9 3e-10. Every link is confirmed on the full sets.
+the base prefix in no tree with odds of (1 - s ** BASE) ** TREES: for s = 0.85 3e-7, for 0.9 3e-11. Every link is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Workspace, maybe_in, small_batches
-from .jaccard_join import BUCKET_PAIRS, NODE, OF_NODE, SKETCH, WIDE, Bands, _checked, _filtered, _Firsts, _signed, _widely_filtered, across, bridged, components, keyed_rows, wide_sketches
+from .jaccard_join import BUCKET_PAIRS, NODE, OF_NODE, SKETCH, Bands, _checked, _Firsts, _signed, across, bridged, components, keyed_rows
 from .shingles import Shingles, U, decimals, shingled
 
-TREES, DEPTH = 24, 8
-#: Minima that candidates share at least, and those that they share in regions that are too large at that depth.
-BASE, DEEPER = 5, (6, 8)
+TREES, DEPTH = 32, 8
+#: Minima that candidates share at least.
+BASE = 6
+#: Trees whose neighbours are compared first, each set with one in each tree. Groups of near copies become components here.
+NEIGHBOURS = 2
 #: Bytes of one minimum in a signature.
 WIDTH = 2
 #: Shingles whose minima are taken together, so that they stay in the processor's cache.
@@ -52,7 +54,7 @@ def signatures(s: Shingles) -> np.ndarray:
     return out
 
 
-SIGNED = f"id long, hash {NODE}, n_shingles long, band int, node {NODE}, first boolean, minima binary, " + ", ".join(f"{s} long" for s in SKETCH) + ", wide array<struct<band: int, bits: array<long>>>"
+SIGNED = f"id long, hash {NODE}, n_shingles long, band int, node {NODE}, first boolean, minima binary, " + ", ".join(f"{s} long" for s in SKETCH)
 
 
 def _signer(n_words: int, bands: Bands):
@@ -73,26 +75,30 @@ def _signer(n_words: int, bands: Bands):
                 {"id": batch.column("id"), "hash": batch.column("hash"), "n_shingles": pa.array(size), "band": pa.array(bands.own(size)), "node": decimals(nodes), "first": pa.array(first)}
                 | {"minima": pa.array([minima[p].tobytes() if f else None for f, p in zip(first, place, strict=True)], pa.binary())}
                 | {name: pa.array(block[:, i].copy()) for i, name in enumerate(SKETCH)}
-                | {"wide": pa.array([wide_sketches(s.of(k), bands) if f else [] for k, f in enumerate(first)], WIDE)}
             )
 
     return sign
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, signature, node) in order: (a, b) of each row and the one before it in the same tree, if they share BASE minima."""
-    last = None
+    """Rows (tree, signature, node) in order: (a, b) of each row with the one before it and with the first of its run, the rows that
+    share BASE minima in a tree. First ones keep the distances in a group of copies short."""
+    carried = None  # the first row of the run that is under way, and the last row
     for batch in batches:
         if not batch.num_rows:
             continue
         one = pa.Table.from_batches([batch])
-        both = (one if last is None else pa.concat_tables([last, one])).combine_chunks()
-        last = one.slice(one.num_rows - 1)
+        both = (pa.concat_tables([one.slice(0, 1), one] if carried is None else [*carried, one])).combine_chunks()
         signature = np.frombuffer(b"".join(both["signature"].to_pylist()), np.uint8).reshape(both.num_rows, DEPTH * WIDTH)[:, : BASE * WIDTH]
         tree = both["tree"].to_numpy()
-        near = np.flatnonzero((tree[1:] == tree[:-1]) & (signature[1:] == signature[:-1]).all(1))
+        near = np.append(False, (tree[1:] == tree[:-1]) & (signature[1:] == signature[:-1]).all(1))
+        place = np.arange(both.num_rows)
+        head = np.maximum.accumulate(np.where(near, 0, place))
+        at = place[near]
+        a, b = np.append(at, at), np.append(at - 1, head[at])
         node = both["node"].combine_chunks()
-        yield pa.record_batch({"a": node.take(pa.array(near + 1)), "b": node.take(pa.array(near))})
+        yield pa.record_batch({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+        carried = [both.slice(int(head[-1]), 1), both.slice(both.num_rows - 1)]
 
 
 def _region(depth: int) -> Column:
@@ -100,6 +106,13 @@ def _region(depth: int) -> Column:
     return F.xxhash64(F.col("tree"), F.substring("signature", 1, depth * WIDTH))
 
 
+def _in_trees(nodes: DataFrame, trees: int) -> DataFrame:
+    """A row (tree, signature) of each node for each of the first trees."""
+    step = DEPTH * WIDTH
+    each = nodes.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return each.withColumn("signature", F.substring("minima", F.col("tree") * step + 1, F.lit(step))).drop("minima")
+
+
 def labelled_rows(docs: DataFrame, n_words: int, num: int, den: int, id_column: str, text_column: str) -> DataFrame:
     """One row per input row: id, n_shingles and label, which rows have in common if and only if links connect them; null for a text without words."""
     spark = docs.sparkSession
@@ -107,38 +120,32 @@ def labelled_rows(docs: DataFrame, n_words: int, num: int, den: int, id_column:
     space = Workspace(spark, "forest")
     rows = keyed_rows(docs, id_column, text_column)
     signed = space.keep(rows.mapInArrow(_signer(n_words, Bands(num, den)), SIGNED))
-
-    each = signed.where("first").dropDuplicates(["node"]).select("node", "minima", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    each = each.select("node", "tree", F.substring("minima", F.col("tree") * DEPTH * WIDTH + 1, F.lit(DEPTH * WIDTH)).alias("signature"))
-    each = space.keep(each.withColumn("key", _region(BASE)))
-    shared = space.keep(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    members = space.keep(maybe_in(each, "key", shared, "key").join(shared, "key", "left_semi"))
-    space.drop(each, shared)
-
-    among = space.keep(members.select("node").distinct())
-    sketches = space.keep(signed.where("first").join(among, "node", "left_semi").groupBy("node").agg(*[F.min(c).alias(c) for c in OF_NODE]))
-    wide = signed.where("first").join(among, "node", "left_semi").select("node", "n_shingles", F.explode("wide").alias("w"))
-    wide = space.keep(wide.select("node", "n_shingles", "w.band", "w.bits").dropDuplicates(["node", "band"]))
-
-    in_order = members.select("tree", "signature", "node").repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
-    pairs = in_order.mapInArrow(_neighbours, f"a {NODE}, b {NODE}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    near = space.keep(_filtered(pairs, sketches, num, den))
-    near = space.keep(_widely_filtered(near, wide, num, den).select("a", "b").distinct())
-    linked = space.keep(_checked(near, rows, sketches, n_words, num, den, space))
-    labels = components(linked, space).select("node", "label")
-
-    side = space.keep(members.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"), "tree", "signature"))
-    space.drop(members, linked)
-    few, many = across(side, BUCKET_PAIRS)
-    few, many = space.keep(few), space.keep(many)
-    crowded = space.keep(many.select("key", "node", "label").distinct())
-    for depth in DEEPER:  # regions that are too large fall into smaller ones
-        deep = side.join(many.select("key").distinct(), "key", "left_semi").withColumn("key", _region(depth))
-        smaller, many = across(deep, BUCKET_PAIRS)
-        few = few.unionByName(smaller)
-    labels = bridged(few, crowded, labels, near, sketches, wide, rows, n_words, num, den, space)
-
-    placed = signed.select("id", "n_shingles", "node").join(labels, "node", "left")
+    nodes = space.keep(signed.where("first").dropDuplicates(["node"]).select("node", *OF_NODE, "minima"))
+    placed = space.keep(signed.select("id", "n_shingles", "node"))
+    space.drop(signed)
+    sketches = nodes.drop("minima")
+
+    in_order = _in_trees(nodes.select("node", "minima"), NEIGHBOURS).repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
+    pairs = in_order.mapInArrow(_neighbours, f"a {NODE}, b {NODE}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+    near = space.keep(pairs)
+    labels = components(space.keep(_checked(near, rows, sketches, n_words, num, den, space)), space).select("node", "label")
+
+    labelled = nodes.select("node", "minima").join(labels, "node", "left").select("node", "minima", F.coalesce("label", "node").alias("label"))
+    each = _in_trees(space.keep(labelled), TREES).withColumn("key", _region(BASE))
+    # regions of several components, told apart by few bits
+    mark = F.hash("label").alias("mark")
+    opened = each.select("key", mark).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
+    opened = space.keep(opened.where(F.col("lo") != F.col("hi")).select("key"))
+    side = space.keep(maybe_in(each, "key", opened, "key").join(opened, "key"))
+    regions = space.keep(across(side))
+    few, many = regions.where(F.col("pairs") <= BUCKET_PAIRS), regions.where(F.col("pairs") > BUCKET_PAIRS)
+    few, crowded = few.select("key", "node", "label", "stray"), None if many.isEmpty() else many
+    if crowded is not None:  # regions that are too large fall into smaller ones
+        deep = space.keep(across(many.drop("stray", "pairs").withColumn("key", _region(DEPTH))))
+        few = few.unionByName(deep.where(F.col("pairs") <= BUCKET_PAIRS).select("key", "node", "label", "stray"))
+    labels = bridged(few, crowded, labels, near, sketches, None, rows, n_words, num, den, space)
+
+    placed = placed.join(labels, "node", "left")
     placed = space.keep(placed.select("id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("label", "node")).alias("label")))
     space.drop_all_but(placed)
     return placed

@@ -14,6 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -24,6 +25,7 @@ from .shingles import STEPS, U, mix, span_hashes
 NO_LANGUAGE = "und"
 LONGEST = 5
 FILTER_BITS = 26
+SLICE_BYTES = 1 << 20
 #: Bits of the first and second word's id in a key.
 FIRST, SECOND = 16, 12
 PIECE_END = np.isin(np.arange(256), [*b".,;:!?", *range(0x0A, 0x0E)])
@@ -43,6 +45,16 @@ class Words(NamedTuple):
     hashes: np.ndarray
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of SLICE_BYTES of text, or one longer text: numpy's intermediates are several times as large as the texts."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def words_of(texts: pa.Array, langs: list[str]) -> Words:
     _, offsets, data = texts.buffers()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
@@ -94,7 +106,7 @@ def _counter(k: int, shorter: np.ndarray | None):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = HatTrie()
         run = lambda keys, counts: pa.record_batch({"key": pa.array(keys.view(np.int64)), "n": pa.array(counts)})
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             w = words_of(batch.column("text"), batch.column("lang").to_pylist())
             keys, use = keys_of(w, k)
             if shorter is not None:
@@ -145,7 +157,7 @@ def _exact_counter(bits: list[np.ndarray]):
     """(lang, k, phrase, n) of the phrases of each batch that have passed, as strings; with k of 0 the number of words."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             langs = batch.column("lang")
             w = words_of(batch.column("text"), langs.to_pylist())
             words, passed = plain(w), None
