@@ -2,8 +2,8 @@
 
 Where tokens of both end, a text is cut into groups; all pairs of a group's tokens are links. One state vector holds both
 pointers of all texts under way; a step moves, in each, the pointer whose token ends first, or both where they end together, and
-finished texts drop out. A text is dealt to the lanes in segments: before a blank that no white space precedes neither tokenizer has a
-token across, so both end there. Repeated segments are aligned once.
+finished texts drop out. A text is dealt to the lanes in segments, cut where neither tokenizer can have a token across
+(`segments`), so both end there. Repeated segments are aligned once.
 
 Counting links over all documents is Spark's work: a block of documents sends each of its pairs once with its number of
 documents, sums come back to the block, and so no more than a block's own pairs ever meets in one place.
@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
+from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
 
@@ -22,10 +24,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import ChunkMemo, Cut, ids_of, tokenizer_from
+from .chunks import Cut, groups_of, ids_of, tokenizer_from
 from .common import Workspace, small_batches, text_of
 
 MEMO_SEGMENTS = 200_000
+LETTERS = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
+MARKS = np.isin(np.arange(256), [*b".,;:!?"])
 #: Links of a group from which its distinct tokens are paired instead of all.
 LARGE_GROUP = 4096
 
@@ -61,21 +65,23 @@ def b_bytes(processor) -> list[bytes]:
 
 
 def load(a_path: str, b_path: str) -> Tokenizers:
-    """The second model without the blank that it puts before a text: texts come with it. Its pieces may hold a blank at their
-    beginning only, else tokens could lie across segments."""
+    """The second model without the blank that it puts before a text: texts come with it. No piece may hold a
+    blank after other characters, a mark after a letter or a letter after a line end, else tokens could lie across segments."""
     from sentencepiece import sentencepiece_model_pb2
 
     proto = sentencepiece_model_pb2.ModelProto()
     proto.ParseFromString(Path(b_path).read_bytes())
     proto.normalizer_spec.add_dummy_prefix = False
-    if any("▁" in p.piece.lstrip("▁") for p in proto.pieces):
-        raise ValueError("a piece has a blank after other characters")
+    normal = [p.piece for p in proto.pieces if p.type == proto.SentencePiece.NORMAL]
+    if any("▁" in p.lstrip("▁") or re.search(r"[A-Za-z][.,;:!?]|\n[A-Za-z]", p) for p in normal):
+        raise ValueError("a piece lies across a place where texts are cut")
     return Tokenizers(Path(a_path).read_text(encoding="utf-8"), proto.SerializeToString())
 
 
 def segments(texts: pa.Array) -> Cut:
-    """Texts cut before each blank after a character that is surely no white space: ASCII signs and letters, and characters of two
-    bytes from C3 on, three from E4 to EE, or four."""
+    """Texts cut before each blank after a character that is surely no white space (ASCII signs and letters, and characters of two
+    bytes from C3 on, three from E4 to EE, or four), between an ASCII letter and a mark, and between a single line end after an ASCII
+    sign or letter and an ASCII letter."""
     _, offsets, data = texts.buffers()
     wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
     at = np.frombuffer(offsets, wide)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
@@ -87,6 +93,9 @@ def segments(texts: pa.Array) -> Cut:
     four = ((back[1] & 0xC0) == 0x80) & ((back[2] & 0xC0) == 0x80) & (back[3] >= 0xF0)
     solid = ((back[0] > 0x20) & (back[0] < 0x7F)) | (within & (two | three | four))
     first = (raw == 0x20) & solid
+    letter = LETTERS[raw]
+    first[1:] |= MARKS[raw[1:]] & letter[:-1]
+    first |= letter & (back[0] == 0x0A) & (back[1] > 0x20) & (back[1] < 0x7F)
     first[at[:-1][at[:-1] < len(raw)]] = True
     begins = np.flatnonzero(first)
     ends = np.append(begins[1:], len(raw)).astype(np.int64)
@@ -118,18 +127,32 @@ def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
 
 
-class Segment(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    groups: str
-    pairs: bytes  # distinct pairs as A's id times B's vocabulary plus B's id, eight bytes each
-    times: bytes
+class Aligned(NamedTuple):
+    """Columns of aligned segments, of which one whose bytes either tokenizer doesn't keep isn't `kept`. Pairs are distinct in a segment, A's id
+    times B's vocabulary plus B's id, with how often each is linked; segment k's are those from starts[k] up to but without starts[k + 1]."""
+
+    kept: np.ndarray
+    counts: np.ndarray  # rows of n_a, n_b, n_groups, n_links
+    groups: list[str]
+    pairs: np.ndarray
+    times: np.ndarray
+    starts: np.ndarray
+
+    def __add__(self, other: Aligned) -> Aligned:  # type: ignore[override]
+        both = [np.concatenate([x, y]) for x, y in ((self.kept, other.kept), (self.counts, other.counts), (self.pairs, other.pairs), (self.times, other.times))]
+        return Aligned(both[0], both[1], [*self.groups, *other.groups], both[2], both[3], np.append(self.starts, other.starts[1:] + self.starts[-1]))
+
+
+NOTHING = Aligned(np.empty(0, bool), np.empty((0, 4), np.int64), [], np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64))
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The sum of each part of values."""
+    return np.diff(np.append(0, np.cumsum(values))[starts])
 
 
 class Aligner:
-    """Aligned segments; None for one whose bytes either tokenizer doesn't keep."""
+    """Both tokenizers at work on segments."""
 
     def __init__(self, tokenizers: Tokenizers):
         tokenizer = tokenizer_from(tokenizers.a_json)
@@ -138,23 +161,47 @@ class Aligner:
         self.a_bytes, self.b_bytes = tokenizers.a_bytes(), b_bytes(self.b)
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
 
-    def __call__(self, texts: list[str]) -> list[Segment | None]:
-        a, b = self.a_ids(texts), self.b.encode(texts, num_threads=1)
-        for k, (text, x, y) in enumerate(zip(texts, a, b, strict=True)):
-            raw = text.encode()
-            if b"".join([self.a_bytes[t] for t in x]) != raw or b"".join([self.b_bytes[t] for t in y]) != raw:
-                a[k] = b[k] = None
-        kept = [k for k, x in enumerate(a) if x is not None]
-        a, b = [a[k] for k in kept], [b[k] for k in kept]
-        a_starts, b_starts = (np.concatenate([np.zeros(1, np.int64), np.cumsum(np.array(list(map(len, x)), np.int64))]) for x in (a, b))
-        a_all, b_all = (np.array([t for x in y for t in x], np.int64) for y in (a, b))
+    def _keeps(self, texts: list[bytes], ids: list[list[int]], flat: list[int], starts: np.ndarray, bytes_of: list[bytes], size: np.ndarray) -> np.ndarray:
+        """Which texts their tokens' bytes are."""
+        same = _sums(size[np.array(flat, np.int64)], starts) == np.fromiter(map(len, texts), np.int64, len(texts))
+        if same.all() and b"".join(map(bytes_of.__getitem__, flat)) == b"".join(texts):
+            return same
+        return np.array([b"".join([bytes_of[t] for t in x]) == y for x, y in zip(ids, texts, strict=True)], bool)
+
+    def __call__(self, texts: list[str]) -> Aligned:
+        raw = [t.encode() for t in texts]
+        ids = [self.a_ids(texts), self.b.encode(texts, num_threads=1)]
+        tables = ((self.a_bytes, self.a_size), (self.b_bytes, self.b_size))
+        starts = [np.append(0, np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))) for x in ids]
+        flat = [list(chain.from_iterable(x)) for x in ids]
+        kept = np.ones(len(texts), bool)
+        for x, f, at, (bytes_of, size) in zip(ids, flat, starts, tables, strict=True):
+            kept &= self._keeps(raw, x, f, at, bytes_of, size)
+        if not kept.all():
+            ids = [[x if k else [] for x, k in zip(y, kept.tolist(), strict=True)] for y in ids]
+            starts = [np.append(0, np.cumsum(np.fromiter(map(len, x), np.int64, len(x)))) for x in ids]
+            flat = [list(chain.from_iterable(x)) for x in ids]
+        (a_all, b_all), (a_starts, b_starts) = (np.array(x, np.int64) for x in flat), starts
         ends = []
-        for size, all_, starts in ((self.a_size, a_all, a_starts), (self.b_size, b_all, b_starts)):
-            total = np.concatenate([np.zeros(1, np.int64), np.cumsum(size[all_])])
-            ends.append(total[1:] - np.repeat(total[starts[:-1]], np.diff(starts)))
+        for (_, size), all_, at in zip(tables, (a_all, b_all), starts, strict=True):
+            total = np.append(0, np.cumsum(size[all_]))
+            ends.append(total[1:] - np.repeat(total[at[:-1]], np.diff(at)))
         lane, a0, a1, b0, b1 = lockstep(ends[0], a_starts, ends[1], b_starts)
-        order = np.lexsort((a0, lane))
+        order = np.argsort(a0)  # A's tokens stand in the order of lanes
         lane, a0, a1, b0, b1 = (x[order] for x in (lane, a0, a1, b0, b1))
+        pair, times, of = self._links(a_all, b_all, lane, a0, a1, b0, b1)
+        groups = [f"{x}|{y}" for x, y in zip(a_all[a0].tolist(), b_all[b0].tolist(), strict=True)]
+        p, q = a1 - a0, b1 - b0
+        for g in np.flatnonzero((p > 1) | (q > 1)).tolist():
+            groups[g] = f"{','.join(map(str, flat[0][a0[g] : a1[g]]))}|{','.join(map(str, flat[1][b0[g] : b1[g]]))}"
+        edges = np.searchsorted(lane, np.arange(len(texts) + 1))
+        n_links = _sums(p * q, edges)
+        counts = np.stack([np.diff(a_starts), np.diff(b_starts), np.diff(edges), n_links], 1)
+        said, at = ";".join(groups), np.append(0, np.cumsum(np.fromiter(map(len, groups), np.int64, len(groups)) + 1))[edges].tolist()
+        return Aligned(kept, counts, [said[x : y - 1] if y > x else "" for x, y in zip(at[:-1], at[1:], strict=True)], pair, times, np.searchsorted(of, np.arange(len(texts) + 1)))
+
+    def _links(self, a_all: np.ndarray, b_all: np.ndarray, lane: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs of each lane with their times and lanes, in the order of lanes."""
         p, q = a1 - a0, b1 - b0
         small = p * q < LARGE_GROUP
         links_a = np.repeat(_spread(a0[small], p[small]), np.repeat(q[small], p[small]))
@@ -169,18 +216,31 @@ class Aligner:
         by = np.lexsort((pair, of))
         pair, of, times = pair[by], of[by], times[by]
         new = np.flatnonzero(np.append(True, (pair[1:] != pair[:-1]) | (of[1:] != of[:-1]))) if len(pair) else np.empty(0, np.int64)
-        times = np.add.reduceat(times, new) if len(new) else times
-        pair, at = pair[new], np.searchsorted(of[new], np.arange(len(kept) + 1))
-        group_at = np.searchsorted(lane, np.arange(len(kept) + 1))
-        n_links = np.concatenate([np.zeros(1, np.int64), np.cumsum(p * q)])[group_at]
-        out: list[Segment | None] = [None] * len(texts)
-        a_text, b_text = list(map(str, a_all.tolist())), list(map(str, b_all.tolist()))
-        each = list(zip(a0.tolist(), a1.tolist(), b0.tolist(), b1.tolist(), strict=True))
-        for n, k in enumerate(kept):
-            g, h, s, e = group_at[n], group_at[n + 1], at[n], at[n + 1]
-            groups = ";".join([f"{','.join(a_text[w:x])}|{','.join(b_text[y:z])}" for w, x, y, z in each[g:h]])
-            out[k] = Segment(len(a[n]), len(b[n]), int(h - g), int(n_links[n + 1] - n_links[n]), groups, pair[s:e].tobytes(), times[s:e].tobytes())
-        return out
+        return pair[new], np.add.reduceat(times, new) if len(new) else times, of[new]
+
+
+class SegmentMemo:
+    """Segments that were aligned before, up to a number of them and of their pairs; a full memory starts anew."""
+
+    def __init__(self, aligner: Aligner, limit: int = MEMO_SEGMENTS):
+        self.aligner, self.limit = aligner, limit
+        self.places: dict[str, int] = {}
+        self.known = NOTHING
+
+    def coded(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For groups of texts in turn the places, in `known`, of their segments, and where each text's begin."""
+        for group in groups_of(texts):
+            cut = segments(group)
+            chunks = cut.chunks.to_pylist()
+            place = np.fromiter((self.places.get(c, -1) for c in chunks), np.int64, len(chunks))
+            new = [chunks[k] for k in np.flatnonzero(place < 0).tolist()]
+            if new and len(self.places) and (len(self.places) + len(new) > self.limit or len(self.known.pairs) > 4 * self.limit):
+                self.places, self.known, place, new = {}, NOTHING, np.full(len(chunks), -1), chunks
+            if new:
+                place[place < 0] = len(self.places) + np.arange(len(new))
+                self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+                self.known += self.aligner(new)
+            yield place[cut.codes], cut.starts
 
 
 def _compact(x: np.ndarray) -> bytes:
@@ -195,58 +255,47 @@ def _spelt(x: bytes) -> np.ndarray:
 
 DOC = "block long, id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, places binary, times binary"
 PAIRS = "block_pairs array<long>, block_docs array<int>"
-_NO_TOKENS = (0, 0, 0, 0, "", b"", b"")
 
 
-def _aligned_groups(aligner: ChunkMemo, ids: pa.Array, texts: pa.Array, block: int) -> Iterator[pa.RecordBatch]:
+def _aligned_groups(memo: SegmentMemo, ids: pa.Array, texts: pa.Array, block: int) -> Iterator[pa.RecordBatch]:
     """For each group of texts its documents' rows, with their links as places among the block's pairs, and a row with those pairs."""
     at = 0
-    for results, codes, starts in aligner.coded(texts):
-        n = len(starts) - 1
-        bad = np.array([r is None for r in results], bool)[codes] if len(codes) else np.empty(0, bool)
-        fine = [not bad[a:b].any() and b > a for a, b in zip(starts[:-1], starts[1:], strict=True)]
+    for codes, starts in memo.coded(texts):
+        n, known = len(starts) - 1, memo.known
+        fine = (_sums(known.kept[codes], starts) == np.diff(starts)) & (np.diff(starts) > 0)
         of = np.repeat(np.arange(n), np.diff(starts))
-        use = np.array(fine, bool)[of]
-        counts = np.array([(0, 0, 0, 0) if r is None else r[:4] for r in results], np.int64).reshape(-1, 4)
-        totals = np.zeros((n, 4), np.int64)
-        np.add.at(totals, of[use], counts[codes[use]])
-        size = np.array([0 if r is None else len(r.pairs) // 8 for r in results], np.int64)
-        begin = np.cumsum(size) - size
-        pairs, times = (np.frombuffer(b"".join([b"" if r is None else r[k] for r in results]), np.int64) for k in (5, 6))
-        take = _spread(begin[codes[use]], size[codes[use]])
-        pair, doc, time = pairs[take], np.repeat(of[use], size[codes[use]]), times[take]
+        use = fine[of]
+        totals = np.stack([_sums(known.counts[codes, k] * use, starts) for k in range(4)], 1)
+        begin, size = known.starts[codes[use]], np.diff(known.starts)[codes[use]]
+        take = _spread(begin, size)
+        pair, doc, time = known.pairs[take], np.repeat(of[use], size), known.times[take]
         own, place = np.unique(pair, return_inverse=True)
         both = doc * max(1, len(own)) + place
-        by = np.argsort(both, kind="stable")
+        by = np.argsort(both)
         both = both[by]
         new = np.flatnonzero(np.append(True, both[1:] != both[:-1])) if len(both) else np.empty(0, np.int64)
         sums = np.add.reduceat(time[by], new) if len(new) else time
         doc, place = doc[by][new], place[by][new]
         edges = np.searchsorted(doc, np.arange(n + 1))
-        rows = []
-        strings = [None if r is None else r.groups for r in results]
-        for k in range(n):
-            if not fine[k]:
-                rows.append(_NO_TOKENS)
-                continue
+        shas, places, times = [""] * n, [b""] * n, [b""] * n
+        for k in np.flatnonzero(fine).tolist():
             x, y = edges[k], edges[k + 1]
-            sha = hashlib.sha256(";".join([strings[c] for c in codes[starts[k] : starts[k + 1]].tolist()]).encode()).hexdigest()
-            rows.append((*totals[k].tolist(), sha, _compact(np.diff(place[x:y], prepend=0)), _compact(sums[x:y])))
-        rows = list(zip(*rows, strict=True)) if rows else [()] * 7
-        names = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256", "places", "times")
-        types = (pa.int64(),) * 4 + (pa.string(), pa.binary(), pa.binary())
+            said = ";".join(map(known.groups.__getitem__, codes[starts[k] : starts[k + 1]].tolist()))
+            shas[k], places[k], times[k] = hashlib.sha256(said.encode()).hexdigest(), _compact(np.diff(place[x:y], prepend=0)), _compact(sums[x:y])
+        columns = {c: pa.array(totals[:, i]) for i, c in enumerate(("n_a", "n_b", "n_groups", "n_links"))}
+        columns |= {"groups_sha256": pa.array(shas, pa.string()), "places": pa.array(places, pa.binary()), "times": pa.array(times, pa.binary())}
         none = {"block_pairs": pa.nulls(n, pa.list_(pa.int64())), "block_docs": pa.nulls(n, pa.list_(pa.int32()))}
-        yield pa.record_batch({"block": pa.array([block] * n, pa.int64()), "id": ids.slice(at, n)} | {c: pa.array(v, t) for c, v, t in zip(names, rows, types, strict=True)} | none)
+        yield pa.record_batch({"block": pa.array([block] * n, pa.int64()), "id": ids.slice(at, n)} | columns | none)
         if len(own):
             lists = {"block_pairs": pa.array([own], pa.list_(pa.int64())), "block_docs": pa.array([np.bincount(place, minlength=len(own)).astype(np.int32)], pa.list_(pa.int32()))}
-            yield pa.record_batch({"block": pa.array([block], pa.int64()), "id": pa.nulls(1, pa.int64())} | {c: pa.nulls(1, t) for c, t in zip(names, types, strict=True)} | lists)
+            yield pa.record_batch({"block": pa.array([block], pa.int64()), "id": pa.nulls(1, pa.int64())} | {c: pa.nulls(1, v.type) for c, v in columns.items()} | lists)
         at += n
         block += 1
 
 
 def _block_writer(tokenizers: Tokenizers):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = ChunkMemo(segments, Aligner(tokenizers), MEMO_SEGMENTS)
+        memo = SegmentMemo(Aligner(tokenizers))
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for out in _aligned_groups(memo, batch.column("id"), batch.column("text"), block):

@@ -41,7 +41,7 @@ WIDE_FROM = 300
 #: Pairs that are compared with one copy of their common text.
 FAN = 1000
 #: Pairs across components in one bucket up to which they are made; it bounds work, not results.
-BUCKET_PAIRS = 4096
+BUCKET_PAIRS = 256
 
 
 class Bands:
@@ -347,10 +347,18 @@ def bridged(few: DataFrame, many: DataFrame | None, labels: DataFrame, near: Dat
     if rest.isEmpty():
         return labels
     more = _checked(rest.select("a", "b"), rows, sketches, n_words, num, den, space).join(rest, ["a", "b"])
-    bridges = space.keep(more.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
-    if bridges.isEmpty():
-        return labels
-    over = components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    over = labels_over(more, space)
+    return labels if over is None else relabelled(labels, over)
+
+
+def labels_over(links: DataFrame, space: Workspace) -> DataFrame | None:
+    """(label, upper) of the labels that links (a_label, b_label) join; None without links."""
+    bridges = space.keep(links.select(F.col("a_label").alias("a"), F.col("b_label").alias("b")).distinct())
+    return None if bridges.isEmpty() else components(bridges, space).select(F.col("node").alias("label"), F.col("label").alias("upper"))
+
+
+def relabelled(labels: DataFrame, over: DataFrame) -> DataFrame:
+    """(node, label) with labels replaced; a label that no node had is a node of itself."""
     labels = labels.unionByName(over.join(labels, "label", "left_anti").select(F.col("label").alias("node"), "label"))
     return labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label"))
 
