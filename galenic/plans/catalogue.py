@@ -1,6 +1,6 @@
 """All registered queries: importing a module of queries registers what it defines."""
 
-from . import boxes, catalog, directory, etl, graph, ingest, labels, matching, records, search  # noqa: F401
+from . import boxes, catalog, directory, etl, graph, ingest, labels, matching, records, search, sync  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
