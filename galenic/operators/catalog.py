@@ -135,3 +135,13 @@ def rank_by_name(products: DataFrame, name: str) -> DataFrame:
 def first_of_key(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*key).orderBy(*order)
     return rows.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") == 1).drop("__rn")
+
+
+def claim_states(claims: DataFrame, facilities: DataFrame, grants: DataFrame, now: str) -> DataFrame:
+    """claim, state, n_admins of each claim (claim, user_id, facility_id, home_id, confirmed) on a facility that exists (id): already_claimed where an active grant makes
+    someone its administrator, wrong_facility for a user at home elsewhere, success for a confirmed claim, confirm for one that isn't yet."""
+    admins = active_grants(grants, now).where(F.col("role") == "facility_admin").groupBy("facility_id").agg(F.count_distinct("user_id").alias("n"))
+    there = claims.join(facilities.select(F.col("id").alias("facility_id")).distinct(), "facility_id").join(admins, "facility_id", "left")
+    elsewhere = F.col("home_id").isNotNull() & (F.col("home_id") != F.col("facility_id"))
+    state = F.when(F.col("n") > 0, "already_claimed").when(elsewhere, "wrong_facility").when(F.coalesce("confirmed", F.lit(False)), "success").otherwise("confirm")
+    return there.select("claim", state.alias("state"), F.coalesce("n", F.lit(0)).cast("long").alias("n_admins"))

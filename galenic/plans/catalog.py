@@ -316,3 +316,19 @@ def mapping_rows_union(spark: SparkSession, d: str) -> DataFrame:
         .unionByName(p.where(F.col("brand") != F.col("generic")).select("product_ndc", F.concat(F.lit("BN:"), "brand").alias("rxcui"), F.lit(1).alias("o")))
     )
     return rows.groupBy("product_ndc", "rxcui").agg(F.min("o").alias("o")).select("product_ndc", "rxcui", F.when(F.col("o") == 0, "table").otherwise("json").alias("origin"))
+
+
+@query(
+    "claim_states",
+    with_views(
+        """, c AS (SELECT event_id AS claim, user_id, event_id % 170 + 990 AS facility_id, CASE WHEN user_id % 4 = 0 THEN user_id % 170 + 990 WHEN user_id % 4 = 1 THEN event_id % 170 + 990 END AS home_id, event_id % 2 = 0 AS confirmed FROM events),
+        a AS (SELECT facility_id, count(DISTINCT user_id) AS n FROM v_grants WHERE role = 'facility_admin' AND revoked_at IS NULL AND (expires_at IS NULL OR expires_at >= TIMESTAMP '2024-02-01') GROUP BY 1)
+        SELECT c.claim, CASE WHEN a.n > 0 THEN 'already_claimed' WHEN c.home_id <> c.facility_id THEN 'wrong_facility' WHEN c.confirmed THEN 'success' ELSE 'confirm' END AS state, coalesce(a.n, 0) AS n_admins FROM c JOIN v_facilities f ON f.id = c.facility_id LEFT JOIN a ON a.facility_id = c.facility_id""",
+        "v_facilities", "v_grants",
+    ).replace(") , c AS", "), c AS"),
+)
+def claim_states(spark: SparkSession, d: str) -> DataFrame:
+    """Users' claims to administer a facility, by what holds on the day."""
+    i, u = F.col("event_id"), F.col("user_id")
+    claims = V.table(spark, d, "events").select(i.alias("claim"), "user_id", (i % 170 + 990).alias("facility_id"), F.when(u % 4 == 0, u % 170 + 990).when(u % 4 == 1, i % 170 + 990).alias("home_id"), (i % 2 == 0).alias("confirmed"))
+    return C.claim_states(claims, V.facilities(spark, d), V.grants(spark, d), "2024-02-01")
