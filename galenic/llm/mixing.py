@@ -60,14 +60,18 @@ def _closest(edge: pd.DataFrame) -> pd.DataFrame:
         if not len(out):
             break
         had = np.append(np.flatnonzero(taken), -1)  # -1: none is given up
-        gain = size[out][None, :] - np.where(had >= 0, size[had], 0.0)[:, None]
-        a, b = np.unravel_index(np.abs(left - gain).argmin(), gain.shape)
-        if abs(left - gain[a, b]) >= abs(left):
+        given = np.where(had >= 0, size[had], 0.0)
+        out = out[np.argsort(size[out], kind="stable")]
+        place = np.searchsorted(size[out], left + given)
+        near = np.stack([np.maximum(place - 1, 0), np.minimum(place, len(out) - 1)])  # for each the next smaller and the next larger one
+        gain = size[out][near] - given
+        which, b = np.unravel_index(np.abs(left - gain).argmin(), gain.shape)
+        if abs(left - gain[which, b]) >= abs(left):
             break
-        left -= gain[a, b]
-        taken[out[b]] = True
-        if had[a] >= 0:
-            taken[had[a]] = False
+        left -= gain[which, b]
+        taken[out[near[which, b]]] = True
+        if had[b] >= 0:
+            taken[had[b]] = False
     edge["more"] = taken.astype(int)
     return edge[["source", "draw", "more"]]
 

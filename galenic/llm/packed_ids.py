@@ -298,7 +298,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
     small_batches(docs.sparkSession)
     tokenizer_json = Path(tokenizer_path).read_text(encoding="utf-8")
     rows = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    ordered = rows.repartitionByRange("id").sortWithinPartitions("id")
+    order = [F.col("id"), F.xxhash64("text")]  # rows of one id in the order of their texts' hashes, so that a hot id is split
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     return written(ordered.mapInArrow(_writer(folder, tokenizer_json, end_id), MANIFEST), "manifest")
 
 

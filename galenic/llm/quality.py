@@ -122,9 +122,12 @@ def ordered_rules(sample: DataFrame, rules: list[QualityRule]) -> list[tuple[Qua
     return sorted(out, key=lambda x: -x[2] / max(x[1], 1e-6))
 
 
-def sampled(measures: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """At most `rows` rows, spread by the text's hash, from a table of the shared folder."""
-    return written(measures.where(F.pmod(F.xxhash64("text"), F.lit(8)) == 0).limit(rows), "quality-sample")
+def sampled(measures: DataFrame, n: int, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most `rows` rows of n, from a table of the shared folder: of those whose id and text hash below a limit that some twice as many
+    are expected to meet, so that the rows in the one task that gathers them don't grow with n. Copies are drawn apart by their ids."""
+    steps = 1 << 40
+    drawn = F.pmod(F.xxhash64("id", "text"), F.lit(steps)) < F.lit(min(steps, steps * 2 * rows // max(1, n)))
+    return written(measures.where(drawn).limit(rows), "quality-sample")
 
 
 def quality_cascade(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rules: list[QualityRule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -138,7 +141,7 @@ def quality_cascade(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     rules = default_rules() if rules is None else rules
     measures = measured(docs, id_column, text_column)
-    order = [r for r, _, _ in ordered_rules(sampled(measures, sample_rows), rules)]
+    order = [r for r, _, _ in ordered_rules(sampled(measures, docs.count(), sample_rows), rules)]
     verdict = F.when(base_failed(), F.lit(False))
     for rule in order:
         verdict = verdict.when(rule.fails, F.lit(False))

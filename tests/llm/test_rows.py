@@ -121,7 +121,7 @@ def test_quality_keeps_good_documents(spark, sf_dir, documents):
 
 
 def test_order_of_rules_has_no_effect(spark, documents):
-    m = quality.sampled(quality.measured(documents))
+    m = quality.sampled(quality.measured(documents), documents.count())
     order = quality.ordered_rules(m, quality.default_rules())
     rates = [rate / max(s, 1e-6) for _, s, rate in order]
     assert rates == sorted(rates, reverse=True)
