@@ -16,10 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Workspace, maybe_in, small_batches
-from .jaccard_join import BUCKET_PAIRS, NODE, OF_NODE, SKETCH, Bands, _checked, _Firsts, _signed, across, bridged, components, keyed_rows
+from .jaccard_join import BUCKET_PAIRS, NODE, OF_NODE, SKETCH, Bands, _checked, _filtered, _Firsts, _signed, across, bridged, components, keyed_rows, labels_over, relabelled
 from .shingles import Shingles, U, decimals, shingled
 
 TREES, DEPTH = 32, 8
@@ -81,8 +82,8 @@ def _signer(n_words: int, bands: Bands):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (tree, signature, node) in order: (a, b) of each row with the one before it and with the first of its run, the rows that
-    share BASE minima in a tree. First ones keep the distances in a group of copies short."""
+    """Rows (tree, signature, node, label) in order: pairs of each row with the one before it and with the first of its run, the rows
+    that share BASE minima in a tree, where their labels differ. First ones keep the distances in a group of copies short."""
     carried = None  # the first row of the run that is under way, and the last row
     for batch in batches:
         if not batch.num_rows:
@@ -96,11 +97,24 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.maximum.accumulate(np.where(near, 0, place))
         at = place[near]
         a, b = np.append(at, at), np.append(at - 1, head[at])
-        node = both["node"].combine_chunks()
-        yield pa.record_batch({"a": node.take(pa.array(a)), "b": node.take(pa.array(b))})
+        label = both["label"].combine_chunks()
+        apart = pc.not_equal(label.take(pa.array(a)), label.take(pa.array(b)))
+        sides = {"a": a, "b": b}
+        yield pa.record_batch({name + more: both[c].combine_chunks().take(pa.array(x)).filter(apart) for more, c in (("", "node"), ("_label", "label")) for name, x in sides.items()})
         carried = [both.slice(int(head[-1]), 1), both.slice(both.num_rows - 1)]
 
 
+def _neighbour_links(rows: DataFrame, texts: DataFrame, sketches: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the neighbours among rows (tree, signature, node, label) whose labels differ, a > b, as far as sketches let them link, and those that do with their labels."""
+    in_order = rows.select("tree", "signature", "node", "label").repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
+    pairs = in_order.mapInArrow(_neighbours, f"a {NODE}, b {NODE}, a_label {NODE}, b_label {NODE}")
+    up = F.col("a") > F.col("b")
+    either = lambda x, y, name: F.when(up, F.col(x)).otherwise(F.col(y)).alias(name)
+    pairs = pairs.select(either("a", "b", "a"), either("b", "a", "b"), either("a_label", "b_label", "a_label"), either("b_label", "a_label", "b_label")).distinct()
+    pairs = space.keep(_filtered(pairs, sketches, num, den, "a_label", "b_label").drop("band"))
+    return pairs.select("a", "b"), space.keep(_checked(pairs.select("a", "b"), texts, sketches, n_words, num, den, space).join(pairs, ["a", "b"]))
+
+
 def _region(depth: int) -> Column:
     """A key for the sets that share a prefix in a tree."""
     return F.xxhash64(F.col("tree"), F.substring("signature", 1, depth * WIDTH))
@@ -125,10 +139,9 @@ def labelled_rows(docs: DataFrame, n_words: int, num: int, den: int, id_column:
     space.drop(signed)
     sketches = nodes.drop("minima")
 
-    in_order = _in_trees(nodes.select("node", "minima"), NEIGHBOURS).repartitionByRange("tree", "signature", "node").sortWithinPartitions("tree", "signature", "node")
-    pairs = in_order.mapInArrow(_neighbours, f"a {NODE}, b {NODE}").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-    near = space.keep(pairs)
-    labels = components(space.keep(_checked(near, rows, sketches, n_words, num, den, space)), space).select("node", "label")
+    each = _in_trees(nodes.select("node", "minima", F.col("node").alias("label")), NEIGHBOURS)
+    near, linked = _neighbour_links(each, rows, sketches, n_words, num, den, space)
+    labels = components(linked, space)
 
     labelled = nodes.select("node", "minima").join(labels, "node", "left").select("node", "minima", F.coalesce("label", "node").alias("label"))
     each = _in_trees(space.keep(labelled), TREES).withColumn("key", _region(BASE))
@@ -137,6 +150,13 @@ def labelled_rows(docs: DataFrame, n_words: int, num: int, den: int, id_column:
     opened = each.select("key", mark).groupBy("key").agg(F.min("mark").alias("lo"), F.max("mark").alias("hi"))
     opened = space.keep(opened.where(F.col("lo") != F.col("hi")).select("key"))
     side = space.keep(maybe_in(each, "key", opened, "key").join(opened, "key"))
+    # neighbours in all trees of what is still apart, so that few pairs across components are left
+    more, linked = _neighbour_links(side, rows, sketches, n_words, num, den, space)
+    over = labels_over(linked, space)
+    if over is not None:
+        labels = space.keep(relabelled(labels, over))
+        side = space.keep(side.join(over, "label", "left").withColumn("label", F.coalesce("upper", "label")).drop("upper"))
+    near = near.unionByName(more)
     regions = space.keep(across(side))
     few, many = regions.where(F.col("pairs") <= BUCKET_PAIRS), regions.where(F.col("pairs") > BUCKET_PAIRS)
     few, crowded = few.select("key", "node", "label", "stray"), None if many.isEmpty() else many
