@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 from pathlib import Path
 from typing import NamedTuple
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 from .chunks import Cut, groups_of, ids_of, tokenizer_from
 from .common import Workspace, small_batches, text_of
 
-MEMO_SEGMENTS = 200_000
+MEMO_SEGMENTS = 500_000
 LETTERS = np.isin(np.arange(256), [*range(0x41, 0x5B), *range(0x61, 0x7B)])
 MARKS = np.isin(np.arange(256), [*b".,;:!?"])
 #: Links of a group from which its distinct tokens are paired instead of all.
@@ -293,9 +294,15 @@ def _aligned_groups(memo: SegmentMemo, ids: pa.Array, texts: pa.Array, block: in
         block += 1
 
 
+@lru_cache(1)
+def _memo(tokenizers: Tokenizers) -> SegmentMemo:
+    """A worker keeps its tokenizers, and what they have aligned, from task to task."""
+    return SegmentMemo(Aligner(tokenizers))
+
+
 def _block_writer(tokenizers: Tokenizers):
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = SegmentMemo(Aligner(tokenizers))
+        memo = _memo(tokenizers)
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             for out in _aligned_groups(memo, batch.column("id"), batch.column("text"), block):
