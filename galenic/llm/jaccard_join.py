@@ -40,8 +40,8 @@ BAND_MASK = 255
 WIDE_FROM = 300
 #: Pairs that are compared with one copy of their common text.
 FAN = 1000
-#: Pairs across components in one bucket up to which they are made; it bounds work, not results.
-BUCKET_PAIRS = 256
+#: Pairs across components in one bucket up to which sketches compare them all; it bounds work, not results.
+BUCKET_PAIRS = 1 << 20
 
 
 class Bands:
@@ -321,28 +321,30 @@ def across(side: DataFrame) -> DataFrame:
     return side.join(per, "key").select(*side.columns, (F.col("label") != F.col("main")).alias("stray"), "pairs")
 
 
-def stray_pairs(open_rows: DataFrame) -> DataFrame:
-    """(key, a, b, a_label, b_label), a > b: every pair of one key's nodes in different components. One of the two is a stray, so a
-    large component's nodes aren't paired with each other. Roles, where there are such, are those of `rare_keys`."""
-    roles = "role" in open_rows.columns
-    left = open_rows.where("stray").select("key", F.col("node").alias("x"), F.col("label").alias("x_label"), *([F.col("role").alias("x_role")] if roles else []))
-    right = open_rows.select("key", F.col("node").alias("y"), F.col("label").alias("y_label"), "stray", *(["role"] if roles else []))
+def stray_pairs(open_rows: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, band, a_label, b_label), a > b: the pairs of one key's nodes in different components whose sizes and sketches allow a link. One of
+    the two is a stray, so a large component's nodes aren't paired with each other. Roles, where there are such, are those of `rare_keys`.
+    The band is the smaller set's."""
+    told = open_rows.join(sketches.drop("hash"), "node")
+    own = [c for c in ("label", "role", "band", "n_shingles", *SKETCH) if c in told.columns]
+    left = told.where("stray").select("key", F.col("node").alias("x"), *[F.col(c).alias(f"a_{c}") for c in own])
+    right = told.select("key", F.col("node").alias("y"), "stray", *[F.col(c).alias(f"b_{c}") for c in own])
     both = left.join(right, "key")
-    if roles:
-        both = both.where((F.col("role") + F.col("x_role")).isin(0, 3))
-    both = both.where((F.col("x_label") != F.col("y_label")) & (~F.col("stray") | (F.col("x") > F.col("y"))))
+    if "role" in own:
+        both = both.where((F.col("a_role") + F.col("b_role")).isin(0, 3))
+    both = both.where((F.col("a_label") != F.col("b_label")) & (~F.col("stray") | (F.col("x") > F.col("y"))) & _may_link(num, den))
     up = F.col("x") > F.col("y")
-    either = lambda p, q: F.when(up, F.col(p)).otherwise(F.col(q))
-    return both.select("key", either("x", "y").alias("a"), either("y", "x").alias("b"), either("x_label", "y_label").alias("a_label"), either("y_label", "x_label").alias("b_label"))
+    either = lambda p, q, name: F.when(up, F.col(p)).otherwise(F.col(q)).alias(name)
+    return both.select(either("x", "y", "a"), either("y", "x", "b"), F.least("a_band", "b_band").alias("band"), either("a_label", "b_label", "a_label"), either("b_label", "a_label", "b_label")).distinct()
 
 
 def bridged(few: DataFrame, many: DataFrame | None, labels: DataFrame, near: DataFrame, sketches: DataFrame, wide: DataFrame | None, rows: DataFrame, n_words: int, num: int, den: int, space: Workspace) -> DataFrame:
     """The labels (node, label) with those merged that links connect between nodes of one key. few and many are rows as of `across`:
     pairs of few's keys are made, many's nodes meet by rare shingles. Pairs in near were compared before."""
-    pairs = stray_pairs(few).drop("key")
+    pairs = stray_pairs(few, sketches, num, den)
     if many is not None:
-        pairs = pairs.unionByName(stray_pairs_of_rare(many, rows, sketches, n_words, num, den, space))
-    rest = _filtered(pairs.distinct().join(near, ["a", "b"], "left_anti"), sketches, num, den, "a_label", "b_label")
+        pairs = pairs.unionByName(stray_pairs_of_rare(many, rows, sketches, n_words, num, den, space)).distinct()
+    rest = pairs.join(near, ["a", "b"], "left_anti")
     rest = space.keep((rest if wide is None else _widely_filtered(rest, wide, num, den)).drop("band"))
     if rest.isEmpty():
         return labels
@@ -369,7 +371,7 @@ def stray_pairs_of_rare(many: DataFrame, rows: DataFrame, sketches: DataFrame, n
     texts = maybe_in(rows.select("hash", "text"), "hash", many, "hash").mapInArrow(_first_texts, f"hash {NODE}, text string")
     texts = space.keep(texts.join(many.select("hash", "node"), "hash").dropDuplicates(["hash"]).select("node", "text"))
     keys = rare_keys(texts, n_words, num, den).join(many.select("node", "label"), "node")
-    return stray_pairs(space.keep(across(space.keep(keys)))).drop("key")
+    return stray_pairs(space.keep(across(space.keep(keys))), sketches, num, den)
 
 
 def similar_components(docs: DataFrame, n_words: int = 5, num: int = 8, den: int = 10, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -36,7 +36,7 @@ def components(rows, k, num, den):
     return Counter((d, len(sets[i]), least[root(i)]) for i, (d, _) in enumerate(rows))
 
 
-@pytest.fixture(params=[256, 2])
+@pytest.fixture(params=[1 << 20, 2])
 def bucket_pairs(request, monkeypatch):
     """With 2 nearly every bucket goes by rare shingles."""
     monkeypatch.setattr(jaccard_join, "BUCKET_PAIRS", request.param)
