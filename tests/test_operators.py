@@ -86,6 +86,35 @@ def test_lots(spark):
     assert got == {(1, "AB12"): (3, "AB1[2]"), (1, "AB13"): (3, "AB1[3]"), (2, "X"): (-1, "X"), (2, "XY"): (1, "X[Y]"), (3, "Q"): (0, "[Q]")}
 
 
+@pytest.mark.parametrize("most", [0, 2, 32])
+def test_lots_of_small_and_large_groups(spark, most):
+    lots = [(1, "AB12"), (1, "AB13"), (2, "X"), (2, "XY"), (3, "Q"), (3, ""), (3, None), (4, "ABCDEF"), (4, "ABCDxBCDEFx"), (4, "ABCDyBCDEFy"), (4, "yABCDE"), (4, "xx"), (4, "yy"), (None, "Z"), (None, "W"), *[(5, f"L{i}") for i in range(40)], (6, "a\0b"), (6, "a"), (6, "b"), (6, "xa\0")]
+    got = {(r.order_id, r.lot): r.marked for r in L.distinguishing(spark.createDataFrame([*lots, *lots], "order_id long, lot string"), most=most).collect()}
+
+    def marked(g, lot):
+        others = [x for h, x in lots if h == g and x and x != lot]
+        spans = [(n, i) for n in range(1, len(lot or "") + 1) for i in range(len(lot) - n + 1) if g is not None and not any(lot[i : i + n] in x for x in others)]
+        n, i = min(spans, default=(0, 0))
+        return f"{lot[:i]}[{lot[i : i + n]}]{lot[i + n :]}" if n else lot
+
+    assert got == {(g, lot): marked(g, lot) for g, lot in lots} and len(got[4, "ABCDEF"]) == 8
+
+
+def shuffled(spark):
+    """How many rows the session's stages have shuffled so far."""
+    sc, gateway = spark.sparkContext._jsc.sc(), spark.sparkContext._gateway
+    sc.listenerBus().waitUntilEmpty()
+    stages = sc.statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_lots_of_ordinary_groups_make_no_row_for_each_substring(spark):
+    lots = spark.range(4000).selectExpr("id div 4 AS order_id", "concat('RF1996', id) AS lot")
+    before = shuffled(spark)
+    assert len(L.distinguishing(lots).collect()) == 4000
+    assert shuffled(spark) - before <= 3 * 4000
+
+
 @pytest.mark.parametrize(
     "tray, steps, description",
     [
