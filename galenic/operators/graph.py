@@ -105,3 +105,23 @@ def inherited_roles(grants: DataFrame, ancestry: DataFrame) -> DataFrame:
     """user_id, role, facility_id: what holds at a facility by grants on it or above it."""
     g = grants.select("user_id", "role", F.col("facility_id").alias("ancestor")).distinct()
     return ancestry.join(g, "ancestor").select("user_id", "role", F.col("id").alias("facility_id")).distinct()
+
+
+def role_counts(grants: DataFrame, ancestry: DataFrame) -> DataFrame:
+    """facility_id, users: how many distinct users hold a grant (user_id, facility_id) on a facility or above it; those with grants of no user only have 0.
+
+    Of a user's grants on one path only the uppermost counts (in a cycle the one on the smallest id), so each place has its own number of users
+    and a facility's is the sum up its path; users and facilities are never paired. Facilities with several parents at some place
+    of their path, where users may come by two ways, count their pairs.
+    """
+    up = ancestry.select("id", "ancestor", "depth").distinct()
+    g = grants.select("user_id", F.col("facility_id").alias("place")).distinct()
+    above = up.where("depth > 0").select("id", "ancestor").distinct()
+    back = above.select(F.col("ancestor").alias("id"), F.col("id").alias("ancestor"), F.lit(True).alias("round"))
+    over = above.join(back, ["id", "ancestor"], "left").where(F.col("round").isNull() | (F.col("ancestor") < F.col("id"))).select(F.col("id").alias("place"), "ancestor")
+    held = g.join(over, "place").select("user_id", "place", "ancestor").join(g.select("user_id", F.col("place").alias("ancestor")), ["user_id", "ancestor"], "left_semi")
+    own = g.join(held.select("user_id", "place"), ["user_id", "place"], "left_anti").groupBy(F.col("place").alias("ancestor")).agg(F.count("user_id").alias("users"))
+    forked = up.groupBy("id", "depth").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id").distinct()
+    sums = up.select("id", "ancestor").distinct().join(forked, "id", "left_anti").join(own, "ancestor").groupBy(F.col("id").alias("facility_id")).agg(F.sum("users").alias("users"))
+    pairs = up.join(forked, "id", "left_semi").select("id", "ancestor").distinct().join(g.withColumnRenamed("place", "ancestor"), "ancestor")
+    return sums.unionByName(pairs.groupBy(F.col("id").alias("facility_id")).agg(F.count_distinct("user_id").alias("users")))

@@ -106,7 +106,7 @@ def implied_specificity(spark: SparkSession, d: str) -> DataFrame:
 def role_inheritance(spark: SparkSession, d: str) -> DataFrame:
     """How many administrators each facility has by grants on it or on a parent."""
     grants = V.grants(spark, d).where(F.col("revoked_at").isNull() & (F.col("role") == "facility_admin"))
-    return G.inherited_roles(grants, G.ancestors(V.facilities(spark, d))).groupBy("facility_id").agg(F.count_distinct("user_id").alias("admins"))
+    return G.role_counts(grants, G.ancestors(V.facilities(spark, d))).withColumnRenamed("users", "admins")
 
 
 @query(

@@ -153,6 +153,21 @@ def test_roles_hold_below_the_place_of_the_grant(spark):
     assert up == {(1, 1), (2, 2), (2, 1), (3, 3), (3, 2), (3, 1), (4, 4)}
 
 
+def test_users_of_a_place_and_above_are_counted_without_pairs(spark):
+    chain = [(1, None), (2, 1), (3, 2), (4, 2), (5, 3), (10, 11), (11, 12), (12, 10), (13, 10), (20, 1), (20, 6), (21, 20), (6, None)]  # a cycle, and a fork at 20
+    tree = spark.createDataFrame(chain, "id long, parent_id long")
+    given = [("a", 1), ("a", 3), ("b", 2), ("b", 5), ("b", 4), ("c", 5), ("c", 5), ("d", 11), ("d", 12), ("d", 13), ("e", 12), ("a", 6), ("f", 21), (None, 6), (None, 3), ("g", 99)]
+    grants = spark.createDataFrame(given, "user_id string, facility_id long")
+    up = {(r.id, r.ancestor) for r in G.ancestors(tree).collect()}
+    want = {i: len({u for u, f in given if u and (i, f) in up}) for i in {i for i, _ in chain} if any((i, f) in up for _, f in given)}
+    assert {r.facility_id: r.users for r in G.role_counts(grants, G.ancestors(tree)).collect()} == want
+    wide = spark.range(1, 1001).selectExpr("id", "nullif(least(id - 1, 1), 0) AS parent_id")
+    many = spark.range(1000).selectExpr("id AS user_id", "1L AS facility_id")
+    before = shuffled(spark)
+    assert {r.users for r in G.role_counts(many, G.ancestors(wide)).collect()} == {1000}
+    assert shuffled(spark) - before < 100_000  # a million pairs
+
+
 def test_active_grants(spark):
     g = spark.sql("SELECT * FROM VALUES (1, NULL, NULL), (2, TIMESTAMP'2020-01-01', NULL), (3, NULL, TIMESTAMP'2020-01-01'), (4, NULL, TIMESTAMP'2030-01-01') AS t(id, revoked_at, expires_at)")
     assert {r.id for r in C.active_grants(g, "2024-01-01").collect()} == {1, 4}
