@@ -8,7 +8,7 @@ from test_catalogue import rows
 
 from galenic.plans.catalogue import ORACLE, QUERIES
 
-NAMES = ["field_extract"]
+NAMES = ["field_extract", "kit_component_links"]
 
 
 @pytest.fixture(scope="module")
