@@ -8,7 +8,7 @@ from test_catalogue import rows
 
 from galenic.plans.catalogue import ORACLE, QUERIES
 
-NAMES = ["field_extract", "kit_component_links"]
+NAMES = ["field_extract", "kit_component_links", "kit_components"]
 
 
 @pytest.fixture(scope="module")
