@@ -40,18 +40,21 @@ def names_in(lines: DataFrame, names: DataFrame) -> DataFrame:
     return best.select("line", "field", F.col("h.name").alias("name"))
 
 
-def label_fields(lines: DataFrame, directory: DataFrame, labelers: DataFrame, trusted: float = TRUSTED_CODE) -> DataFrame:
+def label_fields(lines: DataFrame, directory: DataFrame, labelers: DataFrame, trusted: float = TRUSTED_CODE, blank_codes: bool = False) -> DataFrame:
     """crop, field, value, confidence, source: what a label's readings and a directory say, one row for each field that is known.
 
     lines: crop, pool, line_no, text. directory: product_ndc, generic, brand, labeler_name, strength_text. labelers: code, name. Fields of label text and names of the directory
     are each voted on over readings (source `label`). A code of a confidence of `trusted` or more that the directory lists fills in
     brand (unless it merely describes), product, mfg and strength where the label has none (`directory`), and any code its labeler's name
     where there is still none (`labeler`). What is printed is never replaced. A directory that lists a code twice gives the smallest of each value. Blank lines and crops without
-    any give nothing.
+    any give nothing. With `blank_codes` a line that says NDC without a well-formed code votes for an empty one, at the label's prior.
     """
     lines = lines.where(F.trim("text") != "").select("crop", "pool", "line_no", F.trim("text").alias("text"))
     each = numbered_lines(lines)
-    simple = F.array(*[F.struct(F.lit(f).alias("field"), extract(F.col("line")).alias("f")) for f, extract in L.EXTRACTORS.items()])
+    read = {f: extract(F.col("line")) for f, extract in L.EXTRACTORS.items()}
+    if blank_codes:
+        read["ndc"] = F.coalesce(read["ndc"], F.when(F.col("line").rlike(r"\bNDC\b"), F.struct(F.lit("").alias("value"), F.lit(0.95).alias("prior"))))
+    simple = F.array(*[F.struct(F.lit(f).alias("field"), x.alias("f")) for f, x in read.items()])
     found = each.select("crop", "pool", "at", F.explode(simple).alias("x")).select("crop", "pool", "at", "x.field", "x.f")
     named = each.join(names_in(each, vocabulary(directory, labelers)), "line")
     prior = F.create_map(*[F.lit(x) for pair in NAME_PRIORS.items() for x in pair])[F.col("field")]

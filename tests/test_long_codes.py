@@ -8,7 +8,7 @@ from test_catalogue import rows
 
 from galenic.plans.catalogue import ORACLE, QUERIES
 
-NAMES = ["field_extract", "kit_component_links", "kit_components", "ndc_product_candidates", "ndc_variants", "package_texts"]
+NAMES = ["field_extract", "kit_component_links", "kit_components", "ndc_product_candidates", "ndc_variants", "package_texts", "label_fields"]
 
 
 @pytest.fixture(scope="module")
