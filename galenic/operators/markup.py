@@ -7,8 +7,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import bounded_batches
 from ..storage import stored
 
 #: Section codes whose text is about storage, and about preparation.
@@ -16,6 +18,8 @@ STORAGE_CODES, PREPARATION_CODES = ("44425-7", "34069-5", "42229-5"), ("34068-7"
 #: Stems of storage and preparation. They end at a word's end, so that other forms of a word don't match.
 STORAGE = r"(?i)\b(?:store|storage|refriger|freez|room temperature|protect from light)\b"
 PREPARATION = r"(?i)\b(?:reconstitut|dilut|prepar|admix|mix|withdraw|inject|infus)\b"
+#: Characters and blocks of a batch of parsed blocks; one page's blocks may be more.
+BATCH_CHARACTERS, BATCH_BLOCKS = 1 << 20, 20_000
 
 
 class _Blocks(HTMLParser):
@@ -75,20 +79,31 @@ class _Blocks(HTMLParser):
 
 
 def html_blocks(pages: DataFrame, id_column: str = "page_id", html_column: str = "html") -> DataFrame:
-    """id, ordinal, section, title, kind, text of each block of each page. Pages are parsed one by one, by what their own text holds."""
+    """id, ordinal, section, title, kind, text of each block of each page. Pages are parsed one by one, by what their own text holds, and come and go
+    in small batches, so that a worker's memory doesn't grow with their number."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks, size = [], 0
         for batch in batches:
-            rows = []
             for i, html in zip(batch["id"], batch["html"], strict=True):
                 parser = _Blocks()
-                parser.feed(html or "")
+                parser.feed(html.as_py() or "")
                 parser.close()
-                rows += [(i, n, *block) for n, block in enumerate(parser.out)]
-            yield pd.DataFrame(rows, columns=["id", "ordinal", "section", "title", "kind", "text"])
-
-    rows = pages.select(F.col(id_column).alias("id"), F.col(html_column).alias("html"))
-    return rows.mapInPandas(parse, "id long, ordinal int, section string, title string, kind string, text string")
+                blocks += [(i.as_py(), n, *block) for n, block in enumerate(parser.out)]
+                size += sum(len(block[-1]) for block in parser.out)
+                if size > BATCH_CHARACTERS or len(blocks) > BATCH_BLOCKS:
+                    yield table(blocks)
+                    blocks, size = [], 0
+        if blocks:
+            yield table(blocks)
+
+    def table(blocks: list[tuple]) -> pa.RecordBatch:
+        types = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*blocks, strict=True), types, strict=True)], ["id", "ordinal", "section", "title", "kind", "text"])
+
+    bounded_batches(pages.sparkSession)
+    rows = pages.select(F.col(id_column).cast("long").alias("id"), F.col(html_column).alias("html"))
+    return rows.mapInArrow(parse, "id long, ordinal int, section string, title string, kind string, text string")
 
 
 def xml_sections(labels: DataFrame, id_column: str = "setid", xml_column: str = "xml") -> DataFrame:

@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -213,6 +214,12 @@ def test_page_blocks(spark):
     assert got == [("nav", "", "body", "menu"), ("article", "T", "title", "T"), ("article", "T", "numbered_step", "1. do it"), ("article", "T", "list_item", "a"), ("article", "T", "subheading", "Head"), ("article", "T", "note", "Note: b")]
 
 
+def test_pages_come_in_batches_of_bounded_bytes(spark):
+    sizes = D.html_blocks(spark.range(400).selectExpr("id AS page_id", "concat('<p>', repeat('text ', 20000), id, '</p>') AS html").coalesce(1))
+    assert sizes.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches), "n long").agg({"n": "max"}).first()[0] <= 50
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != "-1"
+
+
 def test_stream_gives_what_the_batch_gives(spark, sf_dir, tmp_path):
     source = tmp_path / "in"
     spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")).repartition(3).write.parquet(str(source))
