@@ -114,14 +114,13 @@ def deactivated_labelers(products: DataFrame) -> DataFrame:
 
 def leftmost_longest(texts: DataFrame, vocabulary: DataFrame, longest: int) -> DataFrame:
     """Of each text (id, text) the leftmost, then longest, phrase of the vocabulary (phrase, in lower case, of at most
-    `longest` words): by an equality join of the text's word n-grams, each kept once with its first place."""
-    words = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
-    w = texts.select("id", words.alias("w"))
-    grams = None
-    for n in range(1, longest + 1):
-        at = w.where(F.size("w") >= n).select("id", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.array_join(F.slice(F.col("w"), i, F.lit(n)), " "))).alias("pos", "phrase"), F.lit(n).alias("n"))
-        grams = at if grams is None else grams.unionByName(at)
-    hits = grams.join(small(vocabulary.select("phrase").distinct()), "phrase")
+    `longest` words): an equality join of the text's words with the phrases' first ones leads to the candidates, and the words behind decide."""
+    w = texts.select("id", F.array_remove(F.split(F.lower("text"), "[^a-z0-9]+"), "").alias("w"))
+    behind = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.slice(F.col("w"), i, F.lit(longest)))
+    at = w.select("id", F.posexplode(F.when(F.size("w") > 0, behind)).alias("pos", "behind")).withColumn("word", F.get("behind", F.lit(0)))
+    n = F.size(F.split("phrase", " "))
+    phrases = vocabulary.select("phrase", n.alias("n"), F.substring_index("phrase", " ", 1).alias("word")).where(F.col("n") <= longest).distinct()
+    hits = at.join(small(phrases), "word").where(F.array_join(F.slice("behind", F.lit(1), F.col("n")), " ") == F.col("phrase"))
     return hits.groupBy("id").agg(F.min(F.struct("pos", (-F.col("n")).alias("m"), "phrase")).alias("h")).select("id", F.col("h.phrase").alias("phrase"), F.col("h.pos").alias("pos"))
 
 

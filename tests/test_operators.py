@@ -182,6 +182,14 @@ def test_first_candidate_wins(spark):
     assert got == {"1234567890": ("a", None), "12345-678-90": ("b", "four"), "9": (None, None)}
 
 
+def test_leftmost_then_longest_phrase_by_one_scan(spark):
+    texts = [(1, "So, of The mit-license"), (2, "mit"), (3, "a mit license, under mit"), (4, ""), (5, None), (6, "... --"), (7, "licenses of"), (8, "x y z mit license b c")]
+    phrases = ["of the", "of", "mit license", "mit license b", "under mit license c", "y  z", "", None]
+    found = C.leftmost_longest(spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(x,) for x in phrases], "phrase string"), 3)
+    assert {r.id: (r.phrase, r.pos) for r in found.collect()} == {1: ("of the", 1), 3: ("mit license", 1), 7: ("of", 1), 8: ("mit license b", 3)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
 def test_upsert_takes_the_last(spark):
     old = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
     new = spark.createDataFrame([("a", 5, 1), ("a", 6, 2), ("c", 7, 1)], "k string, v int, line int")
