@@ -163,6 +163,17 @@ def lookup_names(questions: DataFrame, directory: DataFrame, most_ingredients: i
     return out.select("question", "matched_via", "entry", rank.alias("rank"))
 
 
+def lookup_counts(questions: DataFrame, directory: DataFrame) -> DataFrame:
+    """question, matched_via, n, n_exact, best of each question that lookup_names answers: how many entries, how many of rank 0, and the best and
+    then smallest one. Entries that are alike in all but their number are looked up as one, so the work grows with the names."""
+    kinds = directory.groupBy(*FIELDS, "ingredients").agg(F.min("entry").alias("first"), F.count(F.lit(1)).alias("n"))
+    kinds = stored(kinds.select(F.struct("first", "generic", "n").alias("entry"), *FIELDS, "ingredients"), "kinds")
+    n = F.col("entry.n")
+    hits = lookup_names(questions, kinds).groupBy("question")
+    exact = F.sum(F.when(F.col("rank") == 0, n).otherwise(0)).alias("n_exact")
+    return hits.agg(F.min("matched_via").alias("matched_via"), F.sum(n).alias("n"), exact, F.min(F.struct("rank", "entry.first")).alias("best")).withColumn("best", F.col("best.first"))
+
+
 def texts_with(texts: DataFrame, terms: DataFrame, size: int = 4) -> DataFrame:
     """(text, term) of the distinct texts (text) that contain a term (term, of `size` characters or more; shorter ones find nothing), as
     any part of them. A term is looked for by the one of its pieces of `size` characters that fewest terms have."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import views as V
 from ..operators import lookup as K
+from ..storage import stored
 from ..views import with_views
 from .registry import query
 
@@ -20,7 +21,7 @@ def directory(spark: SparkSession, d: str) -> DataFrame:
 def questions(spark: SparkSession, d: str) -> DataFrame:
     """Every concept's name asked as a generic name, brand names also as brands; combined names turned round and cut short, as generic and as brand; and
     every pair of name and dosage form."""
-    c = V.concepts(spark, d)
+    c = stored(V.concepts(spark, d), "concepts")
     none, name = F.lit(None).cast("string"), F.col("name")
     ask = lambda rows, kind, generic=none, brand=none, form=none: rows.select(F.concat(F.lit(kind + ":"), "rxcui").alias("question"), generic.alias("generic"), brand.alias("brand"), none.alias("route"), form.alias("dosage_form"), F.lit(None).cast("array<string>").alias("ingredients"))
     combined = c.where((F.col("tty") == "IN") & name.contains(" and ")).withColumn("p", F.split("name", " and "))
@@ -90,11 +91,10 @@ _GENERIC_LOOKUP = (
 @query("generic_lookup", with_views(_GENERIC_LOOKUP, "v_products", "v_concepts").replace(") , d AS", "), d AS"))
 def generic_lookup(spark: SparkSession, d: str) -> DataFrame:
     """How each question is answered, by how many products, and by which best of all; questions without answers too."""
-    asked = questions(spark, d)
-    hits = K.lookup_names(asked, directory(spark, d))
-    per = hits.groupBy("question").agg(F.min("matched_via").alias("matched_via"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("rank") == 0).alias("n_exact"), F.min(F.struct("rank", "entry")).alias("best"))
+    asked = stored(questions(spark, d), "questions")
+    per = K.lookup_counts(asked, directory(spark, d))
     none = F.lit(0).cast("long")
-    return asked.select("question").join(per, "question", "left").select("question", "matched_via", F.coalesce("n", none).alias("n"), F.coalesce("n_exact", none).alias("n_exact"), F.col("best.entry").alias("best"))
+    return asked.select("question").join(per, "question", "left").select("question", "matched_via", F.coalesce("n", none).alias("n"), F.coalesce("n_exact", none).alias("n_exact"), "best")
 
 
 @query(

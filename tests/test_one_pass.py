@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from galenic.functions import label as L
+from galenic.operators import lookup as K
 
 
 def test_lot_splits_a_line_once(spark):
@@ -10,3 +11,13 @@ def test_lot_splits_a_line_once(spark):
     got = df.select(L.lot(F.col("t")).alias("f"))
     assert [r.f and tuple(r.f) for r in got.collect()] == [("A1234O", 0.95), ("123450", 0.95), ("B123456", 0.35), None, ("1234567890", 0.40), None, None, None]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_counts_of_a_lookup_are_those_of_its_entries(spark):
+    kinds = [("vancomycin", "Vanco", "VIAL"), ("vancomycin", None, "VIAL"), ("zinc and iron", "Zin", "TABLET")]
+    entries = spark.createDataFrame([(10 * i + k, g, b, None, f, g.split(" and ")) for k, (g, b, f) in enumerate(kinds) for i in range(5)] + [(3, "Vancomycin", "VANCO", None, "VIAL", ["vancomycin"])], "entry long, generic string, brand string, route string, dosage_form string, ingredients array<string>")
+    values = "('a', 'vancomycin', NULL), ('b', NULL, 'vanco'), ('c', 'iron and zinc', NULL), ('d', 'vanco', NULL), ('e', 'nothing', NULL)"
+    asked = spark.sql(f"SELECT q.*, CAST(NULL AS string) AS route, CAST(NULL AS string) AS dosage_form, CAST(NULL AS array<string>) AS ingredients FROM VALUES {values} AS q(question, generic, brand)")
+    each = K.lookup_names(asked, entries).groupBy("question").agg(F.min("matched_via"), F.count(F.lit(1)), F.count_if(F.col("rank") == 0), F.min(F.struct("rank", "entry"))["entry"])
+    counts = K.lookup_counts(asked, entries).select("question", "matched_via", "n", "n_exact", "best")
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, each.collect())) != []
