@@ -120,15 +120,20 @@ def link_groups(scores: DataFrame, group: list[str], least: float = 3.0, margin:
 def order_reports(expected: DataFrame, found: DataFrame) -> DataFrame:
     """order_id, n_components, n_found, n_discrepant, verified, process, report: each order's components checked against what was
     found, the process they imply, and a line for each component with a verdict."""
-    v = M.verified(expected, found).join(expected.select("order_id", "pos", "generic", "package_ndc"), ["order_id", "pos"])
-    line = F.concat(F.lit("["), F.when(F.col("discrepant"), "DISCREPANT").otherwise("OK"), F.lit("] "), "generic", F.lit(" ("), "package_ndc", F.lit(")"))
-    o = v.groupBy("order_id").agg(
+    o = reports_of(M.order_sides(expected, found, "generic"))
+    process = I.inferred_process(expected.withColumnRenamed("order_id", "tray_id")).select(F.col("tray_id").alias("order_id"), F.col("description").alias("process"))
+    return o.join(process, "order_id", "left").select("order_id", "n_components", "n_found", "n_discrepant", "verified", "process", "report")
+
+
+def reports_of(sides: DataFrame) -> DataFrame:
+    """order_reports() without the process, from both sides of each order (`verified_sides`; e has the generic name too)."""
+    line = F.concat(F.lit("["), F.when(F.col("discrepant"), "DISCREPANT").otherwise("OK"), F.lit("] "), "e.generic", F.lit(" ("), "e.package_ndc", F.lit(")"))
+    o = M.verified_sides(sides).groupBy("order_id").agg(
         F.count(F.lit(1)).alias("n_components"), F.count_if("found").alias("n_found"), F.count_if("discrepant").alias("n_discrepant"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("line")))), lambda x: x["line"]), "\n").alias("lines"),
     )
-    process = I.inferred_process(expected.withColumnRenamed("order_id", "tray_id")).select(F.col("tray_id").alias("order_id"), F.col("description").alias("process"))
     verdict = F.when(F.col("n_discrepant") == 0, "All components verified.").otherwise(F.concat(F.col("n_discrepant").cast("string"), F.lit(" discrepancy(ies) require review.")))
-    return o.join(process, "order_id", "left").select("order_id", "n_components", "n_found", "n_discrepant", (F.col("n_discrepant") == 0).alias("verified"), "process", F.concat_ws("\n", "lines", verdict).alias("report"))
+    return o.select("order_id", "n_components", "n_found", "n_discrepant", (F.col("n_discrepant") == 0).alias("verified"), F.concat_ws("\n", "lines", verdict).alias("report"))
 
 
 def browsed(rows: DataFrame, order: list[Column], name: str = "", determination: str = "", confidence: float = 0.0, n_products: int = 0, size: int = 50, number: int = 1) -> DataFrame:
