@@ -33,7 +33,7 @@ def test_found_components_of_odd_orders(spark):
     assert got == {(1, 1): (True, False, True, True), (1, 2): (True, None, None, False), (1, 3): none, (None, 1): none, (1, None): none, (2, 1): none}
 
 
-@pytest.mark.parametrize("name", ["order_run"])
+@pytest.mark.parametrize("name", ["order_verification", "order_run"])
 def test_components_of_orders_are_made_and_moved_once(spark, sf_dir, name):
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
     assert plan.count("Exchange hashpartitioning(l_orderkey") == 1
